@@ -11,9 +11,11 @@ are handed to the pieces by their rank within their length.
 
 from __future__ import annotations
 
+import unicodedata
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -43,13 +45,13 @@ class WordEncoder:
 
     _made: dict[str, WordEncoder] = {}
 
-    def __init__(self, path: str, limit: int = 300_000):
+    def __init__(self, path: str, limit: int = 400_000):
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.limit, self.new = Tokenizer.from_file(path), limit, []
+        self.tokenizer, self.limit, self.new, self.kept = Tokenizer.from_file(path), limit, [], 0
         encoder = self
 
         class Words(dict):
@@ -68,36 +70,61 @@ class WordEncoder:
             cls._made[path] = cls(path)
         return cls._made[path]
 
+    @staticmethod
+    def _parts(word: str) -> list[str]:
+        """What the tokenizer makes the same ids of: the lower-case word, and commas and full stops at its end apart."""
+        if not word.isascii() and ("\u03a3" in word or "\u0130" in word or not unicodedata.is_normalized("NFC", word)):
+            return [word]
+        low = word.lower()
+        stem = low.rstrip(",.")
+        return [stem, low[len(stem) :]] if len(stem) < len(low) and stem[-1:].isalpha() and "<|" not in low else [low]
+
     def _learn(self) -> None:
-        first = len(self.words) - len(self.new)
-        for i in range(0, len(self.new), 20_000):
-            found = [e.ids for e in self.tokenizer.encode_batch(self.new[i : i + 20_000], add_special_tokens=False)]
+        first, words = len(self.words) - len(self.new), self.words
+        parts = [self._parts(w) for w in self.new]
+        for some in parts:
+            for p in some:
+                if p not in words:
+                    words[p] = len(words)
+                    self.new.append(p)
+        parts += [None] * (len(self.new) - len(parts))
+        leaves = [i for i, p in enumerate(parts) if p is None or p == [self.new[i]]]
+        while len(words) > len(self.at):
+            self.at, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.at, self.size))
+        for i in range(0, len(leaves), 20_000):
+            at = leaves[i : i + 20_000]
+            found = [e.ids for e in self.tokenizer.encode_batch_fast([self.new[k] for k in at], add_special_tokens=False)]
             sizes = np.fromiter(map(len, found), np.int64, len(found))
-            flat = np.fromiter((x for ids in found for x in ids), np.uint32, int(sizes.sum()))
-            while self.used + len(flat) > len(self.ids):
-                self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-            while first + i + len(found) > len(self.at):
-                self.at, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.at, self.size))
-            self.ids[self.used : self.used + len(flat)] = flat
-            self.at[first + i : first + i + len(found)] = self.used + np.cumsum(sizes) - sizes
-            self.size[first + i : first + i + len(found)] = sizes
-            self.used += len(flat)
+            at = first + np.array(at, np.int64)
+            self.at[at], self.size[at] = self._append(np.fromiter(chain.from_iterable(found), np.uint32, int(sizes.sum()))) + np.cumsum(sizes) - sizes, sizes
+        for i, some in enumerate(parts):
+            if some is not None and some != [self.new[i]]:
+                k = [words[p] for p in some]
+                self.size[first + i] = self.size[k].sum()
+                self.at[first + i] = self.at[k[0]] if len(k) == 1 else self._append(np.concatenate([self.ids[self.at[x] : self.at[x] + self.size[x]] for x in k]))
+
+    def _append(self, flat: np.ndarray) -> int:
+        while self.used + len(flat) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        self.ids[self.used : self.used + len(flat)] = flat
+        self.used += len(flat)
+        return self.used - len(flat)
 
     def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
         """The ids of each text, in order."""
-        kept, used = len(self.words), self.used
+        if len(self.words) > self.limit:
+            for word in self.new[max(0, self.limit - self.kept) :]:
+                del self.words[word]
+            self.used = int((self.at + self.size)[: len(self.words)].max())
+        self.new, self.kept = [], len(self.words)
         split = [t.replace("\n", " ").split(" ") for t in texts]
         found = [np.fromiter(map(self.words.__getitem__, w), np.int64, len(w)) for w in split]
+        del split
         self._learn()
         for at in found:
             sizes = self.size[at]
             ends = np.cumsum(sizes)
             yield self.ids[np.repeat(self.at[at] - ends + sizes, sizes) + np.arange(ends[-1])]
-        if len(self.words) > self.limit:
-            for word in self.new[max(0, self.limit - kept) :]:
-                del self.words[word]
-            self.used = used if kept >= self.limit else int(self.at[len(self.words) - 1] + self.size[len(self.words) - 1])
-        self.new = []
 
 
 def tokenize(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame:
