@@ -9,11 +9,7 @@ then do the rows move, once. Consecutive cells make up a shard.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -23,97 +19,72 @@ SHARDS = 24
 CELLS_PER_SHARD = 16
 #: A splitter may be off its target by this share of a shard's bytes.
 TOLERANCE = 0.002
-PROBES = 24
+FIRST_BITS, STEP_BITS = 16, 8
 LOW, HIGH = -(2**63), 2**63 - 1
 
 
-def below_each(h: np.ndarray, g: np.ndarray, hs: np.ndarray, gs: np.ndarray) -> np.ndarray:
-    """For each row (h, g), the number of sorted boundaries (hs, gs) that are below it."""
-    at, end = np.searchsorted(hs, h, side="left"), np.searchsorted(hs, h, side="right")
-    for i in np.unique(at[at < end]):
-        same = (at == i) & (at < end)
-        at[same] += np.searchsorted(gs[i : end[same][0]], g[same], side="left")
-    return at
-
-
-def histogram(rows: DataFrame, probes: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
-    """Exact bytes and rows at or below each of the sorted probes (h, g).
-
-    Partitions send two numbers per probe interval that they have rows in.
-    """
-    hs, gs = (np.array(x, np.int64) for x in zip(*probes, strict=True))
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total, n = np.zeros(len(hs) + 1, np.int64), np.zeros(len(hs) + 1, np.int64)
-        for part in parts:
-            at = below_each(part["h"].to_numpy(np.int64), part["g"].to_numpy(np.int64), hs, gs)
-            np.add.at(total, at, part["size"].to_numpy(np.int64))
-            n += np.bincount(at, minlength=len(n))
-        full = np.flatnonzero(n)
-        yield pd.DataFrame({"cell": full, "bytes": total[full], "n": n[full]})
-
-    found = rows.select("h", "g", "size").mapInPandas(run, "cell long, bytes long, n long").groupBy("cell").agg(F.sum("bytes").alias("bytes"), F.sum("n").alias("n")).collect()
-    out = np.zeros((2, len(hs) + 1), np.int64)
-    for r in found:  # at most one row per probe
-        out[:, r["cell"]] = r["bytes"], r["n"]
-    out = np.cumsum(out, axis=1)[:, :-1]
-    return out[0], out[1]
+def finer(rows: DataFrame, column: str, shift: int, parents: dict[tuple[int | None, int], int] | None, parent_shift: int) -> dict[tuple[int | None, int], tuple[int, int]]:
+    """Exact bytes and rows between probes that are 2 ** shift apart, inside the given brackets only: {(h or None, probe): (bytes, rows)}."""
+    fixed = F.col("h") if column == "g" else F.lit(None).cast("long")
+    if parents is not None:
+        rows = rows.where(F.shiftright(column, parent_shift).isin(sorted({p for _, p in parents}))) if parent_shift < 64 else rows
+        rows = rows.where(F.col("h").isin(sorted({h for h, _ in parents}))) if column == "g" else rows
+    counts = rows.groupBy(fixed.alias("fixed"), F.shiftright(column, shift).alias("probe")).agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("n"))
+    return {(r["fixed"], r["probe"]): (r["bytes"], r["n"]) for r in counts.collect()}
 
 
 def splitters(rows: DataFrame, shards: int, cells: int, tolerance: float) -> list[tuple[int, int]]:
     """Sorted boundaries (h, g), one between any two cells: a row belongs below a boundary if its (h, g) is at most it.
 
-    Each target is bracketed by two values of h, with the bytes and rows through
-    each. A bracket that has shrunk to one h whose rows pass the tolerance goes
-    on with g, and ends where a single row or one (h, g) is left.
+    Probes start 2 ** FIRST_BITS to the key range; the bracket that holds a target
+    is then probed STEP_BITS finer, for all targets at once, until one of its
+    ends is within tolerance or it holds a single row. A bracket that has shrunk
+    to one h (a group of copies) goes on with g. A round brings at most
+    2 ** STEP_BITS rows for each target to the driver, whatever the corpus.
     """
-    first = rows.agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("n")).first()
-    total, n, count = first["bytes"] or 0, shards * cells, first["n"]
+    first = rows.agg(F.sum("size").alias("bytes"), F.min("g").alias("low"), F.max("g").alias("high")).first()
+    total, n = first["bytes"] or 0, shards * cells
+    if not total:
+        return [(LOW, LOW)] * (n - 1)
     goal = {i: total * i / n for i in range(1, n)}
     slack = {i: total / shards * (tolerance if i % cells == 0 else 0.2 / cells) for i in goal}
-    done: dict[int, tuple[int, int]] = {} if total else {i: (LOW, LOW) for i in goal}
-    around = {i: (None, LOW - 1, 0, 0, HIGH, total, count) for i in goal if total}  # h if it is g that is searched; value, bytes and rows below; the same through
+    done: dict[int, tuple[int, int]] = {}
+    column, shift, above = "h", 64 - FIRST_BITS, 64
+    around = {i: (None, 0, 0) for i in goal}  # the h that g is searched in, the bracket, bytes below it
     while around:
-        probes = {}
-        for i, (h, a, below, _, b, through, _) in around.items():
-            guess = a + int((b - a) * ((goal[i] - below) / max(1, through - below)))
-            span = max(1, (b - a) // PROBES**2)
-            near = [guess + span * (k - PROBES // 2) // 2 for k in range(PROBES)] + [a + (b - a) * k // (PROBES + 1) for k in range(1, PROBES + 1)]
-            probes[i] = {(x, HIGH) if h is None else (h, x) for x in near if a < x < b}
-        edges = sorted(set().union(*probes.values()))
-        known = dict(zip(edges, zip(*(x.tolist() for x in histogram(rows, edges)), strict=True), strict=True)) if edges else {}
-        for i, (h, a, below, fewer, b, through, more) in list(around.items()):
-            for e in sorted(probes[i]):
-                x = e[0] if h is None else e[1]
-                if known[e][0] <= goal[i]:
-                    a, (below, fewer) = x, known[e]
-                else:
-                    b, (through, more) = x, known[e]
+        found = finer(rows, column, shift, None if above == 64 and column == "h" else {(h, p): 0 for h, p, _ in around.values()}, above)
+        inside: dict[tuple[int | None, int], list[int]] = {}
+        for h, p in sorted(found, key=lambda x: (x[0] or 0, x[1])):
+            inside.setdefault((h, p >> (above - shift) if above < 64 else 0), []).append(p)
+        for i, (h, bracket, below) in list(around.items()):
+            for p in inside[h, bracket]:
+                size, count = found[h, p]
+                if below + size > goal[i] or p == inside[h, bracket][-1]:
                     break
-            near_enough = min(goal[i] - below, through - goal[i]) <= slack[i]
-            if near_enough or more - fewer <= 1 or h is not None and b - a <= 1:
-                x = a if goal[i] - below <= through - goal[i] else b
-                done[i] = (max(x, LOW), HIGH if x >= LOW else LOW) if h is None else (h, max(x, LOW))
+                below += size
+            low, high = (p << shift) - 1, ((p + 1) << shift) - 1
+            if min(goal[i] - below, abs(below + size - goal[i])) <= slack[i] or count == 1 or shift == 0 and column == "g":
+                x = low if goal[i] - below <= below + size - goal[i] else high
+                done[i] = (h, max(x, LOW)) if column == "g" else (max(x, LOW), HIGH if x >= LOW else LOW)
                 del around[i]
-            elif b - a <= 1:
-                around[i] = (b, LOW - 1, below, fewer, HIGH, through, more)
             else:
-                around[i] = (h, a, below, fewer, b, through, more)
+                around[i] = (h, p, below)
+        if shift:
+            above, shift = shift, max(0, shift - STEP_BITS)
+        elif around:
+            column, above = "g", 64
+            shift = max(0, (int(first["high"]) - int(first["low"])).bit_length() - STEP_BITS)
+            around = {i: (p, 0, below) for i, (_, p, below) in around.items()}
     return sorted(done.values())
 
 
 def cell_of(rows: DataFrame, bounds: list[tuple[int, int]]) -> DataFrame:
     """Adds `cell`, the number of boundaries below a row's (h, g)."""
-    hs, gs = (np.array(x, np.int64) for x in zip(*bounds, strict=True)) if bounds else (np.zeros(0, np.int64),) * 2
-    names = rows.columns
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            cell = below_each(part["h"].to_numpy(np.int64), part["g"].to_numpy(np.int64), hs, gs)
-            yield part[names].assign(cell=cell.astype(np.int32))
-
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
-    return rows.mapInPandas(run, f"{schema}, cell int")
+    longs = lambda x: F.array(*[F.lit(int(v)) for v in x]).cast("array<long>")
+    cell = F.size(F.filter(longs(h for h, _ in bounds), lambda b: b < F.col("h")))
+    if cut := [b for b in bounds if b[1] != HIGH]:  # boundaries within a group of copies
+        cell = cell + F.size(F.filter(F.arrays_zip(longs(h for h, _ in cut).alias("h"), longs(g for _, g in cut).alias("g")), lambda b: (b["h"] == F.col("h")) & (b["g"] < F.col("g"))))
+    return rows.withColumn("cell", cell)
 
 
 def shard(docs: DataFrame, shards: int = SHARDS, cells: int = CELLS_PER_SHARD, tolerance: float = TOLERANCE) -> DataFrame:
