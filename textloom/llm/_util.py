@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -21,7 +22,10 @@ def scratch(spark: SparkSession) -> str:
         base = f"file://{tempfile.mkdtemp(prefix='textloom-')}"
         spark.conf.set("spark.checkpoint.dir", base)
         spark.sparkContext.setCheckpointDir(base)
-    return base.rstrip("/")
+    if ":" not in base:  # a path in the cluster's default store
+        path = spark._jvm.org.apache.hadoop.fs.Path(base)
+        base = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    return re.sub("^file:/+", "file:///", base).rstrip("/")
 
 
 def stash(df: DataFrame, name: str) -> DataFrame:

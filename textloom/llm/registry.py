@@ -9,7 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 _WHERE = {
     "op1_best_fit_packing": "packing",
+    "op5_va_file_topk": "topk",
+    "op6_weak_supervision": "rules",
     "op7_histogram_sharding": "sharding",
+    "op8_warc_index_first": "warc",
     "op9_subset_sum_mixing": "mixing",
 }
 
@@ -19,4 +22,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from textloom.llm.topk import OP5_SQL
+
+    return {"op5_va_file_topk": OP5_SQL}
