@@ -9,11 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 _WHERE = {
     "op1_best_fit_packing": "packing",
+    "op2_ftrl_toxicity": "toxicity",
     "op5_va_file_topk": "topk",
     "op6_weak_supervision": "rules",
     "op7_histogram_sharding": "sharding",
     "op8_warc_index_first": "warc",
     "op9_subset_sum_mixing": "mixing",
+    "op10_fourier_quality": "quality",
 }
 
 
