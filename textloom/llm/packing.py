@@ -61,7 +61,9 @@ class WordEncoder:
                 return at
 
         self.words = Words({"": 0})
-        self.ids, self.at, self.size = np.zeros(1 << 20, np.uint32), np.zeros(1 << 19, np.int64), np.zeros(1 << 19, np.int64)
+        self.ids = np.zeros(1 << 20, np.uint32)
+        #: Of each word: where its ids are, in up to two runs.
+        self.at, self.size = np.zeros((1 << 19, 2), np.int64), np.zeros((1 << 19, 2), np.int64)
         self.used = 0
 
     @classmethod
@@ -70,38 +72,42 @@ class WordEncoder:
             cls._made[path] = cls(path)
         return cls._made[path]
 
-    @staticmethod
-    def _parts(word: str) -> list[str]:
-        """What the tokenizer makes the same ids of: the lower-case word, and commas and full stops at its end apart."""
-        if not word.isascii() and ("\u03a3" in word or "\u0130" in word or not unicodedata.is_normalized("NFC", word)):
-            return [word]
-        low = word.lower()
-        stem = low.rstrip(",.")
-        return [stem, low[len(stem) :]] if len(stem) < len(low) and stem[-1:].isalpha() and "<|" not in low else [low]
-
     def _learn(self) -> None:
-        first, words = len(self.words) - len(self.new), self.words
-        parts = [self._parts(w) for w in self.new]
-        for some in parts:
-            for p in some:
+        """Takes up the new words. The tokenizer gives a word the ids of its lower-case form, and commas and full stops
+        at its end the same ids as apart from it: such words refer to one or two others."""
+        words, new, number = self.words, self.new, len(self.words) - len(self.new)
+        refer, leaves = {}, []
+        for i, word in enumerate(new, number):
+            if not word.isascii() and ("\u03a3" in word or "\u0130" in word or not unicodedata.is_normalized("NFC", word)) or "<|" in word:
+                leaves.append(word)
+                continue
+            low = word.lower()
+            stem = low.rstrip(",.")
+            if not stem or len(stem) == len(low) or not stem[-1].isalpha():
+                if low == word:
+                    leaves.append(word)
+                else:
+                    refer[i] = (low, "")
+            else:
+                refer[i] = (stem, low[len(stem) :])
+        for parts in list(refer.values()):
+            for p in parts:
                 if p not in words:
                     words[p] = len(words)
-                    self.new.append(p)
-        parts += [None] * (len(self.new) - len(parts))
-        leaves = [i for i, p in enumerate(parts) if p is None or p == [self.new[i]]]
+                    new.append(p), leaves.append(p)
         while len(words) > len(self.at):
             self.at, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.at, self.size))
-        for i in range(0, len(leaves), 20_000):
-            at = leaves[i : i + 20_000]
-            found = [e.ids for e in self.tokenizer.encode_batch_fast([self.new[k] for k in at], add_special_tokens=False)]
-            sizes = np.fromiter(map(len, found), np.int64, len(found))
-            at = first + np.array(at, np.int64)
-            self.at[at], self.size[at] = self._append(np.fromiter(chain.from_iterable(found), np.uint32, int(sizes.sum()))) + np.cumsum(sizes) - sizes, sizes
-        for i, some in enumerate(parts):
-            if some is not None and some != [self.new[i]]:
-                k = [words[p] for p in some]
-                self.size[first + i] = self.size[k].sum()
-                self.at[first + i] = self.at[k[0]] if len(k) == 1 else self._append(np.concatenate([self.ids[self.at[x] : self.at[x] + self.size[x]] for x in k]))
+        self.size[number : len(words)] = 0
+        for k in range(0, len(leaves), 20_000):
+            some = leaves[k : k + 20_000]
+            found = [e.ids for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)]
+            at, sizes = np.array([words[w] for w in some], np.int64), np.fromiter(map(len, found), np.int64, len(found))
+            self.at[at, 0], self.size[at, 0] = self._append(np.fromiter(chain.from_iterable(found), np.uint32, int(sizes.sum()))) + np.cumsum(sizes) - sizes, sizes
+        if refer:
+            which = np.fromiter(refer, np.int64, len(refer))
+            for k in (0, 1):
+                part = np.array([words[p[k]] for p in refer.values()], np.int64)
+                self.at[which, k], self.size[which, k] = self.at[part, 0], self.size[part, 0]
 
     def _append(self, flat: np.ndarray) -> int:
         while self.used + len(flat) > len(self.ids):
@@ -121,10 +127,10 @@ class WordEncoder:
         found = [np.fromiter(map(self.words.__getitem__, w), np.int64, len(w)) for w in split]
         del split
         self._learn()
-        for at in found:
-            sizes = self.size[at]
+        for word in found:
+            at, sizes = self.at[word].ravel(), self.size[word].ravel()
             ends = np.cumsum(sizes)
-            yield self.ids[np.repeat(self.at[at] - ends + sizes, sizes) + np.arange(ends[-1])]
+            yield self.ids[np.repeat(at - ends + sizes, sizes) + np.arange(ends[-1])]
 
 
 def tokenize(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame:
