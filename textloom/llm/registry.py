@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 _WHERE = {
     "op1_best_fit_packing": "packing",
     "op2_ftrl_toxicity": "toxicity",
+    "op3_induced_suffix_dedup": "suffixdedup",
     "op4_setsketch_near_dedup": "near",
     "op5_va_file_topk": "topk",
     "op6_weak_supervision": "rules",
