@@ -4,11 +4,11 @@ A document's set is its distinct five-word shingles. Its sketch holds, for
 each register, the least of one exponential value per shingle on a scale of
 powers, truncated at both ends; sketches of parts merge by the larger
 register. Documents of equal sets form a class, of which one goes on. Bands of
-registers bring classes together; within a bucket, classes are compared with
-one of them at a time (stars of a different centre each round), then what is
-not connected yet with everything left. A pair is first estimated by the
-likelihood of its registers given both set sizes, then confirmed on the full
-sets. Components of the confirmed links are the groups.
+registers bring classes together; within a bucket, all classes are compared
+with one of them, then those that are not connected yet with everything left,
+block by block. A pair is first estimated by the likelihood of its registers
+given both set sizes, then confirmed on the full sets. Components of the
+confirmed links are the groups.
 """
 
 from __future__ import annotations
@@ -34,8 +34,7 @@ REGISTERS = BANDS * PER_BAND
 SCALE_BASE, SCALE_TOP = 1.02, 4094
 #: Estimates this many standard deviations below the threshold are not confirmed: fewer than one in a million linked pairs.
 DEVIATIONS = 5.0
-STAR_ROUNDS = 3
-BLOCK = 512
+BLOCK, PAIRS = 512, 20_000
 
 _rng = np.random.default_rng(20260904)
 _FACTOR = _rng.integers(0, 1 << 63, REGISTERS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -189,10 +188,12 @@ def full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def leftover(members: DataFrame, parts: int) -> DataFrame:
-    """Pairs that the sketches do not rule out among members (band, id, component, n, regs) of one bucket and different components.
+    """Confirmed links among members (band, id, component, n, regs, set) of one bucket and different components.
 
     A bucket is cut into blocks by a hash; every two blocks meet in a group of
-    at most about 2 * BLOCK rows, so that no task holds a bucket.
+    at most about 2 * BLOCK rows, so that no task holds a bucket. A pair is
+    looked at in the first band that it shares, and confirmed there; one link is
+    enough between what a group has connected by then, so few pairs leave it.
     """
     sizes = members.groupBy("band").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
     dealt = members.join(sizes, "band").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
@@ -211,20 +212,44 @@ def leftover(members: DataFrame, parts: int) -> DataFrame:
             yield met(held, np.zeros(0, np.int64))
 
     def met(part: pd.DataFrame, cuts: np.ndarray) -> pd.DataFrame:
-        ids, comp, own, n = (part[c].to_numpy() for c in ("id", "component", "own", "n"))
+        ids, comp, own, n, band = (part[c].to_numpy() for c in ("id", "component", "own", "n", "band"))
         cross = (part["x"] != part["y"]).to_numpy()
-        regs, out = _stack(part["regs"], np.uint16, REGISTERS), set()
+        regs, sets, out = _stack(part["regs"], np.uint16, REGISTERS), [np.frombuffer(x, np.uint64) for x in part["set"]], []
+        keys = bands(regs)
+        over: dict[int, int] = {}
+
+        def top(c: int) -> int:
+            while c in over:
+                c = over[c]
+            return c
+
+        def compare(i: np.ndarray, j: np.ndarray) -> None:
+            first = keys[i, np.argmax(keys[i] == keys[j], axis=1)] == band[i]
+            i, j = i[first], j[first]
+            good = likely(regs[i], regs[j], n[i], n[j])
+            for x, y in zip(i[good], j[good], strict=True):
+                a, b = top(comp[x]), top(comp[y])
+                if a != b and linked(sets[x], sets[y]):
+                    over[max(a, b)] = min(a, b)
+                    out.append((min(ids[x], ids[y]), max(ids[x], ids[y])))
+
+        held, size = [], 0
         for a, b in zip(np.append(0, cuts), np.append(cuts, len(part)), strict=True):
-            for i in range(a, b - 1):
-                j = np.arange(i + 1, b)
-                j = j[(comp[j] != comp[i]) & (own[j] != own[i] if cross[i] else True)]
-                if len(j):
-                    j = j[likely(np.broadcast_to(regs[i], (len(j), REGISTERS)), regs[j], np.full(len(j), n[i]), n[j])]
-                    out.update((min(ids[i], k), max(ids[i], k)) for k in ids[j])
-        return pd.DataFrame(sorted(out), columns=["a", "b"], dtype="int64")
-
-    rows = dealt.select("band", "x", "y", "own", "id", "component", "n", "regs").repartition(parts, "band", "x", "y").sortWithinPartitions("band", "x", "y")
-    return batches(rows, 2000).mapInPandas(run, "a long, b long").distinct()
+            step = max(1, PAIRS // (b - a))
+            for k in range(a, b, step):
+                i, j = np.arange(k, min(k + step, b))[:, None], np.arange(a, b)[None, :]
+                at = np.nonzero((i < j) & (comp[i] != comp[j]) & (~cross[i] | (own[i] != own[j])))
+                held.append((at[0] + k, at[1] + a))
+                size += len(at[0])
+                if size >= PAIRS:
+                    compare(*(np.concatenate(x) for x in zip(*held, strict=True)))
+                    held, size = [], 0
+        if size:
+            compare(*(np.concatenate(x) for x in zip(*held, strict=True)))
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+    rows = dealt.select("band", "x", "y", "own", "id", "component", "n", "regs", "set").repartition(parts, "band", "x", "y").sortWithinPartitions("band", "x", "y")
+    return batches(rows, 1000).mapInPandas(run, "a long, b long").distinct()
 
 
 def group(docs: DataFrame) -> DataFrame:
@@ -248,27 +273,20 @@ def group(docs: DataFrame) -> DataFrame:
     wanted = buckets.select("id").distinct().join(distinct.select("id", "same"), "id")
     sets = stash(full_sets(docs, wanted), "near-sets")
 
-    links, labels = None, None
-    for turn in range(STAR_ROUNDS + 1):
-        members = buckets if labels is None else buckets.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
-        if labels is not None:
-            open_ = members.groupBy("band").agg((F.min("component") != F.max("component")).alias("open")).where("open").drop("open")
-            members = stash(members.join(open_, "band"), "near-open")
-            if members.isEmpty():
-                break
-        if turn < STAR_ROUNDS:
-            centre = members.groupBy("band").agg(F.min_by("id", F.xxhash64(F.lit(turn), "id") if turn else F.col("id")).alias("b"))
-            pairs = members.join(centre, "band").where("id <> b")
-            if labels is not None:
-                pairs = pairs.join(labels.select(F.col("id").alias("b"), F.col("component").alias("other")), "b", "left").where(F.col("component") != F.coalesce("other", "b"))
-            pairs = estimated(pairs.select(F.least("id", "b").alias("a"), F.greatest("id", "b").alias("b")).distinct(), distinct)
-        else:
-            pairs = leftover(members.join(distinct.select("id", "n", "regs"), "id"), shuffle_partitions(spark))
-        found = confirmed(pairs, sets)
-        links = stash(found if links is None else links.union(found), "near-links")
-        labels = components(links)
-
-    near = distinct.select("id", "same").join(labels, "id").select("same", "component") if labels is not None else None
+    # Every bucket's classes with its smallest.
+    centre = buckets.groupBy("band").agg(F.min("id").alias("b"), F.count(F.lit(1)).alias("size"))
+    pairs = buckets.join(centre, "band").where("id <> b").select(F.least("id", "b").alias("a"), F.greatest("id", "b").alias("b")).distinct()
+    links = stash(confirmed(estimated(pairs, distinct), sets), "near-links")
+    labels = components(links)
+    # Where that leaves more than one component, all that is left; of two classes the one pair has been compared.
+    members = buckets.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    apart = members.groupBy("band").agg((F.min("component") != F.max("component")).alias("apart"), F.count(F.lit(1)).alias("size")).where("apart AND size > 2").select("band")
+    members = members.join(apart, "band").join(distinct.select("id", "n", "regs"), "id").join(sets, "id")
+    more = stash(leftover(members, shuffle_partitions(spark)), "near-links")
+    if not more.isEmpty():
+        labels = components(links.union(more))
+
+    near = distinct.select("id", "same").join(labels, "id").select("same", "component")
     of = classes.select("same", F.col("id").alias("first"))
     of = of.join(near, "same", "left").select("same", F.coalesce("component", "first").alias("found"))
     out = sketches.drop("regs").join(of, "same", "left")
