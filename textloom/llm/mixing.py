@@ -103,7 +103,7 @@ def fit(size: np.ndarray, count: np.ndarray, budget: int, seed: int, knapsack: i
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST, seed: int = SEED, keep: tuple[str, ...] = ()) -> DataFrame:
     """How often each document of docs (doc_id, text, source) takes part in the mix.
 
-    Returns doc_id, size (words), source_size, target, taken (size times
+    Returns doc_id, source, size (words), source_size, target, taken (size times
     repeats), copies (that number) and the columns in `keep`. A null text has
     size 0, a null source is a source of its own and comes last. Documents of
     size 0 take no part (copies 0). Rows that repeat count each for itself;
@@ -133,8 +133,8 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST,
     ranked = group_rank(rows, ["source", "size"], F.xxhash64(F.lit(seed), "doc_id"), "_rank")
     copies = F.when(F.col("p.size") == 0, 0).otherwise(F.col("passes") + (F.col("_rank") < F.col("more")).cast("int")).cast("int")
     return ranked.alias("r").join(plan.alias("p"), (F.col("r.size") == F.col("p.size")) & F.col("r.source").eqNullSafe(F.col("p.source"))).select(
-        "r.doc_id", "r.size", "source_size", "target", (F.col("r.size") * copies).alias("taken"), copies.alias("copies"), *[F.col(f"r.{c}") for c in keep])
+        "r.doc_id", "r.source", "r.size", "source_size", "target", (F.col("r.size") * copies).alias("taken"), copies.alias("copies"), *[F.col(f"r.{c}") for c in keep])
 
 
 def op9_subset_sum_mixing(spark, sf_dir: str) -> DataFrame:
-    return mix(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("copies")
+    return mix(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")).drop("copies")

@@ -151,8 +151,8 @@ def dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, keep: tuple[s
     """Removes from each text of docs (doc_id, text) every byte covered by a `window`-byte string that also starts anywhere else.
 
     Returns doc_id, n_bytes, n_removed, n_spans, kept_sha256, the columns in
-    `keep` and, if asked for, kept: the remaining bytes (which may cut a
-    character). Strings are judged on the input, over all rows, the same row
+    `keep` and, if asked for, kept: the remaining text, without characters of
+    which only some bytes remain. Strings are judged on the input, over all rows, the same row
     included. A null text counts as empty. Rows count each for itself, also
     those that share a doc_id or have none; a row that repeats thereby removes
     all of a text of `window` bytes or more. An empty table gives no rows.
@@ -200,12 +200,12 @@ def dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, keep: tuple[s
                         removed += max(0, high + window - at)
                         at = max(at, high + window)
                 kept = b"".join([*left, raw[at:]]) if n_spans else raw
-                out.append((len(raw), removed, n_spans, hashlib.sha256(kept).hexdigest(), kept if texts else None))
+                out.append((len(raw), removed, n_spans, hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore") if texts else None))
             more = pd.DataFrame(out, columns=["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
             yield pd.concat([part[["doc_id", *names]].astype({"doc_id": "Int64"}).reset_index(drop=True), more], axis=1)
 
     kinds_of = {f.name: f.dataType.simpleString() for f in rows.schema}
-    schema = ", ".join(f"`{c}` {kinds_of[c]}" for c in ["doc_id", *names]) + ", n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
+    schema = ", ".join(f"`{c}` {kinds_of[c]}" for c in ["doc_id", *names]) + ", n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string"
     out = batches(rows.join(spans, same(rows, spans), "left").select("doc_id", *names, "text", "spans"), 500).mapInPandas(remove, schema)
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *[F.col(f"keep_{c}").alias(c) for c in keep], *(["kept"] if texts else []))
 
