@@ -128,9 +128,9 @@ def types(t: np.ndarray) -> np.ndarray:
     """True for S: a suffix smaller than the one after it. The last symbol is S."""
     n = len(t)
     step = np.sign(np.diff(t.astype(np.int16))).astype(np.int8)  # +1: S, -1: L, 0: as the next
-    at = np.where(step != 0, np.arange(n - 1), n)
+    at = np.where(step != 0, np.arange(n - 1, dtype=np.int32 if n < 1 << 31 else np.int64), n - 1)
     at = np.minimum.accumulate(at[::-1])[::-1]
-    return np.append(np.append(step, 1)[np.minimum(at, n - 1)] > 0, True)
+    return np.append(np.append(step, np.int8(1))[at] > 0, True)
 
 
 def names(t: np.ndarray, star: np.ndarray) -> np.ndarray:
@@ -166,7 +166,8 @@ def refine(rank: np.ndarray, todo: np.ndarray, key: np.ndarray) -> np.ndarray:
 def star_order(t: np.ndarray, star: np.ndarray, cap: int) -> tuple[np.ndarray, np.ndarray]:
     """Indices of S* suffixes in order, and what each shares with the one before, both as deep as cap symbols."""
     rank = names(t, star)
-    levels, step = [rank.copy()], 1
+    compact = np.int32 if len(t) < 1 << 31 else np.int64
+    levels, step = [rank.astype(compact)], 1
     n = len(star)
     _, first, count = np.unique(rank, return_index=True, return_counts=True)
     todo = np.flatnonzero(np.isin(rank, rank[first[count > 1]])) if (count > 1).any() else np.zeros(0, np.int64)
@@ -178,7 +179,7 @@ def star_order(t: np.ndarray, star: np.ndarray, cap: int) -> tuple[np.ndarray, n
         after = np.where(todo + step < n, rank[np.minimum(todo + step, n - 1)] + 1, 0)
         todo = refine(rank, todo, after)
         step *= 2
-        levels.append(rank.copy())
+        levels.append(rank.astype(compact))
     order = np.argsort(rank, kind="stable")
     a, b = order[1:].copy(), order[:-1].copy()
     common, base = np.zeros(len(a), np.int64), 1 << (len(levels) - 1)

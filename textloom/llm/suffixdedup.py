@@ -30,7 +30,7 @@ from textloom.llm.induced import suffixes
 
 WINDOW, GRAM = 400, 32
 #: Text that is sorted at once, unless one anchor has more; beyond IN_MEMORY it is mapped from a file.
-SHARD_BYTES, IN_MEMORY = 3 << 20, 64 << 20
+SHARD_BYTES, IN_MEMORY = 1 << 20, 64 << 20
 RUNS = "doc_id long, key long, anchor long, run long, low int, high int, again boolean"
 
 
