@@ -97,7 +97,7 @@ def token_estimate(text: Column) -> Column:
     return F.greatest(F.lit(1), F.floor(F.length(text) / 3.2).cast("int"))
 
 
-def usd(tokens_in: Column, tokens_out: Column, price_in: Column, price_out: Column, written: Column = F.lit(0), read: Column = F.lit(0)) -> Column:
+def usd(tokens_in: Column, tokens_out: Column, price_in: Column, price_out: Column, written: Column | int = 0, read: Column | int = 0) -> Column:
     """Cost of a call at prices per million tokens; tokens written to a cache cost 1.25 times, read from it 0.1 times."""
     return (tokens_in * price_in + written * price_in * 1.25 + read * price_in * 0.1 + tokens_out * price_out) / 1_000_000
 

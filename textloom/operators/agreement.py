@@ -40,7 +40,7 @@ def per_class(rows: DataFrame, given: str, reference: str) -> DataFrame:
     cells = confusion(rows, given, reference)
     per = cells.select(F.explode(F.array(
         F.struct(F.col("label_a").alias("label"), F.col("n").alias("g"), F.lit(0).cast("long").alias("r"), F.lit(0).cast("long").alias("t")),
-        F.struct(F.col("label_b"), F.lit(0).cast("long"), F.col("n"), F.when(F.col("label_a") == F.col("label_b"), F.col("n")).otherwise(0).cast("long")))).alias("x")).select("x.*")
+        F.struct(F.col("label_b").alias("label"), F.lit(0).cast("long").alias("g"), F.col("n").alias("r"), F.when(F.col("label_a") == F.col("label_b"), F.col("n")).otherwise(0).cast("long").alias("t")))).alias("x")).select("x.*")
     sums = per.groupBy("label").agg(F.sum("t").alias("tp"), F.sum("g").alias("n_given"), F.sum("r").alias("n_ref"))
     return sums.select("*", F.coalesce(F.try_divide("tp", "n_ref"), F.lit(0.0)).alias("tp_over_ref"), F.coalesce(F.try_divide("tp", "n_given"), F.lit(0.0)).alias("tp_over_given"))
 

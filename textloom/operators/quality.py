@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from textloom.operators.ranking import global_rank
 
 TWO_ANNOTATORS, ONE_ANNOTATOR, LOW_CONFIDENCE = 0.70, 0.90, 0.55
 QUEUE_BAND = (60, 100)
@@ -27,9 +28,9 @@ def suspected(rows: DataFrame) -> DataFrame:
 
 def split_by_reach(found: DataFrame, reachable: list[str]) -> tuple[DataFrame, DataFrame]:
     """Suspected errors ranked by confidence, and findings on leaves that no vendor label reaches, likewise."""
-    rank = F.row_number().over(Window.orderBy(F.desc("confidence"), "doc_id"))
+    order = [F.desc("confidence"), F.asc("doc_id")]
     reached = F.col("proposed").isin(*reachable)
-    return found.where(reached).withColumn("rank", rank), found.where(~reached).withColumn("rank", rank)
+    return global_rank(found.where(reached), order, "rank"), global_rank(found.where(~reached), order, "rank")
 
 
 def ambiguous(rows: DataFrame, low: float = LOW_CONFIDENCE) -> DataFrame:
@@ -58,7 +59,8 @@ def route(*reasons: tuple[DataFrame, str]) -> DataFrame:
 def queue(routed: DataFrame, ranks: DataFrame, limit: int | None = None) -> DataFrame:
     """The review queue (doc_id, reason, rank) with its place: by reason, rank, doc_id."""
     priority = F.coalesce(*[F.when(F.col("reason") == k, v) for k, v in PRIORITY.items()], F.lit(9))
-    rows = routed.join(ranks, "doc_id", "left").withColumn("place", F.row_number().over(Window.orderBy(priority, F.asc_nulls_first("rank"), "doc_id")))
+    rows = routed.join(ranks, "doc_id", "left").withColumn("_priority", priority)
+    rows = global_rank(rows, [F.asc("_priority"), F.asc_nulls_first("rank"), F.asc("doc_id")], "place").drop("_priority")
     return rows.where(F.col("place") <= limit) if limit else rows
 
 

@@ -43,10 +43,10 @@ def plant(docs: DataFrame, counts: dict[str, int], seed: int) -> DataFrame:
     """doc_id and kind: disjoint sets of exact sizes, in seeded order. Only the chosen rows (the sum of counts) are sorted and kept."""
     chosen = docs.select("doc_id", seeded(seed).alias("_h")).orderBy("_h", "doc_id").limit(sum(counts.values()))
     place = F.row_number().over(Window.orderBy("_h", "doc_id"))
-    kind, at = F.lit(None).cast("string"), sum(counts.values())
-    for k, n in reversed(counts.items()):
-        kind = F.when(F.col("_i") <= at, k).otherwise(kind) if at == sum(counts.values()) else F.when(F.col("_i") <= at, k).otherwise(kind)
-        at -= n
+    kind, at = F.when(F.lit(False), ""), 0
+    for k, n in counts.items():
+        at += n
+        kind = kind.when(F.col("_i") <= at, k)
     return chosen.withColumn("_i", place).select("doc_id", kind.alias("kind"))
 
 
@@ -66,9 +66,8 @@ def sample(docs: DataFrame, n: int, seed: int) -> DataFrame:
 
 def draw(value: Column, weights: dict[str, int]) -> Column:
     """A key of weights by a whole number, each as likely as its weight."""
-    out, at = F.lit(None).cast("string"), sum(weights.values())
-    x = value % at
-    for k, w in reversed(weights.items()):
-        at -= w
-        out = F.when(x >= at, k).otherwise(out) if out is None else F.when((x >= at) & out.isNull(), k).otherwise(out)
+    out, at = F.when(F.lit(False), ""), 0
+    for k, w in weights.items():
+        at += w
+        out = out.when(value % sum(weights.values()) < at, k)
     return out
