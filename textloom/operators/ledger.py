@@ -38,20 +38,20 @@ def run_states(events: DataFrame) -> DataFrame:
 
 
 def nth_of(rows: DataFrame, by: list[str], value: str, place, name: str) -> DataFrame:
-    """The value at a place (from 0, a column over n) of each group's sorted values."""
+    """The value at a place (from 0, a function of how many there are) of each group's sorted values."""
     order = Window.partitionBy(*by).orderBy(value)
-    rows = rows.withColumn("_i", F.row_number().over(order) - 1).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy(*by)))
-    return rows.where(F.col("_i") == place).select(*by, "n", F.col(value).alias(name))
+    rows = rows.select(*by, F.col(value).alias(name), (F.row_number().over(order) - 1).alias("_i"), F.count(F.lit(1)).over(Window.partitionBy(*by)).alias("_n"))
+    return rows.where(F.col("_i") == place(F.col("_n"))).select(*by, F.col("_n").alias("n"), name)
 
 
 def upper_median(rows: DataFrame, by: list[str], value: str) -> DataFrame:
     """The value in the middle, the upper of two; not interpolated."""
-    return nth_of(rows, by, value, F.floor(F.col("n") / 2), "upper_median")
+    return nth_of(rows, by, value, lambda n: F.floor(n / 2), "upper_median")
 
 
 def fast_floor(rows: DataFrame, by: list[str], value: str) -> DataFrame:
     """Seconds below which a decision is fast: the fifth percentile by place, from 0.5 to 3; 1 for fewer than 20."""
-    at = nth_of(rows, by, value, F.greatest(F.lit(0), F.floor(F.col("n") * 5 / 100) - 1), "at")
+    at = nth_of(rows, by, value, lambda n: F.greatest(F.lit(0), F.floor(n * 5 / 100) - 1), "at")
     return at.select(*by, "n", F.when(F.col("n") < 20, FAST_FLOOR).otherwise(F.greatest(F.lit(FLOOR_BAND[0]), F.least(F.lit(FLOOR_BAND[1]), F.col("at")))).alias("floor"))
 
 
