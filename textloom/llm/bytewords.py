@@ -16,7 +16,7 @@ FOLD[65:91] += 32
 #: Bytes of plain words: ASCII letters and digits and all bytes of other characters.
 PLAIN = np.zeros(256, bool)
 PLAIN[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
-BUFFER = 1 << 21
+BUFFER = 1 << 18
 
 _powers = {}
 

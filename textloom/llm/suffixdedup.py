@@ -24,13 +24,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm._util import batches, scratch, shuffle_partitions, stash, text_or_empty
+from textloom.llm._util import batches, release, scratch, shuffle_partitions, stash, text_or_empty
 from textloom.llm.bytewords import INVERSE, mix, powers, prefix_hash
 from textloom.llm.induced import suffixes
 
 WINDOW, GRAM = 400, 32
 #: Text that is sorted at once, unless one anchor has more; beyond IN_MEMORY it is mapped from a file.
-SHARD_BYTES, IN_MEMORY = 1 << 20, 64 << 20
+SHARD_BYTES, IN_MEMORY = 1 << 19, 64 << 20
 RUNS = "doc_id long, key long, anchor long, run long, low int, high int, again boolean"
 
 
@@ -126,6 +126,7 @@ def sort_shards(pieces: DataFrame, window: int, shard_bytes: int, folder: str) -
     def flush(held: list) -> pd.DataFrame:
         place = folder.removeprefix("file://") if folder.startswith("file://") else tempfile.gettempdir()  # queues of this task only
         found = marks([(x[4], x[3], x[2] == 1) for x in held], window, place)
+        release()
         rows = [(x[0], x[1], a, b) for x, spans in zip(held, found, strict=True) for a, b in spans]
         return pd.DataFrame(rows, columns=["anchor", "run", "low", "high"]).astype({"anchor": "int64", "run": "int64", "low": "int32", "high": "int32"})
 

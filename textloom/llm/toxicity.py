@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm._util import batches, stash, text_or_empty
+from textloom.llm._util import batches, release, stash, text_or_empty
 from textloom.llm.bytewords import PLAIN, chunks, mix, words
 
 #: Labelled rows to learn from at most, those of smallest hash; the bound of the sample.
@@ -86,6 +86,8 @@ def train(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS) -> tup
         rows = pd.concat([pd.DataFrame({"_id": [], "text": [], "_y": []}), *parts], ignore_index=True)
         rows = rows.sort_values(["_id", "text"], ignore_index=True).head(most_rows)
         bias, keys, w = learn(rows["text"].to_list(), rows["_y"].to_list())
+        del rows
+        release()
         yield pd.DataFrame({"key": np.append(keys.view(np.int64), 0), "weight": np.append(w, bias), "bias": [False] * len(w) + [True]})
 
     found = batches(rows, 1000).repartition(1).mapInPandas(run, "key long, weight double, bias boolean").collect()  # at most MOST_WEIGHTS rows and one
