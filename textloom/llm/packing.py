@@ -45,7 +45,7 @@ class WordEncoder:
 
     _made: dict[str, WordEncoder] = {}
 
-    def __init__(self, path: str, limit: int = 400_000):
+    def __init__(self, path: str, limit: int = 800_000):
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
