@@ -46,8 +46,9 @@ def targets(sizes: list[tuple[str | None, int]], weights: tuple[float, ...] = WE
     return out
 
 
-def fit(size: np.ndarray, count: np.ndarray, budget: int, seed: int, knapsack: int = KNAPSACK) -> np.ndarray:
-    """How many documents of each size to take, each at most once, for a sum as near the budget as can be."""
+def fit(size: np.ndarray, count: np.ndarray, budget: int, seed: int, times: int = 1, knapsack: int = KNAPSACK) -> np.ndarray:
+    """How many copies of documents of each size to take for a sum as near the budget as can be: once each, in proportion,
+    and up to `times` for what the proportional share leaves."""
     order = np.argsort(size, kind="stable")
     size, count = size[order].astype(np.int64), count[order].astype(np.int64)
     whole = int((size * count).sum())
@@ -55,27 +56,28 @@ def fit(size: np.ndarray, count: np.ndarray, budget: int, seed: int, knapsack: i
     if budget >= whole:
         out[order] = count
         return out
+    room = count * times
     take = np.floor(count * (budget / whole)).astype(np.int64) if whole else np.zeros(len(size), np.int64)
     left = budget - int((size * take).sum())
     # One more of some lengths, in seeded order, until the programme below can cover the rest.
     for i in np.random.default_rng(seed).permutation(len(size)):
         if left <= knapsack // 2:
             break
-        n = min(int(count[i] - take[i]), (left - knapsack // 4) // max(1, int(size[i])), 1)
+        n = min(int(room[i] - take[i]), (left - knapsack // 4) // max(1, int(size[i])), 1)
         if n > 0:
             take[i] += n
             left -= n * int(size[i])
     i = len(size) - 1
     while left > knapsack // 2 and i >= 0:  # few lengths, many documents: more of the longest
-        n = min(int(count[i] - take[i]), left // max(1, int(size[i])))
+        n = min(int(room[i] - take[i]), left // max(1, int(size[i])))
         take[i] += n
         left -= n * int(size[i])
         i -= 1
     # Bounded knapsack: bit s of `sums` says that s can be made of the documents not yet taken, in binary bundles.
-    top = int(min(left + (size[0] if len(size) else 0), 2 * knapsack))
+    top = int(min(2 * left + (size[0] if len(size) else 0), 2 * knapsack))
     mask, sums, steps = (1 << (top + 1)) - 1, 1, []
     for i in range(len(size)):
-        rest, bundle, s = int(count[i] - take[i]), 1, int(size[i])
+        rest, bundle, s = int(room[i] - take[i]), 1, int(size[i])
         if not 0 < s <= top:
             continue
         rest = min(rest, top // s)
@@ -123,15 +125,16 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST,
         passes = min(most, int(target // whole)) if whole else 0
         rest = min(whole, round(target - passes * whole)) if passes < most else 0
         part = part.sort_values("size", ignore_index=True)
-        more = fit(part["size"].to_numpy(np.int64), part["n"].to_numpy(np.int64), rest, seed)
-        return pd.DataFrame({"source": part["source"], "size": part["size"], "source_size": whole, "target": target, "passes": np.int32(passes), "more": more})
+        more = fit(part["size"].to_numpy(np.int64), part["n"].to_numpy(np.int64), rest, seed, most - passes)
+        return pd.DataFrame({"source": part["source"], "size": part["size"], "source_size": whole, "target": target, "passes": np.int32(passes), "n": part["n"], "more": more})
 
     # Lengths are few however many the documents; the source of most documents has no more of them than any other.
     plan = lengths.join(per_source, lengths["source"].eqNullSafe(per_source["source"])).select(lengths["*"], "source_size", "target") \
-        .groupBy("source").applyInPandas(run, "source string, size long, source_size long, target double, passes int, more long")
+        .groupBy("source").applyInPandas(run, "source string, size long, source_size long, target double, passes int, n long, more long")
     plan = stash(plan, "mixing-plan")
     ranked = group_rank(rows, ["source", "size"], F.xxhash64(F.lit(seed), "doc_id"), "_rank")
-    copies = F.when(F.col("p.size") == 0, 0).otherwise(F.col("passes") + (F.col("_rank") < F.col("more")).cast("int")).cast("int")
+    extra = F.floor(F.col("more") / F.col("n")) + (F.col("_rank") < F.col("more") % F.col("n")).cast("int")
+    copies = F.when(F.col("p.size") == 0, 0).otherwise(F.col("passes") + extra).cast("int")
     return ranked.alias("r").join(plan.alias("p"), (F.col("r.size") == F.col("p.size")) & F.col("r.source").eqNullSafe(F.col("p.source"))).select(
         "r.doc_id", "r.source", "r.size", "source_size", "target", (F.col("r.size") * copies).alias("taken"), copies.alias("copies"), *[F.col(f"r.{c}") for c in keep])
 
