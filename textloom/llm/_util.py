@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import gc
 import re
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -78,7 +80,16 @@ def batches(df: DataFrame, rows: int) -> DataFrame:
 
 
 
-def release() -> None:
-    """Gives freed memory back to the system, where the C library can: a worker outlives its tasks."""
+#: What workers keep between tasks of one operator; any other operator's tasks clear it first.
+caches: list[dict] = []
+
+
+def release(*keep: dict) -> None:
+    """Drops what earlier tasks of other operators have kept, and gives freed memory back to the system where the libraries can."""
+    for cache in caches:
+        if not any(cache is k for k in keep):
+            cache.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):
         ctypes.CDLL(None).malloc_trim(0)

@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm._util import batches, shuffle_partitions, stash, text_or_empty
+from textloom.llm._util import batches, release, shuffle_partitions, stash, text_or_empty
 from textloom.llm.bytewords import SPACES, chunks, mix, words
 from textloom.llm.components import components
 
@@ -131,6 +131,7 @@ def sketch(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, same (a digest of the whole set, null if empty) and regs for each document."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        release()
         for part in parts:
             rows = [(len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None, registers(s).tobytes()) for s in shingles(part["text"].to_list())]
             yield pd.DataFrame({"doc_id": part["doc_id"].astype("Int64"), "n_shingles": [r[0] for r in rows], "same": [r[1] for r in rows], "regs": [r[2] for r in rows]})
@@ -200,6 +201,7 @@ def leftover(members: DataFrame, parts: int) -> DataFrame:
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("x", F.least("own", "other")).withColumn("y", F.greatest("own", "other"))
 
     def run(chunks_: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        release()
         held = None
         for part in chunks_:
             part = part if held is None else pd.concat([held, part], ignore_index=True)

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm._util import batches, group_rank, stash, text_or_empty
+from textloom.llm._util import batches, caches, group_rank, release, stash, text_or_empty
 
 CAPACITY = 4096
 END_ID = 1
@@ -35,6 +35,10 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+_encoders: dict[str, WordEncoder] = {}
+caches.append(_encoders)
+
+
 class WordEncoder:
     """Token ids of whole texts, looked up word by word.
 
@@ -43,8 +47,6 @@ class WordEncoder:
     words remembered between batches.
     """
 
-    _made: dict[str, WordEncoder] = {}
-
     def __init__(self, path: str, limit: int = 800_000):
         import os
 
@@ -68,9 +70,10 @@ class WordEncoder:
 
     @classmethod
     def of(cls, path: str) -> WordEncoder:
-        if path not in cls._made:
-            cls._made[path] = cls(path)
-        return cls._made[path]
+        if path not in _encoders:
+            release(_encoders)
+            _encoders[path] = cls(path)
+        return _encoders[path]
 
     def _learn(self) -> None:
         """Takes up the new words. The tokenizer gives a word the ids of its lower-case form, and commas and full stops

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm._util import batches, stash, text_or_empty
+from textloom.llm._util import batches, release, stash, text_or_empty
 from textloom.llm.bytewords import SPACES, chunks, words
 from textloom.llm.toxicity import held_out
 
@@ -82,6 +82,7 @@ def measure(docs: DataFrame) -> DataFrame:
     """doc_id and x, the statistics of each whole text of docs (doc_id, text)."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        release()
         for part in parts:
             yield pd.DataFrame({"doc_id": part["doc_id"].astype("Int64"), "x": list(statistics(part["text"].to_list()))})
 

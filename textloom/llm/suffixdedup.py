@@ -68,6 +68,7 @@ def all_runs(docs: DataFrame, window: int, gram: int) -> DataFrame:
     """The runs of every text (doc_id, key, text)."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        release()
         marked = np.zeros(1 << 16, bool)
         for part in parts:
             ids, out, sizes = part["doc_id"].astype("Int64"), [], []
@@ -131,6 +132,7 @@ def sort_shards(pieces: DataFrame, window: int, shard_bytes: int, folder: str) -
         return pd.DataFrame(rows, columns=["anchor", "run", "low", "high"]).astype({"anchor": "int64", "run": "int64", "low": "int32", "high": "int32"})
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        release()
         held, size, seen = [], 0, None
         for part in parts:
             for row in part.itertuples(index=False, name=None):

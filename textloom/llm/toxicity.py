@@ -83,6 +83,7 @@ def train(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS) -> tup
     rows = docs.select(F.col("doc_id").cast("long").alias("_id"), text_or_empty().alias("text")).join(F.broadcast(stash(chosen, "toxicity-sample")), "_id").select("_id", "text", "_y")
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        release()
         rows = pd.concat([pd.DataFrame({"_id": [], "text": [], "_y": []}), *parts], ignore_index=True)
         rows = rows.sort_values(["_id", "text"], ignore_index=True).head(most_rows)
         bias, keys, w = learn(rows["text"].to_list(), rows["_y"].to_list())
@@ -101,6 +102,7 @@ def score(docs: DataFrame, model: tuple[float, list[int], list[float]], keep: tu
     keys, weights = np.array(model[1], np.uint64), np.array(model[2], np.float64)
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        release()
         known = np.zeros(1 << BITS, bool)
         known[(keys >> np.uint64(64 - BITS)).astype(np.int64)] = True
         for part in parts:
