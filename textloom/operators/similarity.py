@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -37,17 +38,26 @@ def cosine_pairs(docs: DataFrame, least: float = COSINE) -> DataFrame:
     threshold share a term among those before which each one's remaining length
     is still at least the threshold, so only these prefixes are joined. A
     prefix shorter than all terms keeps frequent terms, the hot keys, out of
-    the join. Candidates are confirmed on one array of all terms per document.
+    the join. Candidates are confirmed on all terms.
     """
     w = written(weights(docs), "similarity-weights")
     rest = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("doc_id").orderBy(F.desc("df"), F.desc("term")).rowsBetween(Window.unboundedPreceding, 0)))
     prefix = w.withColumn("_rest", rest).where(F.col("_rest") >= least - SLACK).select("doc_id", "term")
     pairs = prefix.select(F.col("doc_id").alias("a"), "term").join(prefix.select(F.col("doc_id").alias("b"), "term"), "term").where("a < b").select("a", "b").distinct()
-    vectors = w.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("term", "w"))).alias("v"))
-    side = lambda x: vectors.select(F.col("doc_id").alias(x), F.col("v").alias(f"v{x}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
-    product = F.aggregate(F.map_entries("va"), F.lit(0.0), lambda acc, e: acc + e["value"] * F.coalesce(F.try_element_at("vb", e["key"]), F.lit(0.0)))
-    return both.select("a", "b", product.alias("cosine")).where(F.col("cosine") >= least - SLACK)
+    vectors = w.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct(F.xxhash64("term").alias("t"), "w"))).alias("v")).select("doc_id", F.col("v.t").alias("t"), F.col("v.w").alias("w"))
+    side = lambda x: vectors.select(F.col("doc_id").alias(x), F.col("t").alias(f"t{x}"), F.col("w").alias(f"w{x}"))
+
+    def products(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            out = []
+            for ta, wa, tb, wb in zip(part["ta"], part["wa"], part["tb"], part["wb"], strict=True):
+                at = np.minimum(np.searchsorted(tb, ta), len(tb) - 1)
+                out.append(float(np.dot(wa, np.where(tb[at] == ta, wb[at], 0.0))))
+            part = part[["a", "b"]].assign(cosine=out)
+            yield part[part["cosine"] >= least - SLACK]
+
+    # A document's terms go along as one array of 64-bit hashes and one of weights, so a pair is one row.
+    return pairs.join(side("a"), "a").join(side("b"), "b").mapInPandas(products, "a long, b long, cosine double")
 
 
 def _lcs(a: str, b: str) -> int:
