@@ -47,7 +47,7 @@ class WordEncoder:
     words remembered between batches.
     """
 
-    def __init__(self, path: str, limit: int = 800_000):
+    def __init__(self, path: str, limit: int = 500_000):
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -65,7 +65,7 @@ class WordEncoder:
         self.words = Words({"": 0})
         self.ids = np.zeros(1 << 20, np.uint32)
         #: Of each word: where its ids are, in up to two runs.
-        self.at, self.size = np.zeros((1 << 19, 2), np.int64), np.zeros((1 << 19, 2), np.int64)
+        self.at, self.size = np.zeros((1 << 19, 2), np.int32), np.zeros((1 << 19, 2), np.int32)
         self.used = 0
 
     @classmethod
@@ -132,7 +132,7 @@ class WordEncoder:
         self._learn()
         for word in found:
             at, sizes = self.at[word].ravel(), self.size[word].ravel()
-            ends = np.cumsum(sizes)
+            ends = np.cumsum(sizes, dtype=np.int64)
             yield self.ids[np.repeat(at - ends + sizes, sizes) + np.arange(ends[-1])]
 
 
@@ -147,7 +147,7 @@ def tokenize(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataF
             i = 0
             while i < len(rows):
                 j, chars = i, 0
-                while j < len(rows) and (j == i or chars + len(rows[j][1]) < 4_000_000):
+                while j < len(rows) and (j == i or chars + len(rows[j][1]) < 1_000_000):
                     chars += len(rows[j][1])
                     j += 1
                 for (doc_id, _), tokens in zip(rows[i:j], encoder.encode([t for _, t in rows[i:j]]), strict=True):
