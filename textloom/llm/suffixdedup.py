@@ -146,8 +146,8 @@ def sort_shards(pieces: DataFrame, window: int, shard_bytes: int, folder: str) -
         if held:
             yield flush(held)
 
-    parts = max(shuffle_partitions(pieces.sparkSession), -(-(pieces.agg(F.sum(F.length("bytes"))).first()[0] or 0) // (8 * shard_bytes)))
-    return batches(pieces.select("anchor", "run", "n", "windows", "bytes").repartition(int(parts), "anchor").sortWithinPartitions("anchor", "run"), 2000).mapInPandas(run, "anchor long, run long, low int, high int")
+    parts = shuffle_partitions(pieces.sparkSession)
+    return batches(pieces.select("anchor", "run", "n", "windows", "bytes").repartition(parts, "anchor").sortWithinPartitions("anchor", "run"), 2000).mapInPandas(run, "anchor long, run long, low int, high int")
 
 
 def dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, keep: tuple[str, ...] = (), texts: bool = False, shard_bytes: int = SHARD_BYTES) -> DataFrame:
@@ -178,8 +178,8 @@ def dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, keep: tuple[s
 
     same = lambda a, b: a["doc_id"].eqNullSafe(b["_d"]) & (a["key"] == b["_k"])
     holders = rows.select("doc_id", "key", "text").where(F.octet_length("text") >= window)
-    pieces = stash(batches(holders.join(ask, same(holders, ask)).select("text", "asked"), 500).mapInPandas(cut, "anchor long, run long, n long, windows long, bytes binary"), "suffix-pieces")
-    sorted_ = stash(sort_shards(pieces, window, shard_bytes, scratch(rows.sparkSession)), "suffix-marks")
+    pieces = batches(holders.join(ask, same(holders, ask)).select("text", "asked"), 500).mapInPandas(cut, "anchor long, run long, n long, windows long, bytes binary")
+    sorted_ = sort_shards(pieces, window, shard_bytes, scratch(rows.sparkSession))
 
     whole = kinds.where("n > 1").select("anchor", "run").join(found, ["anchor", "run"]).select("doc_id", "key", "low", F.col("high"))
     partly = found.join(sorted_.select("anchor", "run", F.col("low").alias("a"), F.col("high").alias("b")), ["anchor", "run"]).select("doc_id", "key", (F.col("low") + F.col("a")).alias("low"), (F.col("low") + F.col("b")).alias("high"))
