@@ -298,3 +298,19 @@ def group(docs: DataFrame) -> DataFrame:
 
 def op4_setsketch_near_dedup(spark, sf_dir: str) -> DataFrame:
     return group(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+
+
+#: The same rows by joining all shingles.
+OP4_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents
+), s AS (
+  SELECT doc_id, CASE WHEN len(words) >= 5 THEN list_distinct(list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i:i + 4], ' ')))
+    WHEN len(words) > 0 THEN [array_to_string(words, ' ')] ELSE CAST([] AS VARCHAR[]) END AS sh FROM w
+), p AS (SELECT doc_id, len(sh) AS n, unnest(sh) AS x FROM s), pairs AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared, any_value(a.n) + any_value(b.n) - count(*) AS total FROM p a JOIN p b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY ALL
+), e AS (
+  SELECT a, b FROM pairs WHERE 100 * shared >= 75 * total UNION ALL SELECT b, a FROM pairs WHERE 100 * shared >= 75 * total
+), reach(x, y) AS (SELECT a, b FROM e UNION SELECT r.x, e.b FROM reach r JOIN e ON r.y = e.a), least_of AS (SELECT x, min(y) AS y FROM reach GROUP BY x)
+SELECT doc_id, len(sh) AS n_shingles, least(doc_id, coalesce(y, doc_id)) AS component_id, doc_id = least(doc_id, coalesce(y, doc_id)) AS kept FROM s LEFT JOIN least_of ON x = doc_id
+"""

@@ -26,6 +26,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
+    from textloom.llm.near import OP4_SQL
     from textloom.llm.topk import OP5_SQL
+    from textloom.llm.warc import OP8_SQL
 
-    return {"op5_va_file_topk": OP5_SQL}
+    return {"op4_setsketch_near_dedup": OP4_SQL, "op5_va_file_topk": OP5_SQL, "op8_warc_index_first": OP8_SQL}

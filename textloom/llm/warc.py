@@ -152,3 +152,14 @@ def op8_warc_index_first(spark, sf_dir: str) -> DataFrame:
     folder = f"{scratch(spark)}/warc-{uuid.uuid4().hex}"
     index = write(spark.read.parquet(f"{sf_dir}/pages.parquet"), folder)
     return read(index, folder, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url")
+
+
+#: The same rows without archives.
+OP8_SQL = """
+WITH p AS (SELECT page_id, url, coalesce(html, '') AS html, min(page_id) OVER (PARTITION BY coalesce(html, '')) AS first FROM pages),
+  b AS (SELECT *, CAST(CAST(unhex(sha1(html)) AS BIT) AS VARCHAR) AS bits FROM p)
+SELECT page_id, strlen(html) AS payload_bytes,
+  array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + list_sum(list_transform(range(1, 6), lambda j: CAST(substr(bits, 5 * i + j, 1) AS INTEGER) << (5 - j)))::BIGINT, 1)), '') AS payload_digest,
+  CASE WHEN page_id IS DISTINCT FROM first THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id IS DISTINCT FROM first THEN first END AS refers_to, url
+FROM b
+"""
