@@ -47,7 +47,7 @@ class WordEncoder:
     words remembered between batches.
     """
 
-    def __init__(self, path: str, limit: int = 500_000):
+    def __init__(self, path: str, limit: int = 400_000):
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -79,32 +79,32 @@ class WordEncoder:
         """Takes up the new words. The tokenizer gives a word the ids of its lower-case form, and commas and full stops
         at its end the same ids as apart from it: such words refer to one or two others."""
         words, new, number = self.words, self.new, len(self.words) - len(self.new)
-        refer, leaves = {}, []
-        for i, word in enumerate(new, number):
-            if not word.isascii() and ("\u03a3" in word or "\u0130" in word or not unicodedata.is_normalized("NFC", word)) or "<|" in word:
-                leaves.append(word)
-                continue
-            low = word.lower()
-            stem = low.rstrip(",.")
-            if not stem or len(stem) == len(low) or not stem[-1].isalpha():
-                if low == word:
-                    leaves.append(word)
-                else:
-                    refer[i] = (low, "")
-            else:
+        refer, leaves, leaf_at = {}, [], []
+        lows = [w.lower() for w in new]
+        stems = [w.rstrip(",.") for w in lows]
+        for i, (word, low, stem) in enumerate(zip(new, lows, stems, strict=True), number):
+            if low == word == stem and word.isascii():
+                leaves.append(word), leaf_at.append(i)
+            elif "<|" in word or not word.isascii() and ("\u03a3" in word or "\u0130" in word or not unicodedata.is_normalized("NFC", word)):
+                leaves.append(word), leaf_at.append(i)
+            elif stem and len(stem) < len(low) and stem[-1].isalpha():
                 refer[i] = (stem, low[len(stem) :])
+            elif low == word:
+                leaves.append(word), leaf_at.append(i)
+            else:
+                refer[i] = (low, "")
         for parts in list(refer.values()):
             for p in parts:
                 if p not in words:
-                    words[p] = len(words)
-                    new.append(p), leaves.append(p)
+                    words[p] = i = len(words)
+                    new.append(p), leaves.append(p), leaf_at.append(i)
         while len(words) > len(self.at):
             self.at, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.at, self.size))
         self.size[number : len(words)] = 0
         for k in range(0, len(leaves), 20_000):
             some = leaves[k : k + 20_000]
             found = [e.ids for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)]
-            at, sizes = np.array([words[w] for w in some], np.int64), np.fromiter(map(len, found), np.int64, len(found))
+            at, sizes = np.array(leaf_at[k : k + 20_000], np.int64), np.fromiter(map(len, found), np.int64, len(found))
             self.at[at, 0], self.size[at, 0] = self._append(np.fromiter(chain.from_iterable(found), np.uint32, int(sizes.sum()))) + np.cumsum(sizes) - sizes, sizes
         if refer:
             which = np.fromiter(refer, np.int64, len(refer))
@@ -147,7 +147,7 @@ def tokenize(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataF
             i = 0
             while i < len(rows):
                 j, chars = i, 0
-                while j < len(rows) and (j == i or chars + len(rows[j][1]) < 1_000_000):
+                while j < len(rows) and (j == i or chars + len(rows[j][1]) < 3_000_000):
                     chars += len(rows[j][1])
                     j += 1
                 for (doc_id, _), tokens in zip(rows[i:j], encoder.encode([t for _, t in rows[i:j]]), strict=True):
