@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from textloom.functions import text as T
-from textloom.operators import agreement, evaluate, export, improve, labeling, ledger, quality, similarity, taxonomy
+from textloom.operators import agreement, evaluate, export, generate, improve, labeling, ledger, quality, review, similarity, taxonomy
 from textloom.operators.ranking import global_rank
 from textloom.plans import demo
 from textloom.plans.demo import BASE, LEAVES, LOG, RUNS
@@ -634,3 +634,53 @@ def q_set_planted_intersect_flagged(spark, sf_dir):
 @query(f"WITH {_ROUTED} SELECT doc_id FROM documents EXCEPT SELECT doc_id FROM routed")
 def q_set_unflagged(spark, sf_dir):
     return demo.table(spark, sf_dir, "documents").select("doc_id").join(routed(spark, sf_dir), "doc_id", "left_anti")
+
+
+@query("WITH s AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS i, count(*) OVER (PARTITION BY event_type) AS n FROM events) SELECT event_type, n, value AS p99 FROM s WHERE i = greatest(0, n * 99 // 100 - 1)")
+def q_p99_by_place(spark, sf_dir):
+    return ledger.nth_of(demo.table(spark, sf_dir, "events"), ["event_type"], "value", lambda n: F.greatest(F.lit(0), F.floor(n * 99 / 100) - 1), "p99")
+
+
+@query("SELECT doc_id, doc_id // 10 AS batch FROM documents")
+def q_batches_of_ten(spark, sf_dir):
+    ranked = global_rank(demo.table(spark, sf_dir, "documents").select("doc_id"), [F.asc("doc_id")], "n")
+    return ranked.select("doc_id", F.floor((F.col("n") - 1) / 10).alias("batch"))
+
+
+@query(f"""WITH {BASE}, x AS (SELECT doc_id, doc_id AS ordinal, ['accept_llm', 'accept_vendor', 'accept_heuristic', 'other_leaf', 'skip', 'nonsense'][1 + doc_id % 6] AS decision, CASE WHEN doc_id % 4 = 1 THEN 'en' END AS leaf FROM documents)
+SELECT x.doc_id, ordinal, decision, CASE decision WHEN 'accept_llm' THEN a_label WHEN 'accept_vendor' THEN vendor WHEN 'accept_heuristic' THEN b_label WHEN 'other_leaf' THEN leaf END AS final_label
+FROM x JOIN base USING (doc_id) WHERE decision <> 'nonsense' AND (decision <> 'other_leaf' OR leaf IS NOT NULL)""")
+def q_batch_adjudication(spark, sf_dir):
+    actions = ["accept_llm", "accept_vendor", "accept_heuristic", "other_leaf", "skip", "nonsense"]
+    answers = demo.table(spark, sf_dir, "documents").select("doc_id", F.col("doc_id").alias("ordinal"), F.array(*map(F.lit, actions))[(F.col("doc_id") % 6).cast("int")].alias("decision"), F.when(F.col("doc_id") % 4 == 1, "en").alias("leaf"), F.lit(1.0).alias("seconds"))
+    return review.adjudicate(answers, demo.rows(spark, sf_dir)).drop("seconds")
+
+
+_CLASS = "CASE " + " ".join(f"WHEN x < {sum(list(generate.CLASSES.values())[: i + 1])} THEN '{k}'" for i, k in enumerate(generate.CLASSES)) + " END"
+
+
+@query(f"SELECT 'class ' || {_CLASS} AS name, count(*) AS n FROM (SELECT CAST(concat('0x', substr(md5(concat('11|class', i)), 1, 4)) AS INTEGER) % 100 AS x FROM range(600) t(i)) GROUP BY name UNION ALL SELECT * FROM (VALUES ('kind ambiguous', 30), ('kind duplicate', 18), ('kind pii', 25), ('kind multilingual', 12), ('kind error', 40))")
+def q_generated_manifest(spark, sf_dir):
+    return generate.manifest(generate.tickets(spark, 600, 11))
+
+
+@query("SELECT * FROM (VALUES ('spans', true), ('errors', true), ('scripts', true)) t(name, ok)")
+def q_generated_checks(spark, sf_dir):
+    return generate.checks(generate.tickets(spark, 600, 11))
+
+
+@query("SELECT count(*) AS rows, max(n_chars) AS longest, CAST(sum(n_chars) AS BIGINT) AS chars FROM documents")
+def q_table_metrics(spark, sf_dir):
+    return demo.table(spark, sf_dir, "documents").agg(F.count(F.lit(1)).alias("rows"), F.max("n_chars").alias("longest"), F.sum("n_chars").alias("chars"))
+
+
+@query(f"WITH {BASE} SELECT doc_id, label FROM (SELECT doc_id, a_label AS label, 1 AS p FROM base WHERE doc_id % 2 = 0 UNION ALL SELECT doc_id, b_label, 2 FROM base) QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY p DESC) = 1")
+def q_latest_label_per_document(spark, sf_dir):
+    rows = demo.rows(spark, sf_dir)
+    both = rows.where("doc_id % 2 = 0").select("doc_id", F.col("a_label").alias("label"), F.lit(1).alias("p")).unionByName(rows.select("doc_id", F.col("b_label").alias("label"), F.lit(2).alias("p")))
+    return tables.keep_last(both, ["doc_id"], F.col("p")).drop("p")
+
+
+@query(f"WITH {BASE} SELECT DISTINCT vendor, len(leaves) = 0 AS uncovered FROM base")
+def q_vendor_labels(spark, sf_dir):
+    return demo.rows(spark, sf_dir).select("vendor", (F.size("leaves") == 0).alias("uncovered")).distinct()
