@@ -107,7 +107,8 @@ def extract_json(text: Column) -> Column:
     fenced = F.regexp_extract(text, r"(?s)```(?:json)?\s*(.*?)```", 1)
     outer = F.regexp_extract(text, r"(?s)([\{\[].*[\}\]])", 1)
     valid = lambda x: F.when(F.get_json_object(x, "$").isNotNull(), x)
-    return F.coalesce(valid(F.trim(fenced)), valid(F.trim(text)), valid(outer))
+    bare = lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")
+    return F.coalesce(valid(bare(fenced)), valid(bare(text)), valid(outer))
 
 
 def is_snake_case(name: Column) -> Column:
