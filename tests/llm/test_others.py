@@ -60,6 +60,12 @@ def test_fit_is_as_near_as_any_sum(seed):
     assert int((got * size).sum()) in sums
 
 
+def test_fit_takes_a_giant_if_that_is_nearer():
+    assert mixing.fit(np.array([1_000_000]), np.array([1]), 900_000, 1).tolist() == [1]
+    assert mixing.fit(np.array([1_000_000]), np.array([1]), 100_000, 1).tolist() == [0]
+    assert mixing.fit(np.array([0]), np.array([5]), 0, 1).tolist() == [5] and mixing.fit(np.zeros(0), np.zeros(0), 0, 1).tolist() == []
+
+
 def test_mix(corpus, rows):
     got = mixing.mix(corpus).collect()
     again = mixing.mix(corpus.repartition(5)).collect()

@@ -94,6 +94,10 @@ def fit(size: np.ndarray, count: np.ndarray, budget: int, seed: int, times: int
     above = sums >> (left + 1)
     above = left + 1 + ((above & -above).bit_length() - 1) if above else None
     goal = above if above is not None and above - left < left - below else below
+    larger = next((i for i in range(len(size)) if size[i] > top and room[i] > take[i]), None)
+    if larger is not None and abs(int(size[larger]) - left) < abs(goal - left):  # one document beyond the programme's range
+        take[larger] += 1
+        goal = 0
     for i, n, before in reversed(steps):
         if not before >> goal & 1:
             take[i] += n
