@@ -40,19 +40,27 @@ def cosine_pairs(docs: DataFrame, least: float = COSINE) -> DataFrame:
     prefix shorter than all terms keeps frequent terms, the hot keys, out of
     the join. Candidates are confirmed on all terms.
     """
-    w = written(weights(docs), "similarity-weights")
-    rest = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("doc_id").orderBy(F.desc("df"), F.desc("term")).rowsBetween(Window.unboundedPreceding, 0)))
-    prefix = w.withColumn("_rest", rest).where(F.col("_rest") >= least - SLACK).select("doc_id", "term")
-    pairs = prefix.select(F.col("doc_id").alias("a"), "term").join(prefix.select(F.col("doc_id").alias("b"), "term"), "term").where("a < b").select("a", "b").distinct()
-    vectors = w.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct(F.xxhash64("term").alias("t"), "w"))).alias("v")).select("doc_id", F.col("v.t").alias("t"), F.col("v.w").alias("w"))
+    w = weights(docs).select("doc_id", F.xxhash64("term").alias("t"), "df", "w")
+    # One row a document: its terms from common to rare, with the length of the vector up to each.
+    vectors = w.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct((-F.col("df")).alias("o"), "t", "w"))).alias("v")).select("doc_id", F.col("v.t").alias("t"), F.col("v.w").alias("w"))
+
+    def prefixes(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            # The vector up to a term is what remains of it from that term on, seen from the rare end.
+            kept = [t[np.sqrt(np.cumsum(np.square(x))) >= least - SLACK] for t, x in zip(part["t"], part["w"], strict=True)]
+            yield pd.DataFrame({"doc_id": np.repeat(part["doc_id"].to_numpy(np.int64), [len(k) for k in kept]), "t": np.concatenate([np.zeros(0, np.int64), *kept])})
+
+    vectors = written(vectors, "similarity-vectors")
+    prefix = vectors.mapInPandas(prefixes, "doc_id long, t long")
+    pairs = prefix.select(F.col("doc_id").alias("a"), "t").join(prefix.select(F.col("doc_id").alias("b"), "t"), "t").where("a < b").select("a", "b").distinct()
     side = lambda x: vectors.select(F.col("doc_id").alias(x), F.col("t").alias(f"t{x}"), F.col("w").alias(f"w{x}"))
 
     def products(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             out = []
             for ta, wa, tb, wb in zip(part["ta"], part["wa"], part["tb"], part["wb"], strict=True):
-                at = np.minimum(np.searchsorted(tb, ta), len(tb) - 1)
-                out.append(float(np.dot(wa, np.where(tb[at] == ta, wb[at], 0.0))))
+                _, i, j = np.intersect1d(ta, tb, assume_unique=True, return_indices=True)
+                out.append(float(np.dot(wa[i], wb[j])))
             part = part[["a", "b"]].assign(cosine=out)
             yield part[part["cosine"] >= least - SLACK]
 

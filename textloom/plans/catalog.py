@@ -66,7 +66,7 @@ _LEAK = " OR ".join(f"regexp_matches(body, '{p}')" for p in (T.CARD, T.EMAIL, T.
 
 
 def spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return demo.table(spark, sf_dir, "documents").select("doc_id", "text", T.pii_spans(F.col("text")).alias("spans"))
+    return demo.documents(spark, sf_dir, "doc_id", "text").select("doc_id", "text", T.pii_spans(F.col("text")).alias("spans"))
 
 
 @query(f'WITH {_PII} SELECT doc_id, type, value, start, "end" FROM pii')
@@ -100,7 +100,7 @@ _TERMS = f"list_filter(string_split({_NORM}, ' '), lambda w: length(w) > 2)"
 @query(f"SELECT doc_id, md5({_NORM}) AS normalized_md5, CAST(length({_NORM}) AS BIGINT) AS n FROM documents")
 def q_normalize_text(spark, sf_dir):
     n = T.normalize(F.col("text"))
-    return demo.table(spark, sf_dir, "documents").select("doc_id", F.md5(n).alias("normalized_md5"), F.length(n).cast("long").alias("n"))
+    return demo.documents(spark, sf_dir, "doc_id", "text").select("doc_id", F.md5(n).alias("normalized_md5"), F.length(n).cast("long").alias("n"))
 
 
 _STOP = ", ".join("'" + w.replace("'", "''") + "'" for w in T.STOPWORDS)
@@ -109,7 +109,7 @@ _STOP = ", ".join("'" + w.replace("'", "''") + "'" for w in T.STOPWORDS)
 @query(f"SELECT doc_id, len(t) AS n, md5(array_to_string(t, ' ')) AS tokens_md5 FROM (SELECT doc_id, list_filter(regexp_extract_all(lower(text), '{T.TOKEN}'), lambda w: length(w) > 2 AND w NOT IN ({_STOP})) AS t FROM documents)")
 def q_tokenize_terms(spark, sf_dir):
     t = T.tokens(F.col("text"))
-    return demo.table(spark, sf_dir, "documents").select("doc_id", F.size(t).cast("long").alias("n"), F.md5(F.array_join(t, " ")).alias("tokens_md5"))
+    return demo.documents(spark, sf_dir, "doc_id", "text").select("doc_id", F.size(t).cast("long").alias("n"), F.md5(F.array_join(t, " ")).alias("tokens_md5"))
 
 
 @query("SELECT doc_id, greatest(1, CAST(floor(length(text) / 3.2::DOUBLE) AS INTEGER)) AS tokens, sha256(concat(source, '|', text)) AS cache_key, instr(text, '\n') = 0 AS one_line FROM documents")
@@ -130,7 +130,7 @@ _COS = _POST + """, cos AS (
 
 
 def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return demo.table(spark, sf_dir, "documents").select("doc_id", "text")
+    return demo.documents(spark, sf_dir, "doc_id", "text")
 
 
 @query(f"WITH {_POST} SELECT term, df FROM df ORDER BY df DESC, term LIMIT 100")

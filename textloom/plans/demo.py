@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.operators import labeling
+from textloom.sources.tables import spread
 
 LEAVES = ["de", "en", "es", "fr"]
 ALIGNMENT = {"en": ["en"], "fr": "fr", "de": ["de", "es"], "es": None}
@@ -28,6 +29,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """Columns of documents, for work on whole texts."""
+    return spread(table(spark, sf_dir, "documents").select(*columns))
+
+
 def coded(salt: int) -> Column:
     return F.md5(F.concat(F.lit(f"{salt}|"), F.col("doc_id").cast("string")))
 
@@ -60,7 +66,7 @@ def rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def tickets(spark: SparkSession, sf_dir: str) -> DataFrame:
     from textloom.functions.text import first_line
 
-    return table(spark, sf_dir, "documents").select("doc_id", first_line(F.col("text")).alias("subject"), F.col("text").alias("body"), F.col("source").alias("channel"))
+    return documents(spark, sf_dir, "doc_id", "text", "source").select("doc_id", first_line(F.col("text")).alias("subject"), F.col("text").alias("body"), F.col("source").alias("channel"))
 
 
 DECISIONS = ("accept_llm", "accept_vendor", "accept_heuristic", "ambiguous_both", "skip", "other_leaf")

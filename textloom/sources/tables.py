@@ -39,6 +39,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame, per_core: int = 8 << 20) -> DataFrame:
+    """Deals out the rows of a small table that has fewer files than there are cores; any other table stays as it is.
+
+    A single file of one row group is read by one task, which work on texts would then keep to.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < cores * per_core and len(df.inputFiles()) < cores else df
+
+
 def keep_last(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
     """One row for each key: the last by `order`, which should be total."""
     return df.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*[o.desc() for o in order]))).where("_n = 1").drop("_n")
