@@ -14,10 +14,9 @@ from pyspark.sql.window import Window
 from textloom.sources.tables import shared_folder as scratch
 from textloom.sources.tables import written as stash
 
-__all__ = ["batches", "caches", "group_rank", "release", "scratch", "shuffle_partitions", "stash", "table", "text_or_empty"]
+__all__ = ["batches", "caches", "group_rank", "release", "scratch", "shuffle_partitions", "stash", "text_or_empty"]
 
-#: A word is a run of characters that are not ASCII white space.
-WORD = r"[^\x20\x09-\x0D]+"
+#: Between words, which are runs of any other characters.
 SPACE = r"[\x20\x09-\x0D]+"
 
 
@@ -46,10 +45,6 @@ def group_rank(df: DataFrame, keys: list[str], order: Column, name: str) -> Data
     return within.join(starts, on).select(*[within[c] for c in df.columns], (F.col("_start") + F.col("_r") - 1).alias(name))
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
