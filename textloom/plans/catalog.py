@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -318,13 +319,27 @@ _ROUTED = _SUSPECT + """, near AS (SELECT min(doc_id) AS doc_id FROM documents G
   SELECT doc_id, arg_min(reason, p) AS reason FROM (SELECT doc_id, 'suspected_label_error' AS reason, 0 AS p FROM suspected UNION ALL SELECT doc_id, 'ambiguity', 1 FROM ambiguous UNION ALL SELECT doc_id, 'duplicate', 2 FROM near) GROUP BY doc_id)"""
 
 
+#: The leaves that vendor labels reach.
+REACHED = ["en", "fr", "de"]
+
+
 def copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The smallest doc_id of every text that occurs more than once."""
     return texts(spark, sf_dir).groupBy(F.md5("text").alias("m")).agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id")
 
 
-def routed(spark: SparkSession, sf_dir: str) -> DataFrame:
+def contested_firsts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The smallest doc_id of every near-duplicate cluster whose members' labels conflict."""
+    labels = demo.rows(spark, sf_dir).select("doc_id", F.col("a_label").alias("label"), "leaves")
+    return quality.contested(q_near_dup_clusters(spark, sf_dir).join(labels, "doc_id")).select(F.col("component").alias("doc_id"))
+
+
+def routed(spark: SparkSession, sf_dir: str, near: bool = False) -> DataFrame:
+    """doc_id and reason. `near` takes contested near-duplicate clusters in place of exact copies, and leaves out what is a finding on granularity."""
     rows = demo.rows(spark, sf_dir)
+    if near:
+        found = quality.suspected(rows).where(F.col("proposed").isin(*REACHED))
+        return quality.route((found, "suspected_label_error"), (quality.ambiguous(rows), "ambiguity"), (contested_firsts(spark, sf_dir), "duplicate"))
     return quality.route((quality.suspected(rows), "suspected_label_error"), (quality.ambiguous(rows), "ambiguity"), (copies(spark, sf_dir), "duplicate"))
 
 
@@ -344,28 +359,29 @@ def q_ambiguity_flags(spark, sf_dir):
 
 
 @query(f"WITH {_ROUTED} SELECT * FROM routed")
-def q_routing(spark, sf_dir):
-    return routed(spark, sf_dir)
+def q_routing(spark, sf_dir, near=False):
+    return routed(spark, sf_dir, near)
 
 
 @query(f"WITH {_ROUTED} SELECT reason, count(*) AS n FROM routed GROUP BY reason")
-def q_routed_by_reason(spark, sf_dir):
-    return routed(spark, sf_dir).groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
+def q_routed_by_reason(spark, sf_dir, near=False):
+    return routed(spark, sf_dir, near).groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(f"WITH {_ROUTED}, t AS (SELECT count(*) AS total FROM documents) SELECT routed, total, routed::DOUBLE / total AS ratio, routed BETWEEN 60 AND 100 AS in_band FROM (SELECT count(DISTINCT doc_id) AS routed FROM routed), t")
-def q_queue_ratio(spark, sf_dir):
-    return quality.queue_ratio(routed(spark, sf_dir), demo.table(spark, sf_dir, "documents"))
+def q_queue_ratio(spark, sf_dir, near=False):
+    return quality.queue_ratio(routed(spark, sf_dir, near), demo.table(spark, sf_dir, "documents"))
 
 
 @query(f"""WITH {_ROUTED}, r AS (SELECT doc_id, CAST(row_number() OVER (ORDER BY confidence DESC, doc_id) AS INTEGER) AS rank FROM suspected)
 SELECT doc_id, reason, rank, CAST(row_number() OVER (ORDER BY CASE reason WHEN 'suspected_label_error' THEN 0 WHEN 'ambiguity' THEN 1 ELSE 2 END, rank NULLS FIRST, doc_id) AS INTEGER) AS place FROM routed LEFT JOIN r USING (doc_id)
 WHERE NOT EXISTS (SELECT 1 FROM documents d WHERE d.doc_id = routed.doc_id AND d.doc_id % 10 = 0)""")
-def q_review_queue_pending(spark, sf_dir):
+def q_review_queue_pending(spark, sf_dir, near=False):
     found = quality.suspected(demo.rows(spark, sf_dir))
+    found = found.where(F.col("proposed").isin(*REACHED)) if near else found
     ranks = global_rank(found.select("doc_id", "confidence"), [F.desc("confidence"), F.asc("doc_id")], "rank").drop("confidence")
     done = demo.table(spark, sf_dir, "documents").where("doc_id % 10 = 0").select("doc_id")
-    return quality.queue(routed(spark, sf_dir).join(done, "doc_id", "left_anti"), ranks)
+    return quality.queue(routed(spark, sf_dir, near).join(done, "doc_id", "left_anti"), ranks)
 
 
 @query(f"WITH {_ROUTED} SELECT flag_type, count(*) AS n FROM (SELECT 'suspected_label_error' AS flag_type FROM suspected UNION ALL SELECT 'ambiguity' FROM ambiguous UNION ALL SELECT 'duplicate' FROM near) GROUP BY flag_type")
@@ -429,10 +445,11 @@ _V2 = LOG + """, clusters AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY md5(
 )"""
 
 
-def second(spark: SparkSession, sf_dir: str) -> DataFrame:
+def second(spark: SparkSession, sf_dir: str, near: bool = False) -> DataFrame:
+    """The second version; `near` merges near-duplicate clusters in place of exact copies."""
     rows = demo.rows(spark, sf_dir)
     docs = texts(spark, sf_dir)
-    clusters = docs.select("doc_id", F.min("doc_id").over(Window.partitionBy(F.md5("text"))).alias("component"))
+    clusters = q_near_dup_clusters(spark, sf_dir) if near else docs.select("doc_id", F.min("doc_id").over(Window.partitionBy(F.md5("text"))).alias("component"))
     return improve.second_version(docs, improve.first_version(rows), improve.latest_adjudications(demo.log(spark, sf_dir)).select("doc_id", "decision", "final_label", "covered"), rows.select("doc_id", F.col("b_label").alias("other")), clusters)
 
 
@@ -442,8 +459,8 @@ def q_dataset_v1(spark, sf_dir):
 
 
 @query(f"WITH {_V2} SELECT doc_id, before, label, alt_label, status FROM v2c")
-def q_dataset_v2(spark, sf_dir):
-    return second(spark, sf_dir).select("doc_id", "before", "label", "alt_label", "status")
+def q_dataset_v2(spark, sf_dir, near=False):
+    return second(spark, sf_dir, near).select("doc_id", "before", "label", "alt_label", "status")
 
 
 _DIFF = _V2 + ", " + _PII + """, counts AS (SELECT doc_id, count(*) AS n FROM pii GROUP BY doc_id), diff AS (
@@ -454,13 +471,13 @@ _DIFF = _V2 + ", " + _PII + """, counts AS (SELECT doc_id, count(*) AS n FROM pi
 
 
 @query(f"WITH {_DIFF} SELECT * FROM diff")
-def q_v1_v2_diff(spark, sf_dir):
-    return improve.difference(second(spark, sf_dir))
+def q_v1_v2_diff(spark, sf_dir, near=False):
+    return improve.difference(second(spark, sf_dir, near))
 
 
 @query(f"WITH {_DIFF} SELECT field, count(*) AS n, count(DISTINCT doc_id) AS documents FROM diff GROUP BY field")
-def q_diff_summary(spark, sf_dir):
-    return improve.difference(second(spark, sf_dir)).groupBy("field").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("doc_id").alias("documents"))
+def q_diff_summary(spark, sf_dir, near=False):
+    return improve.difference(second(spark, sf_dir, near)).groupBy("field").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("doc_id").alias("documents"))
 
 
 # Evaluation
@@ -471,8 +488,8 @@ def q_diff_summary(spark, sf_dir):
   UNION ALL SELECT 'v1_same_rows', count(*), count(*) FILTER (before = truth) FROM r WHERE status <> 'merged_duplicate'
   UNION ALL SELECT 'vendor', count(*), count(*) FILTER (list_contains(leaves, truth)) FROM r)
 SELECT *, coalesce(hits::DOUBLE / nullif(n, 0), 0) AS value FROM m""")
-def q_eval_accuracy(spark, sf_dir):
-    rows = second(spark, sf_dir).join(demo.rows(spark, sf_dir).select("doc_id", "truth", "leaves"), "doc_id")
+def q_eval_accuracy(spark, sf_dir, near=False):
+    rows = second(spark, sf_dir, near).join(demo.rows(spark, sf_dir).select("doc_id", "truth", "leaves"), "doc_id")
     left = rows.where("status <> 'merged_duplicate'")
     parts = [evaluate.accuracy(rows, "v1", F.expr("before = truth")), evaluate.accuracy(left, "v2", F.expr("coalesce(label = truth, false) or coalesce(alt_label = truth, false)")),
              evaluate.accuracy(left, "v1_same_rows", F.expr("before = truth")), evaluate.accuracy(rows, "vendor", evaluate.correct(targets="leaves"))]
@@ -524,13 +541,13 @@ def q_release_gates(spark, sf_dir):
 
 @query(f"""WITH {_V2}, u AS (SELECT doc_id, label, row_number() OVER (PARTITION BY label ORDER BY md5(concat('20260904|', doc_id)), doc_id) AS i, count(*) OVER (PARTITION BY label) AS n FROM v2c WHERE status = 'kept' AND label IS NOT NULL)
 SELECT doc_id, label, CASE WHEN i <= greatest(1, CAST(round_even(n * 0.85::DOUBLE, 0) AS BIGINT)) THEN 'train' ELSE 'eval' END AS split FROM u""")
-def q_export_split(spark, sf_dir):
-    return export.split(export.usable(second(spark, sf_dir)).select("doc_id", "label"))
+def q_export_split(spark, sf_dir, near=False):
+    return export.split(export.usable(second(spark, sf_dir, near)).select("doc_id", "label"))
 
 
 @query(f"WITH {_V2} SELECT CASE WHEN status <> 'kept' THEN status ELSE 'kept_without_label' END AS reason, count(*) AS n FROM v2c WHERE NOT (status = 'kept' AND label IS NOT NULL) GROUP BY ALL")
-def q_export_exclusions(spark, sf_dir):
-    return export.exclusions(second(spark, sf_dir))
+def q_export_exclusions(spark, sf_dir, near=False):
+    return export.exclusions(second(spark, sf_dir, near))
 
 
 @query(f"WITH {_SCRUB} SELECT doc_id FROM scrubbed WHERE {_LEAK} ORDER BY doc_id LIMIT 20")
@@ -632,8 +649,8 @@ def q_set_planted_intersect_flagged(spark, sf_dir):
 
 
 @query(f"WITH {_ROUTED} SELECT doc_id FROM documents EXCEPT SELECT doc_id FROM routed")
-def q_set_unflagged(spark, sf_dir):
-    return demo.table(spark, sf_dir, "documents").select("doc_id").join(routed(spark, sf_dir), "doc_id", "left_anti")
+def q_set_unflagged(spark, sf_dir, near=False):
+    return demo.table(spark, sf_dir, "documents").select("doc_id").join(routed(spark, sf_dir, near), "doc_id", "left_anti")
 
 
 @query("WITH s AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS i, count(*) OVER (PARTITION BY event_type) AS n FROM events) SELECT event_type, n, value AS p99 FROM s WHERE i = greatest(0, n * 99 // 100 - 1)")
@@ -684,3 +701,9 @@ def q_latest_label_per_document(spark, sf_dir):
 @query(f"WITH {BASE} SELECT DISTINCT vendor, len(leaves) = 0 AS uncovered FROM base")
 def q_vendor_labels(spark, sf_dir):
     return demo.rows(spark, sf_dir).select("vendor", (F.size("leaves") == 0).alias("uncovered")).distinct()
+
+
+# Near duplicates in place of exact copies: near_NAME is NAME over the clusters of near_dup_clusters, of which review gets the contested ones. SQL has no token-set ratio.
+
+for _f in (q_routing, q_routed_by_reason, q_queue_ratio, q_review_queue_pending, q_set_unflagged, q_dataset_v2, q_v1_v2_diff, q_diff_summary, q_eval_accuracy, q_export_split, q_export_exclusions):
+    _QUERIES[f"near_{_f.__name__.removeprefix('q_')}"] = partial(_f, near=True)
