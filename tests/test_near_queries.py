@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from textloom.operators import evaluate, similarity
 from textloom.plans import catalog, demo
 
 BASE = [f"alpha{i} beta{i} gamma{i} delta{i} epsilon{i} zeta{i} theta{i} kappa{i} lambda{i} sigma{i} omega{i} report{i}" for i in range(40)]
@@ -52,3 +53,22 @@ def test_only_contested_clusters_are_routed(spark, folder):
     assert rows_of("near_queue_ratio", spark, folder)[0]["routed"] == len(routed)
     assert {r["doc_id"] for r in rows_of("near_set_unflagged", spark, folder)} == set(rows) - set(routed)
     assert {r["doc_id"] for r in rows_of("near_review_queue_pending", spark, folder)} == {i for i in routed if i % 10}
+
+
+def test_scores_of_clusters(spark):
+    pairs = spark.createDataFrame([(1, 1), (1, 2), (2, 3), (2, 4), (3, 7), (3, 8)], "pair_id long, doc_id long")
+    clusters = spark.createDataFrame([(1, 1), (2, 1), (9, 1), (3, 3), (10, 3), (5, 5), (6, 5), (7, 7), (8, 7), (11, 11), (12, 11)], "doc_id long, component long")
+    shapes = spark.createDataFrame([(3, "x"), (10, "y"), (5, "z"), (6, "z"), (11, "z")], "doc_id long, shape string")
+    got = evaluate.cluster_scores(pairs, clusters, shapes).first().asDict()
+    assert got == {"pairs": 3, "found": 2, "recall": pytest.approx(2 / 3), "clusters": 5, "precision": pytest.approx(2 / 5), "unmatched": 3, "explained": 1}
+    none = evaluate.cluster_scores(pairs, clusters.where("false"), shapes).first().asDict()
+    assert (none["pairs"], none["recall"], none["clusters"], none["precision"], none["unmatched"], none["explained"]) == (3, 0.0, 0, 0.0, 0, 0)
+
+
+def test_missed_copies_lower_the_recall(spark, folder, monkeypatch):
+    got = rows_of("near_duplicate_recall", spark, folder)[0]
+    assert got["pairs"] == 18 and 0 < got["found"] <= 18 and got["clusters"] >= 40 and got["unmatched"] >= 40 and got["explained"] < 40
+    ratio = similarity.near_duplicates
+    monkeypatch.setattr(similarity, "near_duplicates", lambda docs: ratio(docs).where("cosine > 0.999999"))
+    worse = rows_of("near_duplicate_recall", spark, folder)[0]
+    assert worse["pairs"] == 18 and worse["found"] < got["found"]

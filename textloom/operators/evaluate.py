@@ -37,6 +37,19 @@ def pair_recall(pairs: DataFrame, clusters: DataFrame) -> DataFrame:
     return sizes.join(hit, "pair_id", "left").agg(F.count(F.lit(1)).alias("pairs"), _sum(F.col("hit")).alias("found")).select("*", F.coalesce(F.try_divide("found", "pairs"), F.lit(0.0)).alias("recall"))
 
 
+def cluster_scores(pairs: DataFrame, clusters: DataFrame, shapes: DataFrame) -> DataFrame:
+    """pair_recall, and of the clusters (doc_id, component): how many there are, the share that holds a planted pair whole
+    (precision), how many do not (unmatched), and how many of these have one shape (doc_id, shape) throughout (explained)."""
+    sizes = pairs.groupBy("pair_id").agg(F.count(F.lit(1)).alias("size"))
+    inside = pairs.join(clusters, "doc_id").groupBy("pair_id", "component").agg(F.count(F.lit(1)).alias("n"))
+    matched = inside.join(sizes, "pair_id").where("n = size").select("component").distinct().withColumn("matched", F.lit(True))
+    each = clusters.join(shapes, "doc_id", "left").groupBy("component").agg((F.count_distinct("shape") == 1).alias("one"), F.bool_and(F.col("shape").isNotNull()).alias("all"))
+    sums = each.join(matched, "component", "left").withColumn("matched", F.coalesce("matched", F.lit(False))).agg(
+        F.count(F.lit(1)).alias("clusters"), _sum(F.col("matched")).alias("_matched"), _sum(~F.col("matched")).alias("unmatched"), _sum(~F.col("matched") & F.col("one") & F.col("all")).alias("explained"))
+    sums = sums.select("clusters", F.coalesce(F.try_divide("_matched", "clusters"), F.lit(0.0)).alias("precision"), "unmatched", "explained")
+    return pair_recall(pairs, clusters).join(sums, F.lit(True))
+
+
 def abstention(rows: DataFrame, ambiguous: Column, other_ok: Column) -> DataFrame:
     """Whether the first annotator abstains where it is hard: the share of ambiguous rows among abstained ones against all,
     and the second annotator's accuracy where the first abstained and where it answered."""

@@ -513,6 +513,23 @@ def q_duplicate_recall(spark, sf_dir):
     return evaluate.pair_recall(docs.join(several, "pair_id", "left_semi"), clusters)
 
 
+def planted_pairs(spark: SparkSession) -> DataFrame:
+    """pair_id, doc_id (below zero), text and shape (the subject) of generated tickets and their paraphrases."""
+    pairs = generate.copies(spark, 600, 11).join(generate.tickets(spark, 600, 11).select("doc_id", "subject"), "doc_id")
+    both = F.array(F.struct((-1 - 2 * F.col("doc_id")).alias("doc_id"), F.col("original").alias("text")), F.struct((-2 - 2 * F.col("doc_id")).alias("doc_id"), F.col("body").alias("text")))
+    return pairs.select(F.col("doc_id").alias("pair_id"), F.col("subject").alias("shape"), F.explode(both).alias("x")).select("pair_id", "x.doc_id", "x.text", "shape")
+
+
+@query()
+def q_near_duplicate_recall(spark, sf_dir):
+    """The detected near-duplicate clusters of documents and planted pairs; the shape of a document is its normalised text."""
+    planted = planted_pairs(spark)
+    docs = texts(spark, sf_dir)
+    shapes = docs.select("doc_id", F.md5(T.normalize(F.coalesce("text", F.lit("")))).alias("shape")).unionByName(planted.select("doc_id", "shape"))
+    found = similarity.clusters(similarity.near_duplicates(docs.unionByName(planted.select("doc_id", "text"))))
+    return evaluate.cluster_scores(planted.select("pair_id", "doc_id"), found, shapes)
+
+
 @query(f"""WITH {_PII}, x AS (SELECT d.doc_id, regexp_matches(text, '[0-9]{{3}}[ .-][0-9]{{3}}') AS planted, p.doc_id IS NOT NULL AS found FROM documents d LEFT JOIN (SELECT DISTINCT doc_id FROM pii) p USING (doc_id)),
   c AS (SELECT count(*) FILTER (planted) AS planted, count(*) FILTER (found) AS found, count(*) FILTER (planted AND found) AS "both" FROM x)
 SELECT *, coalesce("both"::DOUBLE / nullif(planted, 0), 0) AS recall, coalesce("both"::DOUBLE / nullif(found, 0), 0) AS precision FROM c""")
