@@ -72,3 +72,20 @@ def test_missed_copies_lower_the_recall(spark, folder, monkeypatch):
     monkeypatch.setattr(similarity, "near_duplicates", lambda docs: ratio(docs).where("cosine > 0.999999"))
     worse = rows_of("near_duplicate_recall", spark, folder)[0]
     assert worse["pairs"] == 18 and worse["found"] < got["found"]
+
+
+def test_gates_are_computed(spark, folder, tmp_path):
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    leaking = spark.createDataFrame([(900, "call 555 123.a@x.org now"), (901, "write to me@x.org")], "doc_id long, text string").selectExpr("doc_id", "text", "'en' AS lang", "'web' AS source", "cast(length(text) AS long) AS n_chars")
+    docs.unionByName(leaking).write.parquet(f"{tmp_path}/documents.parquet")
+    events = "event_id long, ts timestamp, user_id long, event_type string"
+    spark.range(3000).selectExpr("id AS event_id", "timestamp_seconds(id) AS ts", "id % 7 AS user_id", "'view' AS event_type").to(spark.createDataFrame([], events).schema).write.parquet(f"{tmp_path}/events.parquet")
+    got = {r["name"]: r for r in rows_of("near_release_gates", spark, str(tmp_path))}
+    assert set(got) == set(evaluate.GATES)
+    assert (got["leaks"]["value"], got["leaks"]["result"]) == (1.0, "FAIL")
+    usd = sum(i * 13 % 5000 + 5 * (i * 7 % 900) for i in range(3000)) / 1e6
+    assert got["cost_usd"]["value"] == pytest.approx(usd) and got["cost_usd"]["result"] == ("pass" if usd <= 3 else "FAIL")
+    value = {r["name"]: r["value"] for r in rows_of("near_eval_accuracy", spark, str(tmp_path))}
+    assert got["delta_points"]["value"] == pytest.approx(100 * (value["v2"] - value["v1"]))
+    assert got["duplicate_recall"]["value"] == rows_of("near_duplicate_recall", spark, str(tmp_path))[0]["recall"]
+    assert got["seeded_recall"]["value"] == rows_of("seeded_error_recall", spark, str(tmp_path))[0]["recall"]

@@ -554,6 +554,20 @@ def q_release_gates(spark, sf_dir):
     return evaluate.gates(recall.unionByName(rest))
 
 
+@query()
+def q_near_release_gates(spark, sf_dir):
+    """All gates over the whole tables; accuracies and duplicates are those of near-duplicate clusters."""
+    named = lambda df, name, value: df.select(F.lit(name).alias("name"), value.cast("double").alias("value"))
+    accuracy = q_eval_accuracy(spark, sf_dir, near=True).agg((100 * (F.max(F.when(F.col("name") == "v2", F.col("value"))) - F.max(F.when(F.col("name") == "v1", F.col("value"))))).alias("d"))
+    cost = demo.costs(spark, sf_dir).agg((F.coalesce(F.sum("usd"), F.lit(0)) / 1_000_000).alias("usd"))
+    parts = [named(q_seeded_error_recall(spark, sf_dir), "seeded_recall", F.col("recall")), named(q_pii_leaks_after_scrub(spark, sf_dir), "leaks", F.coalesce("after", F.lit(0))),
+             named(q_near_duplicate_recall(spark, sf_dir), "duplicate_recall", F.col("recall")), named(cost, "cost_usd", F.col("usd"))]
+    out = named(accuracy, "delta_points", F.col("d"))
+    for part in parts:
+        out = out.unionByName(part)
+    return evaluate.gates(out)
+
+
 # Export
 
 @query(f"""WITH {_V2}, u AS (SELECT doc_id, label, row_number() OVER (PARTITION BY label ORDER BY md5(concat('20260904|', doc_id)), doc_id) AS i, count(*) OVER (PARTITION BY label) AS n FROM v2c WHERE status = 'kept' AND label IS NOT NULL)
