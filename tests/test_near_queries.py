@@ -89,3 +89,25 @@ def test_gates_are_computed(spark, folder, tmp_path):
     assert got["delta_points"]["value"] == pytest.approx(100 * (value["v2"] - value["v1"]))
     assert got["duplicate_recall"]["value"] == rows_of("near_duplicate_recall", spark, str(tmp_path))[0]["recall"]
     assert got["seeded_recall"]["value"] == rows_of("seeded_error_recall", spark, str(tmp_path))[0]["recall"]
+
+
+def test_flags_of_all_kinds(spark, folder, tmp_path):
+    extra = [(900 + i, f"write to me{i}@x.org", ("es", "fr", "de", "en")[i % 4], "web", 9) for i in range(300)]
+    docs = spark.createDataFrame(extra, "doc_id long, text string, lang string, source string, n_chars long").unionByName(spark.read.parquet(f"{folder}/documents.parquet"))
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    flags = [r.asDict() for r in rows_of("near_flags", spark, str(tmp_path))]
+    kinds = {k: {f["doc_id"] for f in flags if f["flag_type"] == k} for k in {f["flag_type"] for f in flags}}
+    assert set(kinds) == {"suspected_label_error", "taxonomy_granularity", "duplicate", "pii", "ambiguity"}
+    assert kinds["pii"] == {i for i, *_ in extra}
+    assert set(range(40)) | set(range(100, 140)) <= kinds["duplicate"]
+    proposed = {r["doc_id"]: r["a_label"] for r in demo.rows(spark, str(tmp_path)).collect()}
+    assert all(proposed[i] == "es" for i in kinds["taxonomy_granularity"]) and all(proposed[i] != "es" for i in kinds["suspected_label_error"])
+    reason = {r["doc_id"]: r["reason"] for r in rows_of("near_routing", spark, str(tmp_path))}
+    assert all(f["routed"] == (reason.get(f["doc_id"]) == f["flag_type"]) for f in flags)
+    assert sum(f["routed"] for f in flags) == len(reason)
+    for kind in ("suspected_label_error", "taxonomy_granularity", "ambiguity"):
+        assert sorted(f["rank"] for f in flags if f["flag_type"] == kind) == list(range(1, len(kinds[kind]) + 1))
+    counts = {r["flag_type"]: (r["n"], r["routed"]) for r in rows_of("near_flag_counts", spark, str(tmp_path))}
+    assert counts == {k: (len(v), sum(f["routed"] for f in flags if f["flag_type"] == k)) for k, v in kinds.items()}
+    of = {r["doc_id"]: r["flags"] for r in rows_of("near_flags_of_document", spark, str(tmp_path))}
+    assert of == {i: "|".join(sorted(k for k, v in kinds.items() if i in v)) for i in set().union(*kinds.values())}

@@ -69,10 +69,13 @@ def queue_ratio(routed: DataFrame, docs: DataFrame, band: tuple[int, int] = QUEU
         "routed", "total", F.try_divide("routed", "total").alias("ratio"), F.col("routed").between(*band).alias("in_band"))
 
 
-def flags(parts: dict[str, DataFrame]) -> DataFrame:
-    """All findings (doc_id, rank where they have one) as one table by flag type."""
+def flags(parts: dict[str, DataFrame], routed: DataFrame | None = None) -> DataFrame:
+    """All findings (doc_id, rank where they have one) as one table by flag type; with routed (doc_id, reason), whether
+    each finding is what its document was routed for."""
     out = None
     for kind, rows in parts.items():
         part = rows.select("doc_id", F.lit(kind).alias("flag_type"), (F.col("rank") if "rank" in rows.columns else F.lit(None)).cast("int").alias("rank"))
         out = part if out is None else out.unionByName(part)
-    return out
+    if routed is None:
+        return out
+    return out.join(routed.select("doc_id", "reason"), "doc_id", "left").select("doc_id", "flag_type", "rank", F.coalesce(F.col("reason") == F.col("flag_type"), F.lit(False)).alias("routed"))

@@ -328,18 +328,18 @@ def copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return texts(spark, sf_dir).groupBy(F.md5("text").alias("m")).agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id")
 
 
-def contested_firsts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The smallest doc_id of every near-duplicate cluster whose members' labels conflict."""
+def contested_firsts(spark: SparkSession, sf_dir: str, clusters: DataFrame) -> DataFrame:
+    """The smallest doc_id of every near-duplicate cluster (doc_id, component) whose members' labels conflict."""
     labels = demo.rows(spark, sf_dir).select("doc_id", F.col("a_label").alias("label"), "leaves")
-    return quality.contested(q_near_dup_clusters(spark, sf_dir).join(labels, "doc_id")).select(F.col("component").alias("doc_id"))
+    return quality.contested(clusters.join(labels, "doc_id")).select(F.col("component").alias("doc_id"))
 
 
-def routed(spark: SparkSession, sf_dir: str, near: bool = False) -> DataFrame:
+def routed(spark: SparkSession, sf_dir: str, near: bool = False, clusters: DataFrame | None = None) -> DataFrame:
     """doc_id and reason. `near` takes contested near-duplicate clusters in place of exact copies, and leaves out what is a finding on granularity."""
     rows = demo.rows(spark, sf_dir)
     if near:
         found = quality.suspected(rows).where(F.col("proposed").isin(*REACHED))
-        return quality.route((found, "suspected_label_error"), (quality.ambiguous(rows), "ambiguity"), (contested_firsts(spark, sf_dir), "duplicate"))
+        return quality.route((found, "suspected_label_error"), (quality.ambiguous(rows), "ambiguity"), (contested_firsts(spark, sf_dir, q_near_dup_clusters(spark, sf_dir) if clusters is None else clusters), "duplicate"))
     return quality.route((quality.suspected(rows), "suspected_label_error"), (quality.ambiguous(rows), "ambiguity"), (copies(spark, sf_dir), "duplicate"))
 
 
@@ -398,6 +398,29 @@ def q_flags_of_document(spark, sf_dir):
     return found.groupBy("doc_id").agg(F.array_join(F.sort_array(F.collect_set("flag_type")), "|").alias("flags"))
 
 
+@query()
+def q_near_flags(spark, sf_dir):
+    """All five kinds of findings with their rank, and whether the document was routed for it; every member of a near-duplicate cluster is flagged."""
+    rows = demo.rows(spark, sf_dir)
+    clusters = q_near_dup_clusters(spark, sf_dir)
+    suspected, granularity = quality.split_by_reach(quality.suspected(rows), REACHED)
+    places = global_rank(clusters.select("component").distinct(), [F.asc("component")], "rank")
+    parts = {"taxonomy_granularity": granularity, "suspected_label_error": suspected, "duplicate": clusters.join(places, "component"),
+             "pii": spans(spark, sf_dir).where(F.size("spans") > 0).select("doc_id"), "ambiguity": global_rank(quality.ambiguous(rows), [F.asc("doc_id")], "rank")}
+    return quality.flags(parts, routed(spark, sf_dir, True, clusters))
+
+
+@query()
+def q_near_flag_counts(spark, sf_dir):
+    return q_near_flags(spark, sf_dir).groupBy("flag_type").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("routed").cast("long")).alias("routed"))
+
+
+@query()
+def q_near_flags_of_document(spark, sf_dir):
+    kinds = F.array_join(F.sort_array(F.collect_set("flag_type")), "|")
+    return q_near_flags(spark, sf_dir).groupBy("doc_id").agg(kinds.alias("flags"), F.bool_or("routed").alias("routed"))
+
+
 # Review
 
 @query(f"WITH {LOG} SELECT doc_id, ordinal, decision, final_label, seconds FROM latest")
