@@ -3,7 +3,9 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from textloom.llm import suffixdedup
 from textloom.llm.induced import suffixes
 from textloom.llm.suffixdedup import dedup
 
@@ -60,3 +62,31 @@ def test_runs_of_one_byte_and_overlaps(spark):
 
 def test_no_rows(nothing):
     assert dedup(nothing).collect() == []
+
+
+def test_hot_anchors_are_counted_by_window(corpus, rows, spark):
+    short = [(i, t) for i, t, _ in rows if len(t) < 20_000]
+    docs = corpus.where("text IS NULL OR length(text) < 20000")
+    want = Counter((i, *x) for (i, _), x in zip(short, brute([t.encode() for _, t in short], 400), strict=True))
+    got = dedup(docs, hot_bytes=0).collect()
+    assert Counter(tuple(r) for r in got) == want
+    texts = ["x" * 900, "x" * 1200, "ab" * 600 + "c", "b" + "ab" * 500, "p" * 450 + "q" * 450]
+    got = dedup(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), hot_bytes=500).orderBy("doc_id").collect()
+    assert [tuple(r)[1:] for r in got] == brute([t.encode() for t in texts], 400)
+
+
+def test_no_task_holds_a_hot_anchor(spark, monkeypatch):
+    """A passage in 300 documents of unlike edges: all its runs have few anchors, and none of these is sorted whole."""
+    rng = np.random.default_rng(3)
+    word = lambda n: "".join(rng.choice(list("abcdefghij"), n))
+    passage = word(600)
+    texts = [word(380) + passage + word(380) for _ in range(300)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sizes = []
+    monkeypatch.setattr(suffixdedup, "sort_shards", lambda pieces, *rest, f=suffixdedup.sort_shards: sizes.extend(r["s"] for r in pieces.groupBy("anchor").agg(F.sum(F.length("bytes")).alias("s")).collect()) or f(pieces, *rest))
+    whole = [tuple(r) for r in dedup(df).orderBy("doc_id").collect()]
+    assert max(sizes) > 20_000
+    sizes.clear()
+    assert [tuple(r) for r in dedup(df, hot_bytes=20_000).orderBy("doc_id").collect()] == whole
+    assert all(s <= 20_000 for s in sizes)
+    assert [w[1:] for w in whole] == brute([t.encode() for t in texts], 400)

@@ -7,7 +7,8 @@ its hash. Equal runs (copies) are counted, not compared. Of the others, one
 each goes to the shard of its anchor, where suffixes are sorted with the length
 of the prefix that neighbours share; windows that share WINDOW bytes or more
 with a neighbour are marked. All equal windows meet in one shard, so the result
-is that of sorting all texts at once.
+is that of sorting all texts at once. An anchor whose runs are too much for one
+task is not sorted: its windows are counted by their hashes, over all tasks.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from textloom.llm._util import batches, release, scratch, shuffle_partitions, stash, text_or_empty
 from textloom.llm.bytewords import INVERSE, mix, powers, prefix_hash
@@ -31,6 +33,10 @@ from textloom.llm.induced import suffixes
 WINDOW, GRAM = 400, 32
 #: Text that is sorted at once, unless one anchor has more; beyond IN_MEMORY it is mapped from a file.
 SHARD_BYTES, IN_MEMORY = 1 << 19, 64 << 20
+#: An anchor with more than this in its distinct runs is hot.
+HOT_BYTES = 4 << 20
+#: Windows that leave Python at once.
+BLOCK = 1 << 18
 RUNS = "doc_id long, key long, anchor long, run long, low int, high int, again boolean"
 
 
@@ -150,7 +156,29 @@ def sort_shards(pieces: DataFrame, window: int, shard_bytes: int, folder: str) -
     return batches(pieces.select("anchor", "run", "n", "windows", "bytes").repartition(parts, "anchor").sortWithinPartitions("anchor", "run"), 2000).mapInPandas(run, "anchor long, run long, low int, high int")
 
 
-def dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, keep: tuple[str, ...] = (), texts: bool = False, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+def count_windows(pieces: DataFrame, window: int) -> DataFrame:
+    """As sort_shards, by a hash of each window in place of a sort; no task holds more than one piece, whatever its anchor."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        release()
+        for part in parts:
+            for anchor, piece, n, windows, raw in part.itertuples(index=False, name=None):
+                data = np.frombuffer(raw, np.uint8)
+                p, inverse = prefix_hash(data), powers(INVERSE, len(data) + 1)
+                for a in range(0, windows, BLOCK):
+                    b = min(a + BLOCK, windows)
+                    h = mix((p[a + window : b + window] - p[a:b]) * inverse[a:b])
+                    yield pd.DataFrame({"anchor": anchor, "run": piece, "wanted": n == 1, "at": np.arange(a, b, dtype=np.int32), "h": h.view(np.int64)})
+
+    hashed = stash(batches(pieces.select("anchor", "run", "n", "windows", "bytes"), 500).mapInPandas(run, "anchor long, run long, wanted boolean, at int, h long"), "suffix-windows")
+    place = F.struct("run", "at")  # of a repeated row the same
+    again = hashed.groupBy("anchor", "h").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").select("anchor", "h")
+    hit = hashed.where("wanted").join(again, ["anchor", "h"]).select("anchor", "run", "at").distinct()
+    stretch = F.col("at") - F.row_number().over(Window.partitionBy("anchor", "run").orderBy("at"))
+    return hit.withColumn("_s", stretch).groupBy("anchor", "run", "_s").agg(F.min("at").alias("low"), F.max("at").alias("high")).drop("_s")
+
+
+def dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, keep: tuple[str, ...] = (), texts: bool = False, shard_bytes: int = SHARD_BYTES, hot_bytes: int = HOT_BYTES) -> DataFrame:
     """Removes from each text of docs (doc_id, text) every byte covered by a `window`-byte string that also starts anywhere else.
 
     Returns doc_id, n_bytes, n_removed, n_spans, kept_sha256, the columns in
@@ -165,8 +193,10 @@ def dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, keep: tuple[s
     often = found.groupBy("anchor").agg(F.count(F.lit(1)).alias("times"), F.max("again").alias("any")).where("times > 1 OR any").select("anchor")
     found = stash(found.join(often, "anchor"), "suffix-repeated")
     kinds = stash(found.groupBy("anchor", "run").agg(F.count(F.lit(1)).alias("n"), F.max("again").alias("again"), F.min(F.struct("doc_id", "key", "low", "high")).alias("one")), "suffix-kinds")
-    several = kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds"), F.min("n").alias("least"), F.max("again").alias("any")).where("least = 1 AND (kinds > 1 OR any)").select("anchor")
-    ask = kinds.join(several, "anchor").select("anchor", "run", "n", "one.*").groupBy(F.col("doc_id").alias("_d"), F.col("key").alias("_k")).agg(F.collect_list(F.struct("anchor", "run", "n", "low", "high")).alias("asked"))
+    length = F.col("one.high") - F.col("one.low") + F.lit(window).cast("long")
+    several = kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds"), F.min("n").alias("least"), F.max("again").alias("any"), F.sum(length).alias("size")).where("least = 1 AND (kinds > 1 OR any)").select("anchor", "size")
+    hot = stash(several.where(F.col("size") > hot_bytes).select("anchor"), "suffix-hot")
+    several = several.where(F.col("size") <= hot_bytes).select("anchor")
 
     def cut(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
@@ -178,8 +208,14 @@ def dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, keep: tuple[s
 
     same = lambda a, b: a["doc_id"].eqNullSafe(b["_d"]) & (a["key"] == b["_k"])
     holders = rows.select("doc_id", "key", "text").where(F.octet_length("text") >= window)
-    pieces = batches(holders.join(ask, same(holders, ask)).select("text", "asked"), 500).mapInPandas(cut, "anchor long, run long, n long, windows long, bytes binary")
-    sorted_ = sort_shards(pieces, window, shard_bytes, scratch(rows.sparkSession))
+
+    def pieces(anchors: DataFrame) -> DataFrame:
+        ask = kinds.join(anchors, "anchor").select("anchor", "run", "n", "one.*").groupBy(F.col("doc_id").alias("_d"), F.col("key").alias("_k")).agg(F.collect_list(F.struct("anchor", "run", "n", "low", "high")).alias("asked"))
+        return batches(holders.join(ask, same(holders, ask)).select("text", "asked"), 500).mapInPandas(cut, "anchor long, run long, n long, windows long, bytes binary")
+
+    sorted_ = sort_shards(pieces(several), window, shard_bytes, scratch(rows.sparkSession))
+    if not hot.isEmpty():
+        sorted_ = sorted_.unionByName(count_windows(pieces(hot), window))
 
     whole = kinds.where("n > 1").select("anchor", "run").join(found, ["anchor", "run"]).select("doc_id", "key", "low", F.col("high"))
     partly = found.join(sorted_.select("anchor", "run", F.col("low").alias("a"), F.col("high").alias("b")), ["anchor", "run"]).select("doc_id", "key", (F.col("low") + F.col("a")).alias("low"), (F.col("low") + F.col("b")).alias("high"))
