@@ -111,3 +111,11 @@ def test_flags_of_all_kinds(spark, folder, tmp_path):
     assert counts == {k: (len(v), sum(f["routed"] for f in flags if f["flag_type"] == k)) for k, v in kinds.items()}
     of = {r["doc_id"]: r["flags"] for r in rows_of("near_flags_of_document", spark, str(tmp_path))}
     assert of == {i: "|".join(sorted(k for k, v in kinds.items() if i in v)) for i in set().union(*kinds.values())}
+
+
+def test_terms_are_all_there(spark, folder):
+    """The fixture has far more than 100 terms, and 12 in each document."""
+    terms = {r["term"]: r["df"] for r in rows_of("doc_freq_all", spark, folder)}
+    assert len(terms) == 40 * 12 + 40 and terms["alpha0"] == 2 and terms["report0"] == terms["report0s"] == 1
+    weights = rows_of("tfidf_weights", spark, folder)
+    assert len(weights) == 80 * 12 and all(r["df"] == terms[r["term"]] for r in weights)

@@ -145,6 +145,16 @@ def q_tfidf_weights_topk(spark, sf_dir):
     return similarity.weights(texts(spark, sf_dir)).withColumn("_n", best).where("_n <= 3").select("doc_id", "term", F.round("w", 6).alias("w"))
 
 
+@query(f"WITH {_POST} SELECT term, df FROM df")
+def q_doc_freq_all(spark, sf_dir):
+    return similarity.term_counts(texts(spark, sf_dir)).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+
+
+@query(f"WITH {_POST} SELECT doc_id, term, df, round(w, 6) AS w FROM w")
+def q_tfidf_weights(spark, sf_dir):
+    return similarity.weights(texts(spark, sf_dir)).select("doc_id", "term", "df", F.round("w", 6).alias("w"))
+
+
 @query(f"WITH {_COS} SELECT a, b, round(cosine, 6) AS cosine FROM cos")
 def q_cosine_pairs(spark, sf_dir):
     return similarity.cosine_pairs(texts(spark, sf_dir)).select("a", "b", F.round("cosine", 6).alias("cosine"))
