@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from textloom.llm import mixing, near, packing, suffixdedup, toxicity
 from textloom.llm._util import stash
+from textloom.operators.ranking import global_rank
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -24,13 +25,18 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group: that of the smallest doc_id; of rows that share a doc_id, one."""
-    kept = stash(near.group(docs).where("kept").select(F.col("doc_id").alias("_id")), "pipeline-kept")
-    chosen = docs.join(kept, docs["doc_id"].eqNullSafe(kept["_id"]), "left_semi").select(*COLUMNS)
-    if kept.where("_id IS NOT NULL").groupBy("_id").count().where("count > 1").isEmpty():
-        return chosen
-    one = chosen.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(F.struct("text", "lang", "source", "n_chars")).alias("m"))
-    return one.select("doc_id", "m.*").unionByName(chosen.where("doc_id IS NULL"))
+    """One document of each near-duplicate group: that of the smallest doc_id, and of its texts the first; of rows that share doc_id and text, one."""
+    if docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").isEmpty():
+        kept = near.group(docs).where("kept").select(F.col("doc_id").alias("_id"))
+        return docs.join(stash(kept, "pipeline-kept"), docs["doc_id"].eqNullSafe(F.col("_id")), "left_semi").select(*COLUMNS)
+    # Every doc_id and text by a number in their order.
+    key = F.sha2(F.coalesce("text", F.lit("")), 256)
+    named = docs.where("doc_id IS NOT NULL").withColumn("_key", key)
+    numbers = stash(global_rank(named.select("doc_id", "_key").distinct(), [F.asc("doc_id"), F.asc("_key")], "_n").withColumn("_n", F.col("_n").cast("long")), "pipeline-numbers")
+    named = named.join(numbers, ["doc_id", "_key"])
+    kept = near.group(named.select(F.col("_n").alias("doc_id"), "text")).where("kept").select(F.col("doc_id").alias("_n")).distinct()
+    one = named.join(stash(kept, "pipeline-kept"), "_n", "left_semi").groupBy("_n", "doc_id").agg(F.min(F.struct("text", "lang", "source", "n_chars")).alias("m"))
+    return one.select("doc_id", "m.*").unionByName(docs.where("doc_id IS NULL").select(*COLUMNS))
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,6 +1,7 @@
 import numpy as np
 import pytest
 
+import corpus_pipeline
 from textloom.llm import near
 from textloom.llm.bytewords import FOLD
 
@@ -72,3 +73,15 @@ def test_no_rows(nothing):
 def test_only_null_and_empty(spark):
     df = spark.createDataFrame([(1, None), (2, ""), (3, " ")], "doc_id long, text string")
     assert sorted(tuple(r) for r in near.group(df).collect()) == [(1, 0, 1, True), (2, 0, 2, True), (3, 0, 3, True)]
+
+
+def test_texts_that_share_a_doc_id(spark):
+    """doc_id 1 stands on two unlike texts; 2 is near the one, 3 near the other, 4 an exact copy of the other."""
+    one, other = (" ".join(f"{w}{i}" for i in range(60)) for w in ("left", "right"))
+    rows = [(1, one), (1, other), (2, one + " more"), (3, other + " more"), (4, other), (5, "alone and unlike any other text")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted((r["doc_id"], r["component_id"], r["kept"]) for r in near.group(df).collect()) == [(1, 1, True), (1, 1, True), (2, 1, False), (3, 1, False), (4, 1, False), (5, 5, True)]
+    docs = df.selectExpr("doc_id", "text", "'en' AS lang", "'s' AS source", "cast(length(text) AS long) AS n_chars")
+    docs = docs.union(docs.where("doc_id = 5"))
+    kept = corpus_pipeline.drop_near_copies(spark, docs, "").collect()
+    assert sorted((r["doc_id"], r["text"]) for r in kept) == sorted([(1, one), (1, other), rows[-1]])

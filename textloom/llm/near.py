@@ -176,14 +176,14 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """id and set (sorted shingle hashes) of the documents whose id is in wanted (id, same)."""
+    """id and set (sorted shingle hashes) of the classes in wanted (id, first, same), each from a document whose doc_id is first."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             out = [(i, s.tobytes()) for i, same, s in zip(part["id"], part["same"], shingles(part["text"].to_list()), strict=True) if hashlib.blake2b(s.tobytes(), digest_size=16).digest() == bytes(same)]
             yield pd.DataFrame(out, columns=["id", "set"]).astype({"id": "int64"})
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("id"), text_or_empty().alias("text")).join(wanted, "id")
+    rows = docs.select(F.col("doc_id").cast("long").alias("first"), text_or_empty().alias("text")).join(wanted, "first")
     # A doc_id may stand on several rows: only a text with the class's own set counts, once.
     return batches(rows, 500).mapInPandas(run, "id long, set binary").dropDuplicates(["id"])
 
@@ -260,36 +260,42 @@ def group(docs: DataFrame) -> DataFrame:
     A null or empty text has an empty set and is linked with nothing. Rows with
     the same text are linked, whatever their doc_id; a row with a null doc_id is
     its own group, has a null component_id and is kept. Rows that repeat are
-    each returned. Should one doc_id stand on different texts, one of these
-    texts is compared with near copies, and the others with exact copies only. An empty table gives no rows.
+    each returned. Should one doc_id stand on different texts, each of them is
+    compared by itself; what is linked with neither other may then share a
+    component_id, which is the smallest doc_id of a group. An empty table gives no rows.
     """
     spark = docs.sparkSession
     sketches = stash(sketch(docs), "near-sketches")
     named = sketches.where(F.col("doc_id").isNotNull() & F.col("same").isNotNull())
     classes = stash(named.groupBy("same").agg(F.min(F.struct("doc_id", "n_shingles", "regs")).alias("m"))
-                    .select(F.col("m.doc_id").alias("id"), F.col("m.n_shingles").alias("n"), F.col("m.regs").alias("regs"), "same"), "near-classes")
-    distinct = classes if classes.groupBy("id").count().where("count > 1").isEmpty() else classes.dropDuplicates(["id"])
-    buckets = banded(distinct)
+                    .select(F.col("m.doc_id").alias("first"), F.col("m.n_shingles").alias("n"), F.col("m.regs").alias("regs"), "same"), "near-classes")
+    # A class goes by its smallest doc_id, or by a number of its own where one doc_id stands on several texts.
+    clash = not classes.groupBy("first").count().where("count > 1").isEmpty()
+    classes = stash(classes.withColumn("id", F.monotonically_increasing_id()), "near-classes") if clash else classes.withColumn("id", F.col("first"))
+    buckets = banded(classes)
     shared = buckets.groupBy("band").agg(F.count(F.lit(1)).alias("size")).where("size > 1").drop("size")
     buckets = stash(buckets.join(shared, "band"), "near-buckets")
-    wanted = buckets.select("id").distinct().join(distinct.select("id", "same"), "id")
+    wanted = buckets.select("id").distinct().join(classes.select("id", "first", "same"), "id")
     sets = stash(full_sets(docs, wanted), "near-sets")
 
     # Every bucket's classes with its smallest.
     centre = buckets.groupBy("band").agg(F.min("id").alias("b"), F.count(F.lit(1)).alias("size"))
     pairs = buckets.join(centre, "band").where("id <> b").select(F.least("id", "b").alias("a"), F.greatest("id", "b").alias("b")).distinct()
-    links = stash(confirmed(estimated(pairs, distinct), sets), "near-links")
+    links = stash(confirmed(estimated(pairs, classes), sets), "near-links")
     labels = components(links)
     # Where that leaves more than one component, all that is left; of two classes the one pair has been compared.
     members = buckets.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
     apart = members.groupBy("band").agg((F.min("component") != F.max("component")).alias("apart"), F.count(F.lit(1)).alias("size")).where("apart AND size > 2").select("band")
-    members = members.join(apart, "band").join(distinct.select("id", "n", "regs"), "id").join(sets, "id")
+    members = members.join(apart, "band").join(classes.select("id", "n", "regs"), "id").join(sets, "id")
     more = stash(leftover(members, shuffle_partitions(spark)), "near-links")
     if not more.isEmpty():
         labels = components(links.union(more))
 
-    near = distinct.select("id", "same").join(labels, "id").select("same", "component")
-    of = classes.select("same", F.col("id").alias("first"))
+    near = classes.select("id", "same", "first").join(labels, "id")
+    if clash:
+        near = near.join(near.groupBy("component").agg(F.min("first").alias("least")), "component").select("same", F.col("least").alias("component"))
+    near = near.select("same", "component")
+    of = classes.select("same", "first")
     of = of.join(near, "same", "left").select("same", F.coalesce("component", "first").alias("found"))
     out = sketches.drop("regs").join(of, "same", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("found", "doc_id"))
