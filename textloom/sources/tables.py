@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import json
 import re
 import tempfile
@@ -42,6 +43,20 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Deletes written tables that nothing reads any more, and shuffles of plans that are no longer held.
+
+    What was made of the tables must be written by then.
+    """
+    for table in tables:
+        for folder in {f.rpartition("/")[0] for f in table.inputFiles()}:
+            path = table.sparkSession._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+    gc.collect()
+    if tables:  # Spark deletes the shuffles of what the driver's JVM has collected
+        tables[0].sparkSession._jvm.System.gc()
+
+
 def spread(df: DataFrame, per_core: int = 8 << 20) -> DataFrame:
     """Deals out the rows of a small table that has fewer files than there are cores; any other table stays as it is.
 
