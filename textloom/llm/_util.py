@@ -11,10 +11,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from textloom.sources.tables import discard
 from textloom.sources.tables import shared_folder as scratch
 from textloom.sources.tables import written as stash
 
-__all__ = ["batches", "caches", "group_rank", "release", "scratch", "shuffle_partitions", "stash", "text_or_empty"]
+__all__ = ["batches", "caches", "discard", "group_rank", "release", "scratch", "shuffle_partitions", "stash", "text_or_empty"]
 
 #: Between words, which are runs of any other characters.
 SPACE = r"[\x20\x09-\x0D]+"

@@ -8,7 +8,7 @@ each goes to the shard of its anchor, where suffixes are sorted with the length
 of the prefix that neighbours share; windows that share WINDOW bytes or more
 with a neighbour are marked. All equal windows meet in one shard, so the result
 is that of sorting all texts at once. An anchor whose runs are too much for one
-task is not sorted: its windows are counted by their hashes, over all tasks.
+task is not sorted: blocks of its windows are counted by hashes, over all tasks.
 """
 
 from __future__ import annotations
@@ -22,21 +22,25 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from textloom.llm._util import batches, release, scratch, shuffle_partitions, stash, text_or_empty
+from textloom.llm._util import batches, discard, release, scratch, shuffle_partitions, stash, text_or_empty
 from textloom.llm.bytewords import INVERSE, mix, powers, prefix_hash
 from textloom.llm.induced import suffixes
 
 WINDOW, GRAM = 400, 32
+#: A repeated passage has at least this many bytes and whole words; words are rarely so short that the bytes would not let one through.
+PASSAGE_BYTES, PASSAGE_WORDS = 200, 51
 #: Text that is sorted at once, unless one anchor has more; beyond IN_MEMORY it is mapped from a file.
 SHARD_BYTES, IN_MEMORY = 1 << 19, 64 << 20
 #: An anchor with more than this in its distinct runs is hot.
 HOT_BYTES = 4 << 20
-#: Windows that leave Python at once.
-BLOCK = 1 << 18
+#: Windows of a hot anchor's blocks, from round to round.
+BLOCKS = (64, 8, 1)
+#: Rows that leave Python at once.
+LEAVE = 1 << 16
 RUNS = "doc_id long, key long, anchor long, run long, low int, high int, again boolean"
 
 
@@ -67,7 +71,8 @@ def runs(text: bytes, window: int = WINDOW, gram: int = GRAM, marked: np.ndarray
     near = h[marked[(h & np.uint64(0xFFFF)).astype(np.int64)]]
     marked[slot] = False
     kinds, times = np.unique(near, return_counts=True)
-    return anchor, mix((p[end] - p[low]) * inverse[low]), low, high, times[np.searchsorted(kinds, anchor)] > 1
+    content = np.array([xxhash.xxh3_64_intdigest(text[a:b]) for a, b in zip(low.tolist(), end.tolist(), strict=True)], np.uint64)
+    return anchor, content, low, high, times[np.searchsorted(kinds, anchor)] > 1
 
 
 def all_runs(docs: DataFrame, window: int, gram: int) -> DataFrame:
@@ -79,7 +84,7 @@ def all_runs(docs: DataFrame, window: int, gram: int) -> DataFrame:
         for part in parts:
             ids, out, sizes = part["doc_id"].astype("Int64"), [], []
             for text in part["text"]:
-                raw = text.encode("utf-8", "surrogatepass")
+                raw = _bytes(text)
                 if len(raw) >= window:
                     out.append(runs(raw, window, gram, marked))
                 sizes.append(len(out[-1][0]) if len(raw) >= window else 0)
@@ -88,7 +93,7 @@ def all_runs(docs: DataFrame, window: int, gram: int) -> DataFrame:
                 anchor, content, low, high, again = (np.concatenate(x) for x in zip(*out, strict=True))
                 yield pd.DataFrame({"doc_id": ids.iloc[at].array, "key": part["key"].to_numpy()[at], "anchor": anchor.view(np.int64), "run": content.view(np.int64), "low": low.astype(np.int32), "high": high.astype(np.int32), "again": again})
 
-    return batches(docs.where(F.octet_length("text") >= window), 500).mapInPandas(run, RUNS)
+    return batches(docs, 500).mapInPandas(run, RUNS)
 
 
 def marks(pieces: list[tuple[bytes, int, bool]], window: int, folder: str | None) -> list[list[tuple[int, int]]]:
@@ -156,42 +161,112 @@ def sort_shards(pieces: DataFrame, window: int, shard_bytes: int, folder: str) -
     return batches(pieces.select("anchor", "run", "n", "windows", "bytes").repartition(parts, "anchor").sortWithinPartitions("anchor", "run"), 2000).mapInPandas(run, "anchor long, run long, low int, high int")
 
 
-def count_windows(pieces: DataFrame, window: int) -> DataFrame:
-    """As sort_shards, by a hash of each window in place of a sort; no task holds more than one piece, whatever its anchor."""
+def blocks(raw: bytes, anchor: int, stretches: list[tuple[int, int]], width: int, window: int, gram: int) -> Iterator[tuple[int, int, int, int]]:
+    """Cuts stretches of a piece's windows into blocks that lie alike towards the anchor: first and last window, hashes of the core and of the hull.
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        release()
-        for part in parts:
-            for anchor, piece, n, windows, raw in part.itertuples(index=False, name=None):
-                data = np.frombuffer(raw, np.uint8)
-                p, inverse = prefix_hash(data), powers(INVERSE, len(data) + 1)
-                for a in range(0, windows, BLOCK):
-                    b = min(a + BLOCK, windows)
-                    h = mix((p[a + window : b + window] - p[a:b]) * inverse[a:b])
-                    yield pd.DataFrame({"anchor": anchor, "run": piece, "wanted": n == 1, "at": np.arange(a, b, dtype=np.int32), "h": h.view(np.int64)})
-
-    hashed = stash(batches(pieces.select("anchor", "run", "n", "windows", "bytes"), 500).mapInPandas(run, "anchor long, run long, wanted boolean, at int, h long"), "suffix-windows")
-    place = F.struct("run", "at")  # of a repeated row the same
-    again = hashed.groupBy("anchor", "h").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").select("anchor", "h")
-    hit = hashed.where("wanted").join(again, ["anchor", "h"]).select("anchor", "run", "at").distinct()
-    stretch = F.col("at") - F.row_number().over(Window.partitionBy("anchor", "run").orderBy("at"))
-    return hit.withColumn("_s", stretch).groupBy("anchor", "run", "_s").agg(F.min("at").alias("low"), F.max("at").alias("high")).drop("_s")
-
-
-def dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, keep: tuple[str, ...] = (), texts: bool = False, shard_bytes: int = SHARD_BYTES, hot_bytes: int = HOT_BYTES) -> DataFrame:
-    """Removes from each text of docs (doc_id, text) every byte covered by a `window`-byte string that also starts anywhere else.
+    The core is what all windows of a whole block would share, the hull what
+    the block's windows cover. Equal windows lie in blocks of equal cores; the
+    windows of blocks with equal hulls are all equal.
+    """
+    data = np.frombuffer(raw, np.uint8)
+    n = len(data) - gram + 1
+    p, inverse = prefix_hash(data), powers(INVERSE, len(data) + 1)
+    places = np.flatnonzero(mix((p[gram:] - p[:n]) * inverse[:n]) == np.uint64(anchor & 0xFFFFFFFFFFFFFFFF))
+    for first, last in stretches:
+        i = np.arange(first, last + 1)
+        at = places[np.searchsorted(places, i)]  # the anchor's first place in each window
+        block = (at - i) // width
+        turn = np.flatnonzero((np.diff(at) != 0) | (np.diff(block) != 0)) + 1
+        starts, ends = np.append(0, turn), np.append(turn, len(i)) - 1
+        for a, z, q, k in zip(i[starts].tolist(), i[ends].tolist(), at[starts].tolist(), block[starts].tolist(), strict=True):
+            core = raw[q - k * width : q - (k + 1) * width + 1 + window]
+            yield a, z, xxhash.xxh3_64_intdigest(core, k), xxhash.xxh3_64_intdigest(raw[a : z + window], q - a)
+
+
+def count_windows(pieces: DataFrame, window: int, gram: int) -> DataFrame:
+    """As sort_shards, by hashes in place of a sort; no task holds more than one piece, whatever its anchor.
+
+    A round counts blocks of windows. A block whose core is nowhere else holds
+    no repeated window; one whose hull is elsewhere holds no other. The rest
+    goes on in smaller blocks, and one block for each repeated hull with it.
+    """
+    schema = "piece long, anchor long, run long, wanted boolean, low int, high int, core long, hull long"
+    held = stash(pieces.select(F.monotonically_increasing_id().alias("piece"), "anchor", "run", (F.col("n") == 1).alias("wanted"), "windows", "bytes"), "suffix-hot-pieces")
+    asked, found, used = held.withColumn("asked", F.array(F.struct(F.lit(0).alias("low"), (F.col("windows") - 1).cast("int").alias("high")))), None, []
+    for width in BLOCKS:
+        def run(parts: Iterator[pd.DataFrame], width: int = width) -> Iterator[pd.DataFrame]:
+            release()
+            for part in parts:
+                out = []
+                for piece, anchor, content, wanted, raw, stretches in zip(*(part[c] for c in ("piece", "anchor", "run", "wanted", "bytes", "asked")), strict=True):
+                    out += [(piece, anchor, content, wanted, *b) for b in blocks(raw, anchor, [(x["low"], x["high"]) for x in stretches], width, window, gram)]
+                    if len(out) > LEAVE:
+                        yield frame(out)
+                        out = []
+                yield frame(out)
+
+        def frame(out: list) -> pd.DataFrame:
+            rows = pd.DataFrame(out, columns=["piece", "anchor", "run", "wanted", "low", "high", "core", "hull"])
+            return rows.astype({"wanted": bool, "core": np.uint64, "hull": np.uint64}).astype({"core": np.int64, "hull": np.int64})
+
+        rows = stash(batches(asked.select("piece", "anchor", "run", "wanted", "bytes", "asked"), 500).mapInPandas(run, schema), "suffix-blocks")
+        place = F.struct("run", "low")  # of a repeated row the same
+        hulls = rows.groupBy("anchor", "core", "hull").agg(F.min(place).alias("one"), F.max(place).alias("last"), F.min(F.struct("run", "low", "piece", "high")).alias("own"), F.max("wanted").alias("wanted"))
+        hulls = stash(hulls.withColumn("again", F.col("one") != F.col("last")), "suffix-hulls")
+        done = rows.where("wanted").join(hulls.where("again").select("anchor", "core", "hull"), ["anchor", "core", "hull"]).select("anchor", "run", "low", "high").distinct()
+        found = done if found is None else found.unionByName(done)
+        used += [rows, hulls]
+        if width > 1:
+            # Cores of several hulls, one of them of windows that are asked for and not yet known to repeat.
+            cores = hulls.groupBy("anchor", "core").agg(F.count(F.lit(1)).alias("hulls"), F.max(F.col("wanted") & ~F.col("again")).alias("open"), F.max("again").alias("any")).where("open AND (hulls > 1 OR any)").select("anchor", "core")
+            some = hulls.join(cores, ["anchor", "core"]).select("own.piece", "own.low", "own.high").groupBy("piece").agg(F.collect_list(F.struct("low", "high")).alias("asked"))
+            asked = held.join(some, "piece")
+    out = stash(found, "suffix-counted")
+    discard(held, *used)
+    return out
 
-    Returns doc_id, n_bytes, n_removed, n_spans, kept_sha256, the columns in
-    `keep` and, if asked for, kept: the remaining text, without characters of
-    which only some bytes remain. Strings are judged on the input, over all rows, the same row
-    included. A null text counts as empty. Rows count each for itself, also
-    those that share a doc_id or have none; a row that repeats thereby removes
-    all of a text of `window` bytes or more. An empty table gives no rows.
+
+def whole_words(raw: bytes, low: int, high: int) -> int:
+    """How many words of a text lie whole between two of its bytes."""
+    some = raw[low:high].split()
+    cut = bool(some) and low > 0 and not raw[low - 1 : low].isspace() and not raw[low : low + 1].isspace()
+    cut_end = bool(some) and high < len(raw) and not raw[high - 1 : high].isspace() and not raw[high : high + 1].isspace()
+    return max(0, len(some) - cut - cut_end)
+
+
+def merged(stretches, window: int) -> list[list[int]]:
+    """Stretches of windows (low, high) as the maximal runs of bytes that they cover: start and end."""
+    out: list[list[int]] = []
+    for low, high in sorted((x["low"], x["high"] + window) for x in (stretches if stretches is not None else ())):
+        if out and low <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], high)
+        else:
+            out.append([low, high])
+    return out
+
+
+def without(raw: bytes, gone: list[list[int]]) -> bytes:
+    return b"".join(raw[a:b] for a, b in zip([0, *(g[1] for g in gone)], [*(g[0] for g in gone), len(raw)], strict=True)) if gone else raw
+
+
+def _bytes(text: str | bytes) -> bytes:
+    return text.encode("utf-8", "surrogatepass") if isinstance(text, str) else bytes(text)
+
+
+def _same(a: DataFrame, b: DataFrame):
+    return a["doc_id"].eqNullSafe(b["_d"]) & (a["key"] == b["_k"])
+
+
+def repeats(rows: DataFrame, window: int = WINDOW, gram: int = GRAM, shard_bytes: int = SHARD_BYTES, hot_bytes: int = HOT_BYTES) -> DataFrame:
+    """_d, _k, spans: for each doc_id and key of rows (doc_id, key, text) the stretches of windows that also start elsewhere; written.
+
+    text is a string or binary. Rows with the same doc_id and key must have the same text.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"), *[F.col(c).alias(f"keep_{c}") for c in keep]).withColumn("key", F.xxhash64("text"))
-    found = stash(all_runs(rows.select("doc_id", "key", "text"), window, gram), "suffix-runs")
-    often = found.groupBy("anchor").agg(F.count(F.lit(1)).alias("times"), F.max("again").alias("any")).where("times > 1 OR any").select("anchor")
-    found = stash(found.join(often, "anchor"), "suffix-repeated")
+    rows = rows.select("doc_id", "key", "text").where(F.octet_length("text") >= window)
+    runs_ = stash(all_runs(rows, window, gram), "suffix-runs")
+    often = runs_.groupBy("anchor").agg(F.count(F.lit(1)).alias("times"), F.max("again").alias("any")).where("times > 1 OR any").select("anchor")
+    found = stash(runs_.join(often, "anchor"), "suffix-repeated")
+    discard(runs_)
     kinds = stash(found.groupBy("anchor", "run").agg(F.count(F.lit(1)).alias("n"), F.max("again").alias("again"), F.min(F.struct("doc_id", "key", "low", "high")).alias("one")), "suffix-kinds")
     length = F.col("one.high") - F.col("one.low") + F.lit(window).cast("long")
     several = kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds"), F.min("n").alias("least"), F.max("again").alias("any"), F.sum(length).alias("size")).where("least = 1 AND (kinds > 1 OR any)").select("anchor", "size")
@@ -202,52 +277,94 @@ def dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, keep: tuple[s
         for part in parts:
             out = []
             for text, asked in zip(part["text"], part["asked"], strict=True):
-                raw = text.encode("utf-8", "surrogatepass")
+                raw = _bytes(text)
                 out += [(x["anchor"], x["run"], x["n"], x["high"] - x["low"] + 1, raw[x["low"] : x["high"] + window]) for x in asked]
             yield pd.DataFrame(out, columns=["anchor", "run", "n", "windows", "bytes"])
 
-    same = lambda a, b: a["doc_id"].eqNullSafe(b["_d"]) & (a["key"] == b["_k"])
-    holders = rows.select("doc_id", "key", "text").where(F.octet_length("text") >= window)
-
     def pieces(anchors: DataFrame) -> DataFrame:
         ask = kinds.join(anchors, "anchor").select("anchor", "run", "n", "one.*").groupBy(F.col("doc_id").alias("_d"), F.col("key").alias("_k")).agg(F.collect_list(F.struct("anchor", "run", "n", "low", "high")).alias("asked"))
-        return batches(holders.join(ask, same(holders, ask)).select("text", "asked"), 500).mapInPandas(cut, "anchor long, run long, n long, windows long, bytes binary")
+        return batches(rows.join(ask, _same(rows, ask)).select("text", "asked"), 500).mapInPandas(cut, "anchor long, run long, n long, windows long, bytes binary")
 
-    sorted_ = sort_shards(pieces(several), window, shard_bytes, scratch(rows.sparkSession))
+    marked = sort_shards(pieces(several), window, shard_bytes, scratch(rows.sparkSession))
     if not hot.isEmpty():
-        sorted_ = sorted_.unionByName(count_windows(pieces(hot), window))
+        marked = marked.unionByName(count_windows(pieces(hot), window, gram))
 
     whole = kinds.where("n > 1").select("anchor", "run").join(found, ["anchor", "run"]).select("doc_id", "key", "low", F.col("high"))
-    partly = found.join(sorted_.select("anchor", "run", F.col("low").alias("a"), F.col("high").alias("b")), ["anchor", "run"]).select("doc_id", "key", (F.col("low") + F.col("a")).alias("low"), (F.col("low") + F.col("b")).alias("high"))
-    spans = whole.union(partly).groupBy(F.col("doc_id").alias("_d"), F.col("key").alias("_k")).agg(F.collect_set(F.struct("low", "high")).alias("spans"))
+    partly = found.join(marked.select("anchor", "run", F.col("low").alias("a"), F.col("high").alias("b")), ["anchor", "run"]).select("doc_id", "key", (F.col("low") + F.col("a")).alias("low"), (F.col("low") + F.col("b")).alias("high"))
+    spans = stash(whole.union(partly).groupBy(F.col("doc_id").alias("_d"), F.col("key").alias("_k")).agg(F.collect_set(F.struct("low", "high")).alias("spans")), "suffix-spans")
+    discard(found, kinds, hot)
+    return spans
 
+
+def repeats_within(rows: DataFrame, spans: DataFrame, narrow: int, window: int, gram: int, shard_bytes: int, hot_bytes: int) -> DataFrame:
+    """As repeats(), where `spans` has the stretches of windows of `narrow` bytes, fewer than `window`: what repeats lies within what these cover."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            out = [(d, k, a, raw[a:b]) for d, k, text, stretches in zip(part["doc_id"].astype("Int64"), part["key"], part["text"], part["spans"], strict=True)
+                   for raw in [_bytes(text)] for a, b in merged(stretches, narrow) if b - a >= window]
+            yield pd.DataFrame(out, columns=["doc_id", "_key", "start", "text"]).astype({"doc_id": "Int64"})
+
+    cut = batches(rows.join(spans, _same(rows, spans)).select("doc_id", "key", "text", "spans"), 500).mapInPandas(run, "doc_id long, _key long, start int, text binary")
+    segments = stash(cut.withColumn("key", F.xxhash64("_key", "start")), "suffix-segments")
+    inner = repeats(segments, window, gram, shard_bytes, hot_bytes)
+    names = segments.select("doc_id", "key", "_key", "start").distinct()
+    out = names.join(inner, _same(names, inner)).select("_d", "_key", F.explode(F.transform("spans", lambda x: F.struct((x["low"] + F.col("start")).alias("low"), (x["high"] + F.col("start")).alias("high")))).alias("x"))
+    out = stash(out.groupBy("_d", F.col("_key").alias("_k")).agg(F.collect_list("x").alias("spans")), "suffix-spans")
+    discard(segments, inner)
+    return out
+
+
+def dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, keep: tuple[str, ...] = (), texts: bool = False, least_words: int = 0, passages: tuple[int, int] | None = None, shard_bytes: int = SHARD_BYTES, hot_bytes: int = HOT_BYTES) -> DataFrame:
+    """Removes from each text of docs (doc_id, text) every byte covered by a `window`-byte string that also starts anywhere else.
+
+    Returns doc_id, n_bytes, n_removed, n_spans, kept_sha256, the columns in
+    `keep` and, if asked for, kept: the remaining text, without characters of
+    which only some bytes remain. With `least_words`, runs of such bytes that
+    hold fewer whole words stay. With `passages`, kept is instead the text
+    without repeated passages of at least so many bytes (fewer than `window`)
+    and whole words, whatever the other columns say. Strings are judged on the
+    input, over all rows, the same row included. A null text counts as empty.
+    Rows count each for itself, also those that share a doc_id or have none; a
+    row that repeats thereby removes all of a text of `window` bytes or more.
+    Very long texts are cut whole, never a prefix. Columns of other names than
+    doc_id and text are left out unless in `keep`, whatever they are called.
+    Nothing depends on the order of rows, so ties need no rule. An empty table
+    gives no rows.
+    """
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"), *[F.col(c).alias(f"keep_{c}") for c in keep]).withColumn("key", F.xxhash64("text"))
+    narrow, words = passages or (window, least_words)
+    spans = repeats(rows, narrow, gram, shard_bytes, hot_bytes)
+    both = spans.withColumn("wide", F.col("spans"))
+    if passages:
+        wide = repeats_within(rows, spans, narrow, window, gram, shard_bytes, hot_bytes)
+        both = spans.join(wide.select(F.col("_d").alias("_e"), F.col("_k").alias("_l"), F.col("spans").alias("wide")), F.col("_d").eqNullSafe(F.col("_e")) & (F.col("_k") == F.col("_l")), "left").select("_d", "_k", "spans", "wide")
     names = [f"keep_{c}" for c in keep]
 
     def remove(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             out = []
-            for text, stretch in zip(part["text"], part["spans"], strict=True):
-                raw = text.encode("utf-8", "surrogatepass")
-                removed = n_spans = 0
-                left, at = [], 0
-                if stretch is not None:
-                    for low, high in sorted((x["low"], x["high"]) for x in stretch):
-                        if low > at or not n_spans:
-                            left.append(raw[at:low])
-                            n_spans += 1
-                            at = low
-                        removed += max(0, high + window - at)
-                        at = max(at, high + window)
-                kept = b"".join([*left, raw[at:]]) if n_spans else raw
-                out.append((len(raw), removed, n_spans, hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore") if texts else None))
+            for text, stretches, wide in zip(part["text"], part["spans"], part["wide"], strict=True):
+                raw = _bytes(text)
+                fit = [g for g in merged(stretches, narrow) if not words or whole_words(raw, *g) >= words]
+                gone = merged(wide, window) if passages else fit
+                kept = without(raw, gone)
+                left = None if not texts else without(raw, fit).decode("utf-8", "ignore") if fit else text
+                out.append((len(raw), len(raw) - len(kept), len(gone), hashlib.sha256(kept).hexdigest(), left))
             more = pd.DataFrame(out, columns=["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
             yield pd.concat([part[["doc_id", *names]].astype({"doc_id": "Int64"}).reset_index(drop=True), more], axis=1)
 
     kinds_of = {f.name: f.dataType.simpleString() for f in rows.schema}
     schema = ", ".join(f"`{c}` {kinds_of[c]}" for c in ["doc_id", *names]) + ", n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string"
-    out = batches(rows.join(spans, same(rows, spans), "left").select("doc_id", *names, "text", "spans"), 500).mapInPandas(remove, schema)
+    out = batches(rows.join(both, _same(rows, both), "left").select("doc_id", *names, "text", "spans", "wide"), 500).mapInPandas(remove, schema)
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *[F.col(f"keep_{c}").alias(c) for c in keep], *(["kept"] if texts else []))
 
 
 def op3_induced_suffix_dedup(spark, sf_dir: str) -> DataFrame:
-    return dedup(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    """The contract's columns for every row of documents, and text: what remains without repeated passages of over 50 words.
+
+    Nulls, empty and very long texts, repeated rows, ties, clashing columns and
+    empty tables as in dedup().
+    """
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    return dedup(docs, texts=True, passages=(PASSAGE_BYTES, PASSAGE_WORDS)).withColumnRenamed("kept", "text")
