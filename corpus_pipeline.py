@@ -40,8 +40,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document, without the bytes of long strings that occur elsewhere; characters that are cut through go as well."""
-    rows = suffixdedup.dedup(docs, keep=("text", "lang", "source", "n_chars"), texts=True)
+    """Every document, without passages of over 50 words that occur elsewhere; characters that are cut through go as well."""
+    rows = suffixdedup.dedup(docs, suffixdedup.PASSAGE_BYTES, keep=("text", "lang", "source", "n_chars"), texts=True, least_words=suffixdedup.PASSAGE_WORDS)
     cut = F.col("n_removed") > 0
     return rows.select("doc_id", F.when(cut, F.col("kept")).otherwise(F.col("text")).alias("text"), "lang", "source", F.when(cut, F.length("kept")).otherwise(F.col("n_chars")).cast("long").alias("n_chars"))
 
