@@ -2,8 +2,8 @@
 
 Documents become pieces of at most `capacity` tokens. Only the histogram of
 piece lengths (at most `capacity` rows, whatever the corpus) reaches the
-driver. There, for each length from the longest down, a hash index of single,
-pair and triple length sums names combinations that fill the gap exactly; a
+driver. There, for each length from the longest down, an index of single, pair
+and triple length sums names combinations that fill the gap exactly; a
 combination is consumed as often as all its lengths are available. What is
 left is packed best-fit decreasing, again by counts. The resulting patterns
 are handed to the pieces by their rank within their length.
@@ -11,6 +11,7 @@ are handed to the pieces by their rank within their length.
 
 from __future__ import annotations
 
+import json
 import unicodedata
 import zlib
 from bisect import bisect_left, insort
@@ -26,6 +27,14 @@ from textloom.llm._util import batches, caches, group_rank, release, stash, text
 
 CAPACITY = 4096
 END_ID = 1
+# What a tokenizer must do to texts for its ids to be those of the texts' words.
+WORD_RULES = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {"type": "Sequence", "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]},
+    "post_processor": None,
+}
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -42,9 +51,10 @@ caches.append(_encoders)
 class WordEncoder:
     """Token ids of whole texts, looked up word by word.
 
-    The tokenizer drops white space and never merges over it, so a text's ids
-    are those of its pieces between spaces and line feeds. `limit` bounds the
-    words remembered between batches.
+    A tokenizer with WORD_RULES drops white space and never merges over it, so a
+    text's ids are those of its pieces between spaces and line feeds. `limit`
+    bounds the words remembered between batches. With any other tokenizer whole
+    texts are encoded.
     """
 
     def __init__(self, path: str, limit: int = 400_000):
@@ -54,6 +64,8 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.limit, self.new, self.kept = Tokenizer.from_file(path), limit, [], 0
+        read = json.loads(self.tokenizer.to_str())
+        self.by_word = {k: read[k] for k in WORD_RULES} == WORD_RULES and read["model"].get("end_of_word_suffix") == "</w>"
         encoder = self
 
         class Words(dict):
@@ -121,6 +133,9 @@ class WordEncoder:
 
     def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
         """The ids of each text, in order."""
+        if not self.by_word:
+            yield from (np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False))
+            return
         if len(self.words) > self.limit:
             for word in self.new[max(0, self.limit - self.kept) :]:
                 del self.words[word]
@@ -158,7 +173,48 @@ def tokenize(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataF
                 i = j
             yield pd.DataFrame({"doc_id": pd.array(ids, dtype="Int64"), "piece": np.array(piece, np.int32), "start": np.array(start, np.int64), "length": np.array(length, np.int64), "ids_crc32": np.array(crc, np.int64)})
 
-    return batches(docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text")), 1000).mapInPandas(run, PIECES)
+    return batches(docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text"))).mapInPandas(run, PIECES)
+
+
+class Sums:
+    """An index of the sums of two and of three available lengths.
+
+    Lengths only ever become fewer and the longest that is asked for shorter,
+    so an entry that was passed over once is never needed again.
+    """
+
+    def __init__(self, left: dict[int, int], capacity: int):
+        self.left = left
+        self.lengths = np.array(sorted(left, reverse=True), np.int32)
+        rows = [(x, self.lengths[i:][self.lengths[i:] < capacity - x]) for i, x in enumerate(self.lengths.tolist())]
+        first, second = (np.concatenate([np.zeros(0, np.int16), *parts]) for parts in ([np.full(len(y), x, np.int16) for x, y in rows], [y.astype(np.int16) for _, y in rows]))
+        total = first.astype(np.int32) + second
+        order = np.argsort(total, kind="stable")  # of equal sums the longest first
+        self.first, self.second = first[order], second[order]
+        self.next = np.searchsorted(total[order], np.arange(capacity + 2))
+        self.end = self.next[1:].copy()
+        self.next_of_three = np.zeros(capacity + 1, np.int64)
+
+    def pair(self, total: int, longest: int) -> tuple[int, int] | None:
+        """Two available lengths, none above `longest`, with this sum, beside one piece of `longest`."""
+        left, i, end = self.left, int(self.next[total]), int(self.end[total])
+        while i < end:
+            a, b = int(self.first[i]), int(self.second[i])
+            if a <= longest and left.get(b, 0) > (b == longest and a != b) and left.get(a, 0) > (a == longest) + (a == b):
+                break
+            i += 1
+        self.next[total] = i
+        return (a, b) if i < end else None
+
+    def triple(self, total: int, longest: int) -> tuple[int, int, int] | None:
+        left, i = self.left, int(self.next_of_three[total])
+        while i < len(self.lengths) and 3 * (a := int(self.lengths[i])) >= total:
+            if a <= longest and a in left and a < total - 1 and (found := self.pair(total - a, longest)) and left[a] > found.count(a) + (a == longest):
+                self.next_of_three[total] = i
+                return a, *found
+            i += 1
+        self.next_of_three[total] = i
+        return None
 
 
 def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:
@@ -167,7 +223,7 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tupl
     assert all(0 < k <= capacity for k in left), "a piece is longer than the capacity"
     bins: list[tuple[tuple[int, ...], int]] = []
 
-    def take(lengths: tuple[int, ...]) -> None:
+    def take(lengths: tuple[int, ...]) -> bool:
         """Consumes the combination as often as its lengths are there."""
         need = {k: lengths.count(k) for k in lengths}
         n = min(left.get(k, 0) // m for k, m in need.items())
@@ -177,33 +233,21 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tupl
                 left[k] -= m * n
                 if not left[k]:
                     del left[k]
-
-    def pair(total: int, most: int) -> tuple[int, int] | None:
-        """Two available lengths, the longer at most `most`, with this sum: the longest first."""
-        for a in range(min(most, total - 1), (total - 1) // 2, -1):
-            if a in left and (total - a in left) and (a != total - a or left[a] > 1):
-                return a, total - a
-        return None
+        return n > 0
 
     if left.get(capacity):
         take((capacity,))
+    sums = Sums(left, capacity)
     for longest in sorted(left, reverse=True):
+        gap = capacity - longest
         while left.get(longest):
-            before, gap = left[longest], capacity - longest
-            if gap in left:
-                take((longest, gap))
-            if left.get(longest) == before and gap > 1 and (found := pair(gap, min(longest, gap))):
-                take((longest, *found))
-            if left.get(longest) == before and gap > 2:
-                for a in [k for k in sorted(left, reverse=True) if k < gap - 1 and k <= longest]:
-                    if 3 * a < gap:
-                        break
-                    if (found := pair(gap - a, min(a, gap - a))) and (a not in found or left[a] > found.count(a)):
-                        take((longest, a, *found))
-                        if left.get(longest) != before:
-                            break
-            if left.get(longest) == before:
-                break
+            if gap in left and take((longest, gap)):
+                continue
+            if (found := sums.pair(gap, longest)) and take((longest, *found)):
+                continue
+            if (found := sums.triple(gap, longest)) and take((longest, *found)):
+                continue
+            break
 
     # Best fit for the rest: groups of equal bins, by their free room.
     rooms: list[int] = []
@@ -296,4 +340,5 @@ def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY
 
 
 def op1_best_fit_packing(spark, sf_dir: str) -> DataFrame:
+    """The contract's columns for every piece of documents; nulls, repeated rows and the like as in pack()."""
     return pack(spark.read.parquet(f"{sf_dir}/documents.parquet"))
