@@ -112,13 +112,16 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST,
     Returns doc_id, source, size (words), source_size, target, taken (size times
     repeats), copies (that number) and the columns in `keep`. A null text has
     size 0, a null source is a source of its own and comes last. Documents of
-    size 0 take no part (copies 0). Rows that repeat count each for itself;
-    where a repeated row's copy goes makes no difference. An empty table gives
-    no rows. Any number of sources is fitted in parallel, from one histogram
-    row per source and distinct length.
+    size 0 take no part (copies 0). Rows that repeat count each for itself. Which
+    documents of a length are taken follows a seeded hash of doc_id and text, so
+    reruns agree whatever the order of rows; of rows equal in both it makes no
+    difference which is taken. Very long texts count whole. Other columns of
+    docs are not read, whatever their names. An empty table gives no rows. Any
+    number of sources is fitted in parallel, from one histogram row per source
+    and distinct length.
     """
     size = words(text_or_empty())
-    rows = stash(docs.select(F.col("doc_id").cast("long").alias("doc_id"), size.alias("size"), F.col("source").cast("string").alias("source"), *keep), "mixing-rows")
+    rows = stash(docs.select(F.col("doc_id").cast("long").alias("doc_id"), size.alias("size"), F.col("source").cast("string").alias("source"), *keep, F.xxhash64(F.lit(seed), "doc_id", text_or_empty()).alias("_seeded")), "mixing-rows")
     lengths = stash(rows.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n")), "mixing-lengths")
     by_source = [(r["source"], r["s"]) for r in lengths.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("s")).collect()]  # one row per source
     goal = targets(by_source, weights, most)
@@ -136,7 +139,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST,
     plan = lengths.join(per_source, lengths["source"].eqNullSafe(per_source["source"])).select(lengths["*"], "source_size", "target") \
         .groupBy("source").applyInPandas(run, "source string, size long, source_size long, target double, passes int, n long, more long")
     plan = stash(plan, "mixing-plan")
-    ranked = group_rank(rows, ["source", "size"], F.xxhash64(F.lit(seed), "doc_id"), "_rank")
+    ranked = group_rank(rows, ["source", "size"], F.col("_seeded"), "_rank")
     extra = F.floor(F.col("more") / F.col("n")) + (F.col("_rank") < F.col("more") % F.col("n")).cast("int")
     copies = F.when(F.col("p.size") == 0, 0).otherwise(F.col("passes") + extra).cast("int")
     return ranked.alias("r").join(plan.alias("p"), (F.col("r.size") == F.col("p.size")) & F.col("r.source").eqNullSafe(F.col("p.source"))).select(
@@ -144,4 +147,6 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST,
 
 
 def op9_subset_sum_mixing(spark, sf_dir: str) -> DataFrame:
-    return mix(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")).drop("copies")
+    """The contract's columns for every row of documents, and source; nulls, repeated rows and the like as in mix()."""
+    rows = mix(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source"))
+    return rows.select("doc_id", "size", "source_size", "target", "taken", "source")
