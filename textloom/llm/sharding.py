@@ -1,24 +1,22 @@
 """Sharding by histogram sort.
 
 Rows are ordered by (hash of the text, doc_id). Splitters that cut this order
-into cells of equal bytes are found by counting: each round, every partition
+into shards of equal bytes are found by counting: each round, every partition
 counts exact bytes between candidate boundaries, and the boundaries around
 each target are moved together until a splitter is within tolerance. Only
-then do the rows move, once. Consecutive cells make up a shard.
+then do the rows move, once, dealt by hashes within their shard to be counted.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from textloom.llm._util import stash, text_or_empty
+from textloom.llm._util import group_rank, stash, text_or_empty
 
 SHARDS = 24
-CELLS_PER_SHARD = 16
 #: A splitter may be off its target by this share of a shard's bytes.
-TOLERANCE = 0.002
+TOLERANCE = 0.01
 FIRST_BITS, STEP_BITS = 16, 8
 LOW, HIGH = -(2**63), 2**63 - 1
 
@@ -33,8 +31,8 @@ def finer(rows: DataFrame, column: str, shift: int, parents: dict[tuple[int | No
     return {(r["fixed"], r["probe"]): (r["bytes"], r["n"]) for r in counts.collect()}
 
 
-def splitters(rows: DataFrame, shards: int, cells: int, tolerance: float) -> list[tuple[int, int]]:
-    """Sorted boundaries (h, g), one between any two cells: a row belongs below a boundary if its (h, g) is at most it.
+def splitters(rows: DataFrame, shards: int, tolerance: float) -> list[tuple[int, int]]:
+    """Sorted boundaries (h, g), one between any two shards: a row belongs below a boundary if its (h, g) is at most it.
 
     Probes start 2 ** FIRST_BITS to the key range; the bracket that holds a target
     is then probed STEP_BITS finer, for all targets at once, until one of its
@@ -43,11 +41,11 @@ def splitters(rows: DataFrame, shards: int, cells: int, tolerance: float) -> lis
     2 ** STEP_BITS rows for each target to the driver, whatever the corpus.
     """
     first = rows.agg(F.sum("size").alias("bytes"), F.min("g").alias("low"), F.max("g").alias("high")).first()
-    total, n = first["bytes"] or 0, shards * cells
+    total = first["bytes"] or 0
     if not total:
-        return [(LOW, LOW)] * (n - 1)
-    goal = {i: total * i / n for i in range(1, n)}
-    slack = {i: total / shards * (tolerance if i % cells == 0 else 0.2 / cells) for i in goal}
+        return [(LOW, LOW)] * (shards - 1)
+    goal = {i: total * i / shards for i in range(1, shards)}
+    slack = total / shards * tolerance
     done: dict[int, tuple[int, int]] = {}
     column, shift, above = "h", 64 - FIRST_BITS, 64
     around = {i: (None, 0, 0) for i in goal}  # the h that g is searched in, the bracket, bytes below it
@@ -63,7 +61,7 @@ def splitters(rows: DataFrame, shards: int, cells: int, tolerance: float) -> lis
                     break
                 below += size
             low, high = (p << shift) - 1, ((p + 1) << shift) - 1
-            if min(goal[i] - below, abs(below + size - goal[i])) <= slack[i] or count == 1 or shift == 0 and column == "g":
+            if min(goal[i] - below, abs(below + size - goal[i])) <= slack or count == 1 or shift == 0 and column == "g":
                 x = low if goal[i] - below <= below + size - goal[i] else high
                 done[i] = (h, max(x, LOW)) if column == "g" else (max(x, LOW), HIGH if x >= LOW else LOW)
                 del around[i]
@@ -78,40 +76,36 @@ def splitters(rows: DataFrame, shards: int, cells: int, tolerance: float) -> lis
     return sorted(done.values())
 
 
-def cell_of(rows: DataFrame, bounds: list[tuple[int, int]]) -> DataFrame:
-    """Adds `cell`, the number of boundaries below a row's (h, g)."""
+def shard_of(bounds: list[tuple[int, int]]) -> Column:
+    """The number of boundaries below a row's (h, g)."""
     longs = lambda x: F.array(*[F.lit(int(v)) for v in x]).cast("array<long>")
-    cell = F.size(F.filter(longs(h for h, _ in bounds), lambda b: b < F.col("h")))
+    below = F.size(F.filter(longs(h for h, _ in bounds), lambda b: b < F.col("h")))
     if cut := [b for b in bounds if b[1] != HIGH]:  # boundaries within a group of copies
-        cell = cell + F.size(F.filter(F.arrays_zip(longs(h for h, _ in cut).alias("h"), longs(g for _, g in cut).alias("g")), lambda b: (b["h"] == F.col("h")) & (b["g"] < F.col("g"))))
-    return rows.withColumn("cell", cell)
+        below = below + F.size(F.filter(F.arrays_zip(longs(h for h, _ in cut).alias("h"), longs(g for _, g in cut).alias("g")), lambda b: (b["h"] == F.col("h")) & (b["g"] < F.col("g"))))
+    return below.cast("int")
 
 
-def shard(docs: DataFrame, shards: int = SHARDS, cells: int = CELLS_PER_SHARD, tolerance: float = TOLERANCE) -> DataFrame:
+def shard(docs: DataFrame, shards: int = SHARDS, tolerance: float = TOLERANCE) -> DataFrame:
     """Deals docs (doc_id, text) into shards of near equal bytes, equal texts together.
 
     Returns doc_id, size (UTF-8 bytes of the text and 8), text_crc32, law
     (`bytes`), shard, slot (gapless from 0 in each shard) and grown_shard
     (null under this law). A null text counts as empty, a null doc_id orders
-    first. Equal texts stay in one shard unless a shard boundary would then miss
+    first, a very long text is one row that a shard may exceed its share by.
+    Equal texts stay in one shard unless a shard boundary would then miss
     its target by more than `tolerance` of a shard; such a group is cut by
-    doc_id. Rows equal in both stay together. An empty table gives no rows.
+    doc_id. Rows equal in both stay together and take their slots in any order.
+    Other columns are not read. An empty table gives no rows.
     """
     text = text_or_empty()
     rows = stash(docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"),
         F.xxhash64(text).alias("h"), F.coalesce(F.col("doc_id").cast("long"), F.lit(LOW)).alias("g")), "sharding-rows")
-    dealt = cell_of(rows, splitters(rows, shards, cells, tolerance)).withColumn("shard", F.floor(F.col("cell") / cells).cast("int"))
-    counts = {r["cell"]: r["n"] for r in dealt.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most shards * cells rows
-    first, starts = 0, []
-    for c in range(shards * cells):
-        first = 0 if c % cells == 0 else first
-        starts.append(first)
-        first += counts.get(c, 0)
-    start = F.element_at(F.array(*[F.lit(int(x)) for x in starts]).cast("array<long>"), F.col("cell") + 1)
-    slot = F.row_number().over(Window.partitionBy("cell").orderBy("h", "g")) - 1 + start
-    return dealt.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", slot.cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+    dealt = rows.withColumn("shard", shard_of(splitters(rows, shards, tolerance)) if shards > 1 else F.lit(0))
+    return group_rank(dealt, ["shard"], F.xxhash64("h", "g"), "slot").select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
 
 
 def op7_histogram_sharding(spark, sf_dir: str) -> DataFrame:
+    """The contract's columns for every row of documents; nulls, repeated rows and the like as in shard()."""
     return shard(spark.read.parquet(f"{sf_dir}/documents.parquet"))
