@@ -28,6 +28,8 @@ REVISIT_FROM = 0
 ARCHIVE_BYTES = 1 << 30
 #: Ranges closer than the first are read together, up to the second.
 GAP, READ = 1 << 16, 8 << 20
+#: Bytes of records that one task reads.
+TASK_BYTES = 32 << 20
 DATE = "2026-01-01T00:00:00Z"
 INDEX = "file string, offset long, length long, url string, payload_digest string, page_id long"
 RECORD = "page_id long, url string, record_type string, refers_to long, payload_digest string, payload_bytes long, payload binary"
@@ -85,7 +87,8 @@ def write(pages: DataFrame, folder: str, revisit_from: int = REVISIT_FROM, archi
     page_id is a response, the others are revisits of it. A null html is an
     empty payload. Rows that repeat the smallest page_id are responses too, as
     are equal payloads of which no row has a page_id. Line breaks in a URL
-    become spaces; a null URL stays null. An empty table has an empty index.
+    become spaces; a null URL stays null. A very long page is one record.
+    Other columns are not read. An empty table has an empty index.
     """
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -114,41 +117,55 @@ def write(pages: DataFrame, folder: str, revisit_from: int = REVISIT_FROM, archi
 
     store, path = fs.FileSystem.from_uri(folder)
     store.create_dir(path, recursive=True)
-    return stash(batches(roles(pages, revisit_from), 500).mapInPandas(run, INDEX), "warc-index")
+    return stash(batches(roles(pages, revisit_from)).mapInPandas(run, INDEX), "warc-index")
 
 
-def read(index: DataFrame, folder: str, payloads: bool = True, gap: int = GAP, most: int = READ) -> DataFrame:
-    """The records that the rows of an index (all, or any selection) name, with or without their payloads."""
+def read(index: DataFrame, folder: str, payloads: bool = True, gap: int = GAP, most: int = READ, task_bytes: int = TASK_BYTES) -> DataFrame:
+    """The records that the rows of an index (all, or any selection) name, with or without their payloads.
+
+    Rows of the index that repeat are read as often. Ranges go to tasks in the
+    order of their places, about `task_bytes` of records to each.
+    """
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         store, _ = fs.FileSystem.from_uri(folder)
         name, source = "", None
-        for part in parts:
-            rows, records = list(zip(part["file"], part["offset"], part["length"], strict=True)), []
-            i = 0
-            while i < len(rows):
-                file, start, length = rows[i]
-                end, j = start + length, i + 1
-                while j < len(rows) and rows[j][0] == file and rows[j][1] - end <= gap and rows[j][1] + rows[j][2] - start <= most:
-                    end, j = max(end, rows[j][1] + rows[j][2]), j + 1
-                if file != name:
-                    if source is not None:
-                        source.close()
-                    name, source = file, store.open_input_file(file)
-                raw = source.read_at(end - start, start)
-                for _, a, n in rows[i:j]:
-                    found = parse(zlib.decompress(raw[a - start : a - start + n], 31))
-                    records.append(found if payloads else (*found[:-1], None))
-                i = j
-            yield pd.DataFrame(records, columns=["page_id", "url", "record_type", "refers_to", "payload_digest", "payload_bytes", "payload"]).astype({"page_id": "Int64", "refers_to": "Int64"})
-        if source is not None:
-            source.close()
-
-    ranges = index.select("file", "offset", "length").repartitionByRange("file", "offset").sortWithinPartitions("file", "offset")
-    return batches(ranges, 500).mapInPandas(run, RECORD)
+        try:
+            for part in parts:
+                rows, records = list(zip(part["file"], part["offset"], part["length"], strict=True)), []
+                i = 0
+                while i < len(rows):
+                    file, start, length = rows[i]
+                    end, j = start + length, i + 1
+                    while j < len(rows) and rows[j][0] == file and rows[j][1] - end <= gap and rows[j][1] + rows[j][2] - start <= most:
+                        end, j = max(end, rows[j][1] + rows[j][2]), j + 1
+                    if file != name:
+                        if source is not None:
+                            source.close()
+                        name, source = file, store.open_input_file(file)
+                    raw = source.read_at(end - start, start)
+                    for _, a, n in rows[i:j]:
+                        found = parse(zlib.decompress(raw[a - start : a - start + n], 31))
+                        records.append(found if payloads else (*found[:-1], None))
+                    i = j
+                    if sum(len(r[-1] or b"") for r in records) > most:
+                        yield frame(records)
+                        records = []
+                yield frame(records)
+        finally:
+            if source is not None:
+                source.close()
+
+    def frame(records: list) -> pd.DataFrame:
+        return pd.DataFrame(records, columns=["page_id", "url", "record_type", "refers_to", "payload_digest", "payload_bytes", "payload"]).astype({"page_id": "Int64", "refers_to": "Int64"})
+
+    size = index.agg(F.sum("length").alias("s")).first()["s"] or 0
+    ranges = index.select("file", "offset", "length").repartitionByRange(max(1, -(-size // task_bytes)), "file", "offset").sortWithinPartitions("file", "offset")
+    return batches(ranges).mapInPandas(run, RECORD)
 
 
 def op8_warc_index_first(spark, sf_dir: str) -> DataFrame:
+    """The contract's columns and url for every row of pages, as read back; nulls, repeated rows and the like as in write()."""
     folder = f"{scratch(spark)}/warc-{uuid.uuid4().hex}"
     index = write(spark.read.parquet(f"{sf_dir}/pages.parquet"), folder)
     return read(index, folder, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url")
