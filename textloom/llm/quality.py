@@ -20,8 +20,8 @@ from textloom.llm.bytewords import SPACES, chunks, words
 from textloom.llm.toxicity import held_out
 
 FEATURES, GAMMA, RIDGE, SEED = 192, 0.05, 1e-3, 20260904
-#: Partitions that send their sums to the driver, and bins of fitted values that isotonic regression counts in.
-SUMMANDS, BINS = 32, 1000
+#: Tasks that add up the sums of all partitions and send theirs to the driver, and bins of fitted values that isotonic regression counts in.
+SUMMANDS, BINS = 8, 1000
 GOOD_FROM = 0.5
 STATISTICS = ("log_words", "word_length", "word_spread", "upper", "digits", "symbols", "punctuation", "other_bytes", "line_feeds", "ends", "distinct", "line_repeats", "pair_repeats", "longest_word")
 
@@ -86,7 +86,7 @@ def measure(docs: DataFrame) -> DataFrame:
         for part in parts:
             yield pd.DataFrame({"doc_id": part["doc_id"].astype("Int64"), "x": list(statistics(part["text"].to_list()))})
 
-    return batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")), 1000).mapInPandas(run, "doc_id long, x array<double>")
+    return batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))).mapInPandas(run, "doc_id long, x array<double>")
 
 
 def fourier(x: np.ndarray, mean: np.ndarray, spread: np.ndarray) -> np.ndarray:
@@ -109,7 +109,7 @@ def isotonic(value: np.ndarray, good: np.ndarray, count: np.ndarray) -> tuple[np
 
 
 def sums(rows: DataFrame, run, size: int) -> np.ndarray:
-    """The sum of run(x, y) over the partitions of rows (x, y); each sends one vector of `size` numbers."""
+    """The sum of run(x, y) over rows (x, y): a vector of `size` numbers from each partition, added up in SUMMANDS tasks."""
 
     def each(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros(size)
@@ -118,7 +118,14 @@ def sums(rows: DataFrame, run, size: int) -> np.ndarray:
                 total += run(np.stack(part["x"].to_list()), part["y"].to_numpy(float))
         yield pd.DataFrame({"total": [total]})
 
-    found = rows.mapInPandas(each, "total array<double>").collect()  # at most SUMMANDS vectors
+    def add(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros(size)
+        for part in parts:
+            for x in part["total"]:
+                total += x
+        yield pd.DataFrame({"total": [total]})
+
+    found = batches(rows).mapInPandas(each, "total array<double>").repartition(SUMMANDS).mapInPandas(add, "total array<double>").collect()  # SUMMANDS vectors
     return np.sum([np.array(r["total"]) for r in found], axis=0) if found else np.zeros(size)
 
 
@@ -128,12 +135,14 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     Learns from labels (doc_id, quality) that are not held out: two thirds of
     them fit the ridge, one third the calibration. Rows without a label are left
     out; of several labels of one document the largest counts. A null text
-    counts as empty, a null doc_id is not held out, rows that repeat are scored
-    alike. Without labels the score is 0.5. An empty table gives no rows.
+    counts as empty, a very long one is read whole, a null doc_id is not held
+    out, rows that repeat are scored alike, a score of exactly GOOD_FROM is
+    predicted 1. Other columns of docs and labels are not read. Without labels
+    the score is 0.5. An empty table gives no rows.
     """
     stats = stash(measure(docs), "quality-statistics")
     label = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & ~held_out()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").cast("double").alias("y"))
-    known = stash(stats.join(label, "doc_id").select("x", "y", (F.pmod(F.xxhash64(F.lit(SEED), "doc_id"), F.lit(3)) == 0).alias("later")), "quality-labelled").coalesce(SUMMANDS)
+    known = stash(stats.join(label, "doc_id").select("x", "y", (F.pmod(F.xxhash64(F.lit(SEED), "doc_id"), F.lit(3)) == 0).alias("later")), "quality-labelled")
     fit, later = known.where("NOT later"), known.where("later")
 
     k, d = len(STATISTICS), FEATURES + 1
@@ -169,4 +178,5 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def op10_fourier_quality(spark, sf_dir: str) -> DataFrame:
+    """The contract's columns for every row of documents; nulls, repeated rows and the like as in classify()."""
     return classify(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality"))
