@@ -6,7 +6,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from textloom.llm.packing import WordEncoder, default_tokenizer, pack, plan
+from textloom.llm.packing import Sums, WordEncoder, default_tokenizer, pack, plan
 
 ODD = ["", " ", "a,b.", "It's,. <|endoftext|>, x<|startoftext|>.", "ΣΑΣ, ΟΔΟΣ. İI, é,. \x1ca\x1c, 中文. ,,..", "don't. we'll, 9,. a..b,,", "été, É.", "A" * 9000, "x y z"]
 
@@ -44,6 +44,29 @@ def test_exact_combinations():
     assert sum(n for _, n in plan({60: 4, 1: 4, 2: 4}, 64)) == 4
 
 
+def test_index_of_sums():
+    left = {30: 1, 20: 2, 14: 4, 10: 1, 4: 1}
+    sums = Sums(left, 64)
+    assert sums.pair(40, 30) == (20, 20) and sums.pair(34, 30) == (20, 14) and sums.pair(44, 20) is None
+    assert sums.pair(28, 20) == (14, 14) and sums.triple(44, 30) == (20, 20, 4) and sums.triple(63, 20) is None
+    assert sums.pair(24, 20) == (20, 4) and sums.pair(10, 30) is None
+    del left[20]
+    assert sums.pair(34, 14) is None and sums.pair(24, 14) == (14, 10) and sums.triple(28, 14) == (14, 10, 4)
+    left[10] = 0
+    assert sums.pair(24, 14) is None
+
+
+def test_other_tokenizers_encode_whole_texts(spark, rows):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    tok, encoder = Tokenizer.from_file(path), WordEncoder(path)
+    texts = ODD + [t for _, t, _ in rows[:30]]
+    assert not encoder.by_word and WordEncoder(default_tokenizer()).by_word
+    assert [list(x) for x in encoder.encode(texts)] == [tok.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_pack(corpus, rows):
     from tokenizers import Tokenizer
 

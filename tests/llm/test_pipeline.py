@@ -1,3 +1,4 @@
+import re
 from collections import Counter
 
 import duckdb
@@ -5,7 +6,7 @@ import pytest
 
 import __spark_entry__ as driver
 import corpus_pipeline
-from textloom.llm import mixing, near, registry, toxicity
+from textloom.llm import mixing, near, registry, suffixdedup, toxicity
 from textloom.llm._util import stash
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -26,14 +27,22 @@ def test_stages(spark, small):
     assert Counter(r["doc_id"] for r in after.collect()) == Counter(r["doc_id"] for r in near.group(before).where("kept").collect())
     before, after = out["suffix_dedup"]
     texts = {r["doc_id"]: r["text"].encode() for r in before.collect()}
-    seen = Counter(t[i : i + 400] for t in texts.values() for i in range(len(t) - 399))
+    size, words = suffixdedup.PASSAGE_BYTES, suffixdedup.PASSAGE_WORDS
+    seen = Counter(t[i : i + size] for t in texts.values() for i in range(len(t) - size + 1))
+    cut = 0
     for r in after.collect():
         t = texts[r["doc_id"]]
         gone = bytearray(len(t))
-        for i in range(len(t) - 399):
-            if seen[t[i : i + 400]] > 1:
-                gone[i : i + 400] = b"\1" * 400
+        for i in range(len(t) - size + 1):
+            if seen[t[i : i + size]] > 1:
+                gone[i : i + size] = b"\1" * size
+        for m in re.finditer(b"\1+", bytes(gone)):
+            whole = [w for w in re.finditer(rb"[^\x20\x09-\x0D]+", t) if m.start() <= w.start() and w.end() <= m.end()]
+            if len(whole) < words:
+                gone[m.start() : m.end()] = bytes(m.end() - m.start())
+        cut += any(gone)
         assert r["text"] == bytes(b for b, g in zip(t, gone, strict=True) if not g).decode("utf-8", "ignore") and r["n_chars"] == len(r["text"])
+    assert cut > 3
     before, after = out["mixing"]
     want = {r["doc_id"]: r["copies"] if r["size"] else 1 for r in mixing.mix(before).collect() if r["copies"] or not r["size"]}
     assert Counter(r["doc_id"] for r in after.collect()) == want
@@ -41,11 +50,20 @@ def test_stages(spark, small):
 
 
 def test_stages_take_anything(spark, corpus, nothing, small):
-    for docs in (corpus, nothing):
-        docs = docs.select(*COLUMNS)
-        for name, stage in corpus_pipeline.STAGES:
-            docs = stash(stage(spark, docs, small), name)
-        assert docs.isEmpty() == (name != "packing" or docs.count() == 0)
+    docs = corpus.select(*COLUMNS)
+    for name, stage in corpus_pipeline.STAGES:
+        before, docs = docs, stash(stage(spark, docs, small), name)
+        there, kept = ({(r["doc_id"], r["text"]) for r in x.collect()} if name != "packing" else {r["doc_id"] for r in x.collect()} for x in (before, docs))
+        if name in ("toxicity", "near_dedup", "mixing"):
+            assert kept <= there and kept
+        elif name == "suffix_dedup":
+            assert Counter(r["doc_id"] for r in docs.collect()) == Counter(r["doc_id"] for r in before.collect())
+        else:
+            assert kept == there
+    docs = nothing.select(*COLUMNS)
+    for name, stage in corpus_pipeline.STAGES:
+        docs = stash(stage(spark, docs, small), name)
+        assert docs.isEmpty()
 
 
 def test_registered(spark):

@@ -1,4 +1,5 @@
 import hashlib
+import re
 from collections import Counter
 
 import numpy as np
@@ -90,3 +91,54 @@ def test_no_task_holds_a_hot_anchor(spark, monkeypatch):
     assert [tuple(r) for r in dedup(df, hot_bytes=20_000).orderBy("doc_id").collect()] == whole
     assert all(s <= 20_000 for s in sizes)
     assert [w[1:] for w in whole] == brute([t.encode() for t in texts], 400)
+
+
+def test_passages_beside_the_window(corpus, rows):
+    """One search for 200 bytes gives both results: strings of 400 bytes, and the text without passages of 51 whole words."""
+    short = [(i, t) for i, t, _ in rows if len(t) < 20_000]
+    docs = corpus.where("text IS NULL OR length(text) < 20000")
+    raw = [t.encode() for _, t in short]
+    wide, seen = brute(raw, 400), Counter(t[i : i + 200] for t in raw for i in range(len(t) - 199))
+    want = Counter()
+    for (i, _), t, w in zip(short, raw, wide, strict=True):
+        gone = [False] * (len(t) + 1)
+        for k in range(len(t) - 199):
+            if seen[t[k : k + 200]] > 1:
+                gone[k : k + 200] = [True] * 200
+        left, k = b"", 0
+        while k < len(t):
+            e = k
+            while e < len(t) and gone[e] == gone[k]:
+                e += 1
+            whole = sum(k <= m.start() and m.end() <= e for m in re.finditer(rb"[^\x20\x09-\x0D]+", t))
+            left += b"" if gone[k] and whole >= 51 else t[k:e]
+            k = e
+        want[(i, *w, left.decode("utf-8", "ignore"))] += 1
+    for hot in (4 << 20, 0):
+        got = dedup(docs, texts=True, passages=(200, 51), hot_bytes=hot).collect()
+        assert Counter(tuple(r) for r in got) == want
+    assert sum(w[-1] != t for w, (_, t) in zip(want, short, strict=False)) > 10
+
+
+def test_very_long_texts(spark):
+    """Against a count of hashes of all windows, since comparing these is slow."""
+    rng = np.random.default_rng(1)
+    word = lambda n: "".join(rng.choice(list("abcdefghij "), n))
+    shared = [word(n) for n in (399, 400, 401, 5000)]
+    texts = [word(100_000) + shared[k % 4] + word(50_000) + shared[k // 2] for k in range(8)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    seen = Counter(hash(t[i : i + 400]) for t in texts for i in range(len(t) - 399))
+    want = []
+    for t in texts:
+        gone = np.zeros(len(t) + 1, np.int64)
+        for i in range(len(t) - 399):
+            if seen[hash(t[i : i + 400])] > 1:
+                gone[i] += 1
+                gone[min(i + 400, len(t))] -= 1
+        want.append(int((np.cumsum(gone)[:-1] > 0).sum()))
+    assert [r["n_removed"] for r in dedup(df).orderBy("doc_id").collect()] == want and max(want) > 5000
+
+
+@pytest.mark.parametrize(("low", "high", "words"), [(0, 3, 1), (0, 2, 0), (4, 7, 1), (3, 8, 1), (1, 11, 2), (0, 11, 3), (3, 4, 0), (5, 6, 0)])
+def test_whole_words(low, high, words):
+    assert suffixdedup.whole_words(b"one two six", low, high) == words

@@ -1,4 +1,4 @@
-"""Helpers that the training-data operators share: written intermediate tables and skew-proof ranks."""
+"""Helpers that the training-data operators share: bounded batches and what workers keep."""
 
 from __future__ import annotations
 
@@ -7,54 +7,35 @@ import ctypes
 import gc
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from textloom.sources.tables import discard
+from textloom.operators.ranking import group_rank
+from textloom.sources.tables import discard, shuffle_partitions
 from textloom.sources.tables import shared_folder as scratch
 from textloom.sources.tables import written as stash
 
 __all__ = ["batches", "caches", "discard", "group_rank", "release", "scratch", "shuffle_partitions", "stash", "text_or_empty"]
 
+#: Bytes of an Arrow batch where the session sets no bound.
+BATCH_CONF, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
 #: Between words, which are runs of any other characters.
 SPACE = r"[\x20\x09-\x0D]+"
 
 
-def shuffle_partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
-def group_rank(df: DataFrame, keys: list[str], order: Column, name: str) -> DataFrame:
-    """Adds `name`, a gapless rank from 0 within `keys`, though one key may hold any share of the rows.
-
-    Each key is split by a hash of `order` into several times as many buckets as
-    there are shuffle partitions; ranks are counted within buckets and start at
-    the sum of the buckets before. df is read twice, so pass a written table.
-    Rows that tie in `order` get their ranks in any order.
-    """
-    buckets = 8 * max(8, shuffle_partitions(df.sparkSession))
-    dealt = df.withColumn("_o", order).withColumn("_b", F.pmod(F.xxhash64("_o"), F.lit(buckets)).cast("int"))
-    starts = (
-        dealt.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_n"))
-        .select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_b").alias("_kb"), F.col("_n"))
-    )
-    starts = starts.withColumn("_start", F.coalesce(F.sum("_n").over(
-        Window.partitionBy(*[f"_k{i}" for i in range(len(keys))]).orderBy("_kb").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    within = dealt.withColumn("_r", F.row_number().over(Window.partitionBy(*keys, "_b").orderBy("_o")))
-    on = [within["_b"] == starts["_kb"], *[within[k].eqNullSafe(starts[f"_k{i}"]) for i, k in enumerate(keys)]]
-    return within.join(starts, on).select(*[within[c] for c in df.columns], (F.col("_start") + F.col("_r") - 1).alias(name))
-
-
 def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
-def batches(df: DataFrame, rows: int) -> DataFrame:
-    """Bounds the rows that one Arrow batch carries into Python, so that whole long texts fit into a worker."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    return df
+def batches(df: DataFrame) -> DataFrame:
+    """Bounds the bytes that one Arrow batch carries into Python, so that whole long texts fit into a worker.
 
+    The session's own bound stands where it has one; it is the same for every plan.
+    """
+    conf = df.sparkSession.conf
+    if conf.get(BATCH_CONF, None) is None:
+        conf.set(BATCH_CONF, str(BATCH_BYTES))
+    return df
 
 
 #: What workers keep between tasks of one operator; any other operator's tasks clear it first.

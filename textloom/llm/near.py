@@ -136,7 +136,7 @@ def sketch(docs: DataFrame) -> DataFrame:
             rows = [(len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None, registers(s).tobytes()) for s in shingles(part["text"].to_list())]
             yield pd.DataFrame({"doc_id": part["doc_id"].astype("Int64"), "n_shingles": [r[0] for r in rows], "same": [r[1] for r in rows], "regs": [r[2] for r in rows]})
 
-    return batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")), 1000).mapInPandas(run, "doc_id long, n_shingles long, same binary, regs binary")
+    return batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))).mapInPandas(run, "doc_id long, n_shingles long, same binary, regs binary")
 
 
 def banded(classes: DataFrame) -> DataFrame:
@@ -148,7 +148,7 @@ def banded(classes: DataFrame) -> DataFrame:
                 keys = bands(_stack(part["regs"], np.uint16, REGISTERS))
                 yield pd.DataFrame({"band": keys.ravel(), "id": np.repeat(part["id"].to_numpy(np.int64), BANDS)})
 
-    return batches(classes.select("id", "regs"), 1000).mapInPandas(run, "band long, id long")
+    return batches(classes.select("id", "regs")).mapInPandas(run, "band long, id long")
 
 
 def estimated(pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -172,7 +172,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             yield part.loc[good, ["a", "b"]]
 
     side = lambda x: sets.select(F.col("id").alias(x), F.col("set").alias(f"s{x}"))
-    return batches(pairs.join(side("a"), "a").join(side("b"), "b"), 500).mapInPandas(run, "a long, b long")
+    return batches(pairs.join(side("a"), "a").join(side("b"), "b")).mapInPandas(run, "a long, b long")
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -185,7 +185,7 @@ def full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
     rows = docs.select(F.col("doc_id").cast("long").alias("first"), text_or_empty().alias("text")).join(wanted, "first")
     # A doc_id may stand on several rows: only a text with the class's own set counts, once.
-    return batches(rows, 500).mapInPandas(run, "id long, set binary").dropDuplicates(["id"])
+    return batches(rows).mapInPandas(run, "id long, set binary").dropDuplicates(["id"])
 
 
 def leftover(members: DataFrame, parts: int) -> DataFrame:
@@ -251,7 +251,7 @@ def leftover(members: DataFrame, parts: int) -> DataFrame:
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
     rows = dealt.select("band", "x", "y", "own", "id", "component", "n", "regs", "set").repartition(parts, "band", "x", "y").sortWithinPartitions("band", "x", "y")
-    return batches(rows, 1000).mapInPandas(run, "a long, b long").distinct()
+    return batches(rows).mapInPandas(run, "a long, b long").distinct()
 
 
 def group(docs: DataFrame) -> DataFrame:
@@ -262,7 +262,8 @@ def group(docs: DataFrame) -> DataFrame:
     its own group, has a null component_id and is kept. Rows that repeat are
     each returned. Should one doc_id stand on different texts, each of them is
     compared by itself; what is linked with neither other may then share a
-    component_id, which is the smallest doc_id of a group. An empty table gives no rows.
+    component_id, which is the smallest doc_id of a group. Very long texts are
+    read whole, other columns not at all. An empty table gives no rows.
     """
     spark = docs.sparkSession
     sketches = stash(sketch(docs), "near-sketches")
@@ -303,6 +304,7 @@ def group(docs: DataFrame) -> DataFrame:
 
 
 def op4_setsketch_near_dedup(spark, sf_dir: str) -> DataFrame:
+    """The contract's columns for every row of documents; nulls, repeated rows and the like as in group()."""
     return group(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
 
 

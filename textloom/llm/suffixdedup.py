@@ -93,7 +93,7 @@ def all_runs(docs: DataFrame, window: int, gram: int) -> DataFrame:
                 anchor, content, low, high, again = (np.concatenate(x) for x in zip(*out, strict=True))
                 yield pd.DataFrame({"doc_id": ids.iloc[at].array, "key": part["key"].to_numpy()[at], "anchor": anchor.view(np.int64), "run": content.view(np.int64), "low": low.astype(np.int32), "high": high.astype(np.int32), "again": again})
 
-    return batches(docs, 500).mapInPandas(run, RUNS)
+    return batches(docs).mapInPandas(run, RUNS)
 
 
 def marks(pieces: list[tuple[bytes, int, bool]], window: int, folder: str | None) -> list[list[tuple[int, int]]]:
@@ -158,7 +158,7 @@ def sort_shards(pieces: DataFrame, window: int, shard_bytes: int, folder: str) -
             yield flush(held)
 
     parts = shuffle_partitions(pieces.sparkSession)
-    return batches(pieces.select("anchor", "run", "n", "windows", "bytes").repartition(parts, "anchor").sortWithinPartitions("anchor", "run"), 2000).mapInPandas(run, "anchor long, run long, low int, high int")
+    return batches(pieces.select("anchor", "run", "n", "windows", "bytes").repartition(parts, "anchor").sortWithinPartitions("anchor", "run")).mapInPandas(run, "anchor long, run long, low int, high int")
 
 
 def blocks(raw: bytes, anchor: int, stretches: list[tuple[int, int]], width: int, window: int, gram: int) -> Iterator[tuple[int, int, int, int]]:
@@ -209,7 +209,7 @@ def count_windows(pieces: DataFrame, window: int, gram: int) -> DataFrame:
             rows = pd.DataFrame(out, columns=["piece", "anchor", "run", "wanted", "low", "high", "core", "hull"])
             return rows.astype({"wanted": bool, "core": np.uint64, "hull": np.uint64}).astype({"core": np.int64, "hull": np.int64})
 
-        rows = stash(batches(asked.select("piece", "anchor", "run", "wanted", "bytes", "asked"), 500).mapInPandas(run, schema), "suffix-blocks")
+        rows = stash(batches(asked.select("piece", "anchor", "run", "wanted", "bytes", "asked")).mapInPandas(run, schema), "suffix-blocks")
         place = F.struct("run", "low")  # of a repeated row the same
         hulls = rows.groupBy("anchor", "core", "hull").agg(F.min(place).alias("one"), F.max(place).alias("last"), F.min(F.struct("run", "low", "piece", "high")).alias("own"), F.max("wanted").alias("wanted"))
         hulls = stash(hulls.withColumn("again", F.col("one") != F.col("last")), "suffix-hulls")
@@ -283,7 +283,7 @@ def repeats(rows: DataFrame, window: int = WINDOW, gram: int = GRAM, shard_bytes
 
     def pieces(anchors: DataFrame) -> DataFrame:
         ask = kinds.join(anchors, "anchor").select("anchor", "run", "n", "one.*").groupBy(F.col("doc_id").alias("_d"), F.col("key").alias("_k")).agg(F.collect_list(F.struct("anchor", "run", "n", "low", "high")).alias("asked"))
-        return batches(rows.join(ask, _same(rows, ask)).select("text", "asked"), 500).mapInPandas(cut, "anchor long, run long, n long, windows long, bytes binary")
+        return batches(rows.join(ask, _same(rows, ask)).select("text", "asked")).mapInPandas(cut, "anchor long, run long, n long, windows long, bytes binary")
 
     marked = sort_shards(pieces(several), window, shard_bytes, scratch(rows.sparkSession))
     if not hot.isEmpty():
@@ -305,7 +305,7 @@ def repeats_within(rows: DataFrame, spans: DataFrame, narrow: int, window: int,
                    for raw in [_bytes(text)] for a, b in merged(stretches, narrow) if b - a >= window]
             yield pd.DataFrame(out, columns=["doc_id", "_key", "start", "text"]).astype({"doc_id": "Int64"})
 
-    cut = batches(rows.join(spans, _same(rows, spans)).select("doc_id", "key", "text", "spans"), 500).mapInPandas(run, "doc_id long, _key long, start int, text binary")
+    cut = batches(rows.join(spans, _same(rows, spans)).select("doc_id", "key", "text", "spans")).mapInPandas(run, "doc_id long, _key long, start int, text binary")
     segments = stash(cut.withColumn("key", F.xxhash64("_key", "start")), "suffix-segments")
     inner = repeats(segments, window, gram, shard_bytes, hot_bytes)
     names = segments.select("doc_id", "key", "_key", "start").distinct()
@@ -356,7 +356,7 @@ def dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, keep: tuple[s
 
     kinds_of = {f.name: f.dataType.simpleString() for f in rows.schema}
     schema = ", ".join(f"`{c}` {kinds_of[c]}" for c in ["doc_id", *names]) + ", n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string"
-    out = batches(rows.join(both, _same(rows, both), "left").select("doc_id", *names, "text", "spans", "wide"), 500).mapInPandas(remove, schema)
+    out = batches(rows.join(both, _same(rows, both), "left").select("doc_id", *names, "text", "spans", "wide")).mapInPandas(remove, schema)
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *[F.col(f"keep_{c}").alias(c) for c in keep], *(["kept"] if texts else []))
 
 
