@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from textloom.functions import text as T
-from textloom.operators import agreement, evaluate, export, improve, labeling, ledger, quality, similarity, taxonomy
+from textloom.operators import agreement, evaluate, export, improve, labeling, ledger, quality, ranking, similarity, taxonomy
 from textloom.operators.ranking import global_rank
 
 
@@ -14,7 +14,7 @@ def one(df):
 
 @pytest.mark.parametrize(("pairs", "want"), [([("x", "x"), ("y", "y")], 1.0), ([("x", "x"), ("x", "y"), ("y", "x"), ("y", "y")], 0.0), ([("x", "x")] * 3, None), ([], None)])
 def test_kappa(spark, pairs, want):
-    got = one(agreement.kappa(spark.createDataFrame(pairs, "a string, b string"), "a", "b", "p"))
+    got = one(agreement.kappas(spark.createDataFrame(pairs, "a string, b string"), (("a", "b"),)))
     assert got["kappa"] == want and got["n"] == len(pairs)
 
 
@@ -151,8 +151,11 @@ def test_cosine_pairs_match_all_pairs(spark, small):
             x, y = vectors[a], vectors[b]
             if sum(v * y.get(t, 0) for t, v in x.items()) >= 0.85 - 1e-9:
                 want.add((a, b))
+    first = {r["doc_id"]: r["first"] for r in similarity.classes(docs).collect()}
     got = {(r["a"], r["b"]) for r in similarity.cosine_pairs(docs).collect()}
-    assert got == want and want
+    assert got == {(a, b) for a, b in want if first[a] == a and first[b] == b} and got
+    # No link between documents is lost: a pair is of one class, or its classes are linked.
+    assert all(first[a] == first[b] or tuple(sorted((first[a], first[b]))) in got for a, b in want)
 
 
 def test_clusters(spark):
@@ -161,6 +164,29 @@ def test_clusters(spark):
     assert similarity.clusters(pairs.where("a < 0")).collect() == []
 
 
+def test_clusters_of_classes(spark):
+    docs = spark.createDataFrame([(1, "alpha beta gamma"), (2, "Alpha, beta gamma!"), (3, "alpha beta gamma"), (4, "of no kin here"), (5, "an"), (6, "an"), (7, None), (8, "of no kin here now")], "doc_id long, text string")
+    members = similarity.classes(docs)
+    assert {r["doc_id"]: (r["first"], r["n"]) for r in members.collect()} == {1: (1, 3), 2: (1, 3), 3: (1, 3), 4: (4, 1), 8: (8, 1)}
+    pairs = spark.createDataFrame([(1, 4)], "a long, b long")
+    assert {r["doc_id"]: r["component"] for r in similarity.document_clusters(pairs, members).collect()} == {1: 1, 2: 1, 3: 1, 4: 1}
+    assert {r["doc_id"]: r["component"] for r in similarity.document_clusters(pairs.where("a < 0"), members).collect()} == {1: 1, 2: 1, 3: 1}
+
+
+def test_hot_text_makes_no_pairs(spark):
+    docs = spark.range(3000).selectExpr("id AS doc_id", "CASE WHEN id % 3 = 0 THEN 'one very common text here' ELSE concat('word', id, ' other', id, ' third', id) END AS text")
+    members = similarity.classes(docs)
+    pairs = similarity.cosine_pairs(docs, members=members)
+    assert pairs.count() == 0 and similarity.document_clusters(pairs, members).groupBy("component").count().collect() == [(0, 1000)]
+
+
+def test_rank_within(spark):
+    rows = spark.createDataFrame([(k, (i * 7) % 13, i) for k in ("a", "b", None) for i in range(20)], "k string, x int, i int")
+    got = {(r["k"], r["i"]): r["n"] for r in ranking.rank_within(rows, ["k"], [F.desc("x"), F.asc("i")], "n").collect()}
+    want = sorted(range(20), key=lambda i: (-((i * 7) % 13), i))
+    assert got == {(k, i): n for k in ("a", "b", None) for n, i in enumerate(want, 1)}
+
+
 def test_global_rank(spark):
     rows = spark.createDataFrame([(i, (i * 7) % 5) for i in range(40)], "doc_id long, x long")
     got = [(r["rank"], r["x"], r["doc_id"]) for r in global_rank(rows, [F.desc("x"), F.asc("doc_id")], "rank").orderBy("rank").collect()]

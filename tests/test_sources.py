@@ -24,6 +24,7 @@ def test_json_lines(spark, tmp_path):
 def test_labels_are_pruned(spark, tmp_path):
     rows = spark.createDataFrame([("r1", "t", "a", "x", 0.5, None, False), ("r2", "t", "b", "y", 0.5, None, False)], tables.SCHEMAS["labels"])
     tables.write_labels(rows, str(tmp_path / "labels"))
+    tables.write_labels(rows.where("source = 'b'"), str(tmp_path / "labels"))  # again: in place of its own rows
     got = tables.labels_of(spark, str(tmp_path / "labels"), "b", "r2")
     assert [r["label"] for r in got.collect()] == ["y"]
     assert "PartitionFilters" in got._jdf.queryExecution().toString()

@@ -6,24 +6,39 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def agreement(rows: DataFrame, a: str, b: str, pair: str) -> DataFrame:
+def cells(rows: DataFrame, pairs: tuple[tuple[str, str], ...]) -> DataFrame:
+    """pair (a/b), x, y, n: in one scan, how many rows have both labels of each pair of columns (a, b)."""
+    each = F.array(*[F.struct(F.lit(f"{a}/{b}").alias("pair"), F.col(a).cast("string").alias("x"), F.col(b).cast("string").alias("y")) for a, b in pairs])
+    return rows.select(F.explode(each).alias("c")).select("c.*").where("x IS NOT NULL AND y IS NOT NULL").groupBy("pair", "x", "y").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _every(counts: DataFrame, pairs: tuple[tuple[str, str], ...]) -> DataFrame:
+    """The counts with a row of none for each pair, so that pairs without rows are not lost."""
+    none = F.array(*[F.lit(f"{a}/{b}") for a, b in pairs])
+    one = counts.sparkSession.range(1).select(F.explode(none).alias("pair"), F.lit(None).cast("string").alias("x"), F.lit(None).cast("string").alias("y"), F.lit(0).cast("long").alias("n"))
+    return counts.unionByName(one)
+
+
+def _same() -> Column:
+    return F.coalesce(F.sum(F.when(F.col("x") == F.col("y"), F.col("n"))), F.lit(0))
+
+
+def agreements(rows: DataFrame, pairs: tuple[tuple[str, str], ...]) -> DataFrame:
     """pair, n, matches, agreement over rows where both labels are there; agreement is null for n = 0."""
-    both = rows.where(F.col(a).isNotNull() & F.col(b).isNotNull())
-    return both.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum((F.col(a) == F.col(b)).cast("long")), F.lit(0)).alias("matches")).select(
-        F.lit(pair).alias("pair"), "n", "matches", F.try_divide("matches", "n").alias("agreement"))
-
-
-def kappa(rows: DataFrame, a: str, b: str, pair: str) -> DataFrame:
-    """Cohen's kappa from one pass of counts by (a, b): pair, n, observed, expected, kappa (null where expected is 1 or there are no rows)."""
-    cells = rows.where(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(F.col(a).alias("x"), F.col(b).alias("y")).agg(F.count(F.lit(1)).alias("n"))
-    total = cells.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"), F.coalesce(F.sum(F.when(F.col("x") == F.col("y"), F.col("n"))), F.lit(0)).alias("same"))
-    rows_of = cells.groupBy(F.col("x").alias("k")).agg(F.sum("n").alias("nx"))
-    columns_of = cells.groupBy(F.col("y").alias("k")).agg(F.sum("n").alias("ny"))
-    chance = rows_of.join(columns_of, "k").agg(F.coalesce(F.sum(F.col("nx") * F.col("ny")), F.lit(0)).alias("chance"))
-    observed, expected = F.try_divide("same", "total"), F.try_divide(F.col("chance"), F.col("total") * F.col("total"))
-    return total.join(chance, F.lit(True)).select(
-        F.lit(pair).alias("pair"), F.col("total").alias("n"), observed.alias("observed"), expected.alias("expected"),
-        F.when(F.col("chance") < F.col("total") * F.col("total"), (observed - expected) / (1 - expected)).alias("kappa"))
+    sums = _every(cells(rows, pairs), pairs).groupBy("pair").agg(F.sum("n").alias("n"), _same().alias("matches"))
+    return sums.select("pair", "n", "matches", F.try_divide("matches", "n").alias("agreement"))
+
+
+def kappas(rows: DataFrame, pairs: tuple[tuple[str, str], ...]) -> DataFrame:
+    """Cohen's kappa of each pair of columns from one pass of counts: pair, n, observed, expected, kappa (null where expected is 1 or there are no rows)."""
+    counts = _every(cells(rows, pairs), pairs)
+    # Each count once for its row and once for its column; what both sum to for a label is multiplied.
+    ends = counts.select("pair", F.explode(F.array(F.struct(F.col("x").alias("k"), F.col("n").alias("nx"), F.lit(0).cast("long").alias("ny")), F.struct(F.col("y").alias("k"), F.lit(0).cast("long").alias("nx"), F.col("n").alias("ny")))).alias("e"))
+    margins = ends.groupBy("pair", "e.k").agg(F.sum("e.nx").alias("nx"), F.sum("e.ny").alias("ny"))
+    chance = margins.groupBy("pair").agg(F.sum(F.col("nx") * F.col("ny")).alias("chance"))
+    total = counts.groupBy("pair").agg(F.sum("n").alias("n"), _same().alias("same"))
+    observed, expected = F.try_divide("same", "n"), F.try_divide(F.col("chance"), F.col("n") * F.col("n"))
+    return total.join(chance, "pair").select("pair", "n", observed.alias("observed"), expected.alias("expected"), F.when(F.col("chance") < F.col("n") * F.col("n"), (observed - expected) / (1 - expected)).alias("kappa"))
 
 
 def confusion(rows: DataFrame, a: str, b: str) -> DataFrame:

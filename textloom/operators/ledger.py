@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from textloom.operators.ranking import rank_within
+
 COST_CAP = 3.00
 FAST_RUN, FAST_FLOOR, FLOOR_BAND = 3, 1.0, (0.5, 3.0)
 
@@ -39,9 +41,11 @@ def run_states(events: DataFrame) -> DataFrame:
 
 def nth_of(rows: DataFrame, by: list[str], value: str, place, name: str) -> DataFrame:
     """The value at a place (from 0, a function of how many there are) of each group's sorted values."""
-    order = Window.partitionBy(*by).orderBy(value)
-    rows = rows.select(*by, F.col(value).alias(name), (F.row_number().over(order) - 1).alias("_i"), F.count(F.lit(1)).over(Window.partitionBy(*by)).alias("_n"))
-    return rows.where(F.col("_i") == place(F.col("_n"))).select(*by, F.col("_n").alias("n"), name)
+    rows = rows.select(*by, F.col(value).alias(name))
+    ranked = rank_within(rows, by, [F.asc(name)], "_i")
+    sizes = ranked.groupBy(*[F.col(k).alias(f"_g{i}") for i, k in enumerate(by)]).agg(F.count(F.lit(1)).alias("n"))
+    on = [ranked[k].eqNullSafe(sizes[f"_g{i}"]) for i, k in enumerate(by)]
+    return ranked.join(sizes, on).where(F.col("_i") - 1 == place(F.col("n"))).select(*by, "n", name)
 
 
 def upper_median(rows: DataFrame, by: list[str], value: str) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from textloom.operators.ranking import global_rank
 
@@ -60,8 +61,10 @@ def queue(routed: DataFrame, ranks: DataFrame, limit: int | None = None) -> Data
     """The review queue (doc_id, reason, rank) with its place: by reason, rank, doc_id."""
     priority = F.coalesce(*[F.when(F.col("reason") == k, v) for k, v in PRIORITY.items()], F.lit(9))
     rows = routed.join(ranks, "doc_id", "left").withColumn("_priority", priority)
-    rows = global_rank(rows, [F.asc("_priority"), F.asc_nulls_first("rank"), F.asc("doc_id")], "place").drop("_priority")
-    return rows.where(F.col("place") <= limit) if limit else rows
+    order = [F.asc("_priority"), F.asc_nulls_first("rank"), F.asc("doc_id")]
+    if limit:  # only so many rows are ever sorted together
+        return rows.orderBy(*order).limit(limit).withColumn("place", F.row_number().over(Window.orderBy(*order))).drop("_priority")
+    return global_rank(rows, order, "place").drop("_priority")
 
 
 def queue_ratio(routed: DataFrame, docs: DataFrame, band: tuple[int, int] = QUEUE_BAND) -> DataFrame:
@@ -69,13 +72,19 @@ def queue_ratio(routed: DataFrame, docs: DataFrame, band: tuple[int, int] = QUEU
         "routed", "total", F.try_divide("routed", "total").alias("ratio"), F.col("routed").between(*band).alias("in_band"))
 
 
+def detailed(rows: DataFrame, *columns: str) -> DataFrame:
+    """rows with detail, these columns as JSON."""
+    return rows.withColumn("detail", F.to_json(F.struct(*columns)))
+
+
 def flags(parts: dict[str, DataFrame], routed: DataFrame | None = None) -> DataFrame:
-    """All findings (doc_id, rank where they have one) as one table by flag type; with routed (doc_id, reason), whether
-    each finding is what its document was routed for."""
+    """All findings (doc_id; rank and detail where they have them) as one table by flag type; with routed (doc_id, reason),
+    whether each finding is what its document was routed for."""
     out = None
     for kind, rows in parts.items():
-        part = rows.select("doc_id", F.lit(kind).alias("flag_type"), (F.col("rank") if "rank" in rows.columns else F.lit(None)).cast("int").alias("rank"))
+        optional = lambda c, t, rows=rows: (F.col(c) if c in rows.columns else F.lit(None)).cast(t).alias(c)
+        part = rows.select("doc_id", F.lit(kind).alias("flag_type"), optional("rank", "int"), optional("detail", "string"))
         out = part if out is None else out.unionByName(part)
     if routed is None:
         return out
-    return out.join(routed.select("doc_id", "reason"), "doc_id", "left").select("doc_id", "flag_type", "rank", F.coalesce(F.col("reason") == F.col("flag_type"), F.lit(False)).alias("routed"))
+    return out.join(routed.select("doc_id", "reason"), "doc_id", "left").select("doc_id", "flag_type", "rank", "detail", F.coalesce(F.col("reason") == F.col("flag_type"), F.lit(False)).alias("routed"))

@@ -8,7 +8,6 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from textloom.functions import text as T
 from textloom.sources.tables import written
@@ -21,28 +20,49 @@ def term_counts(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.explode(T.terms(F.coalesce("text", F.lit(""))))).groupBy("doc_id", F.col("col").alias("term")).agg(F.count(F.lit(1)).alias("tf"))
 
 
+def _vectors(counts: DataFrame, n: DataFrame) -> DataFrame:
+    """doc_id and v, an array of (o, term, df, w) from common to rare terms, of counts (doc_id, term, tf, times) of n (n) documents.
+
+    `times` says how many documents a row stands for. One row a document: a
+    posting is shuffled twice, by term and by document.
+    """
+    df = counts.groupBy("term").agg(F.sum("times").alias("df"))
+    raw = counts.join(df, "term").join(F.broadcast(n), F.lit(True)).select(
+        "doc_id", F.struct((-F.col("df")).alias("o"), "term", "df", ((1 + F.log("tf")) * (F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1)).alias("r")).alias("x"))
+    rows = raw.groupBy("doc_id").agg(F.array_sort(F.collect_list("x")).alias("x"))
+    norm = F.sqrt(F.aggregate(F.transform("x", lambda x: x["r"] * x["r"]), F.lit(0.0), lambda t, x: t + x))
+    rows = rows.withColumn("norm", norm)
+    return rows.select("doc_id", F.transform("x", lambda x: F.struct(x["o"].alias("o"), x["term"].alias("term"), x["df"].alias("df"), (x["r"] / F.when(F.col("norm") == 0, 1.0).otherwise(F.col("norm"))).alias("w"))).alias("v"))
+
+
 def weights(docs: DataFrame) -> DataFrame:
     """doc_id, term, df, w: (1 + ln tf) * (ln((n + 1) / (df + 1)) + 1), scaled to length one."""
-    counts = term_counts(docs)
-    df = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    n = docs.agg(F.count(F.lit(1)).alias("n"))
-    raw = counts.join(df, "term").join(F.broadcast(n), F.lit(True)).withColumn("r", (1 + F.log("tf")) * (F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1))
-    norm = F.sqrt(F.sum(F.col("r") * F.col("r")).over(Window.partitionBy("doc_id")))
-    return raw.select("doc_id", "term", "df", (F.col("r") / F.when(norm == 0, 1.0).otherwise(norm)).alias("w"))
-
-
-def cosine_pairs(docs: DataFrame, least: float = COSINE) -> DataFrame:
-    """a, b (a < b) and cosine of all pairs at or above `least`.
-
-    Terms go from rare to common. Two vectors of length one that reach the
-    threshold share a term among those before which each one's remaining length
-    is still at least the threshold, so only these prefixes are joined. A
-    prefix shorter than all terms keeps frequent terms, the hot keys, out of
-    the join. Candidates are confirmed on all terms.
+    vectors = _vectors(term_counts(docs).withColumn("times", F.lit(1).cast("long")), docs.agg(F.count(F.lit(1)).alias("n")))
+    return vectors.select("doc_id", F.explode("v").alias("v")).select("doc_id", "v.term", "v.df", "v.w")
+
+
+def classes(docs: DataFrame) -> DataFrame:
+    """doc_id, first and n of docs (doc_id, text) that have terms: the smallest doc_id with the same normalised text, and how many there are; written."""
+    rows = docs.where(F.size(T.terms(F.coalesce("text", F.lit("")))) > 0).select("doc_id", F.md5(T.normalize(F.coalesce("text", F.lit("")))).alias("same"))
+    several = rows.groupBy("same").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n"))
+    return written(rows.join(several, "same").select("doc_id", "first", "n"), "similarity-classes")
+
+
+def cosine_pairs(docs: DataFrame, least: float = COSINE, members: DataFrame | None = None) -> DataFrame:
+    """a, b (a < b) and cosine of all pairs of classes at or above `least`; a and b are the smallest doc_ids of their classes.
+
+    Documents of equal normalised text form a class (members: classes(docs)),
+    of which one is compared. Terms go from rare to common. Two vectors of
+    length one that reach the threshold share a term among those before which
+    each one's remaining length is still at least the threshold, so only these
+    prefixes are joined. A prefix shorter than all terms keeps frequent terms,
+    the hot keys, out of the join. Candidates are confirmed on all terms.
     """
-    w = weights(docs).select("doc_id", F.xxhash64("term").alias("t"), "df", "w")
+    members = classes(docs) if members is None else members
+    firsts = members.where("doc_id = first").select("doc_id", F.col("n").alias("times")).dropDuplicates(["doc_id"])
+    counts = term_counts(docs.join(firsts, "doc_id", "left_semi").dropDuplicates(["doc_id"])).join(firsts, "doc_id")
     # One row a document: its terms from common to rare, with the length of the vector up to each.
-    vectors = w.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct((-F.col("df")).alias("o"), "t", "w"))).alias("v")).select("doc_id", F.col("v.t").alias("t"), F.col("v.w").alias("w"))
+    vectors = _vectors(counts, docs.agg(F.count(F.lit(1)).alias("n"))).select("doc_id", F.transform("v", lambda x: F.xxhash64(x["term"])).alias("t"), F.col("v.w").alias("w"))
 
     def prefixes(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
@@ -100,10 +120,10 @@ def token_set_ratio(a: str, b: str, least: float = 0.0) -> float:
     return best
 
 
-def near_duplicates(docs: DataFrame, cosine: float = COSINE, ratio: float = RATIO) -> DataFrame:
-    """a, b, cosine, ratio of the pairs whose cosine and token-set ratio both reach their thresholds."""
-    pairs = cosine_pairs(docs, cosine)
-    texts = docs.select("doc_id", T.normalize(F.coalesce("text", F.lit(""))).alias("t"))
+def near_duplicates(docs: DataFrame, cosine: float = COSINE, ratio: float = RATIO, members: DataFrame | None = None) -> DataFrame:
+    """a, b, cosine, ratio of the pairs of classes whose cosine and token-set ratio both reach their thresholds."""
+    pairs = cosine_pairs(docs, cosine, members)
+    texts = docs.select("doc_id", T.normalize(F.coalesce("text", F.lit(""))).alias("t")).dropDuplicates(["doc_id"])
     both = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("t").alias("ta")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("t").alias("tb")), "b")
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -114,6 +134,13 @@ def near_duplicates(docs: DataFrame, cosine: float = COSINE, ratio: float = RATI
     return both.mapInPandas(run, "a long, b long, cosine double, ratio double")
 
 
+def document_clusters(pairs: DataFrame, members: DataFrame) -> DataFrame:
+    """doc_id and component of all members (doc_id, first, n) of classes that pairs connect, or that have several members."""
+    found = clusters(pairs).select(F.col("doc_id").alias("first"), "component")
+    rows = members.join(found, "first", "left").where("component IS NOT NULL OR n > 1")
+    return rows.select("doc_id", F.coalesce("component", "first").alias("component")).distinct()
+
+
 def clusters(pairs: DataFrame) -> DataFrame:
     """doc_id and component (its smallest doc_id) of everything that pairs (a, b) connect; rounds are written, nothing is collected."""
     both = written(pairs.select("a", "b").union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct(), "clusters-edges")
@@ -129,7 +156,7 @@ def clusters(pairs: DataFrame) -> DataFrame:
             return labels.select(F.col("id").alias("doc_id"), F.col("label").alias("component"))
 
 
-def best_similarity(pairs: DataFrame) -> DataFrame:
-    """Each document's greatest cosine with another."""
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("doc_id"), "cosine")
-    return ends.groupBy("doc_id").agg(F.max("cosine").alias("best"))
+def best_similarity(pairs: DataFrame, members: DataFrame) -> DataFrame:
+    """Each document's greatest cosine with another: 1 with a member of its own class, else that of its class."""
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("first"), "cosine").groupBy("first").agg(F.max("cosine").alias("best"))
+    return members.join(ends, "first", "left").where("best IS NOT NULL OR n > 1").select("doc_id", F.when(F.col("n") > 1, 1.0).otherwise(F.col("best")).alias("best"))

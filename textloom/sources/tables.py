@@ -31,6 +31,8 @@ def shared_folder(spark: SparkSession) -> str:
     """The folder that the cluster names in spark.checkpoint.dir; one of our own only where that is unset."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the whole cluster shares")
         base = f"file://{tempfile.mkdtemp(prefix='textloom-')}"
         spark.conf.set("spark.checkpoint.dir", base)
         spark.sparkContext.setCheckpointDir(base)
@@ -102,15 +104,27 @@ def count_lines(spark: SparkSession, path: str) -> int:
     return spark.read.text(path).where(F.trim("value") != "").count()
 
 
-def write_labels(df: DataFrame, path: str, mode: str = "append") -> None:
-    """Labels by source and run, which later reads prune by."""
-    df.write.mode(mode).partitionBy("source", "run_id").parquet(path)
+def write_labels(df: DataFrame, path: str) -> None:
+    """Labels by source and run, which later reads prune by; a run that is written again replaces its own rows only."""
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("source", "run_id").parquet(path)
 
 
 def labels_of(spark: SparkSession, path: str, source: str, run_id: str) -> DataFrame:
     return spark.read.schema(SCHEMAS["labels"]).parquet(path).where((F.col("source") == source) & (F.col("run_id") == run_id))
 
 
+def newest_runs(labels: DataFrame, runs: DataFrame) -> DataFrame:
+    """source and run_id: of each source of labels (run_id, source) the newest successful run (runs: run_id, started_at, status), ties by the larger run_id."""
+    ok = labels.select("source", "run_id").distinct().join(runs.where("status = 'ok'").select("run_id", "started_at"), "run_id")
+    return ok.groupBy("source").agg(F.max(F.struct("started_at", "run_id")).alias("m")).select("source", F.col("m.run_id").alias("run_id"))
+
+
+def latest_labels(labels: DataFrame, runs: DataFrame, source: str | None = None) -> DataFrame:
+    """The labels of each source's newest successful run, or of one source's; labels of other runs are not read beyond their partition."""
+    some = labels if source is None else labels.where(F.col("source") == source)
+    return some.join(F.broadcast(newest_runs(some, runs)), ["source", "run_id"], "left_semi")
+
+
 def metrics_document(df: DataFrame) -> str:
     """A one-row table as a JSON document with sorted keys."""
     row = df.select(F.to_json(F.struct(*sorted(df.columns))).alias("j")).first()
