@@ -47,8 +47,3 @@ def test_tokens_and_scalars(spark):
     found = spark.createDataFrame([('x ```json\n{"a": 1}\n``` y',), ('see {"a": 2} end',), ("none",)], "t string").select(T.extract_json(F.col("t"))).collect()
     assert [r[0] for r in found] == ['{"a": 1}', '{"a": 2}', None]
     assert [r[0] for r in spark.createDataFrame([("a_b",), ("A",), ("a b",)], "t string").select(T.is_snake_case(F.col("t"))).collect()] == [True, False, False]
-
-
-def test_usd(spark):
-    got = spark.range(1).select(T.usd(F.lit(1_000_000), F.lit(2_000_000), F.lit(1.0), F.lit(5.0), F.lit(1_000_000), F.lit(1_000_000))).first()[0]
-    assert got == pytest.approx(1 + 10 + 1.25 + 0.1)

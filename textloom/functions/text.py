@@ -97,11 +97,6 @@ def token_estimate(text: Column) -> Column:
     return F.greatest(F.lit(1), F.floor(F.length(text) / 3.2).cast("int"))
 
 
-def usd(tokens_in: Column, tokens_out: Column, price_in: Column, price_out: Column, written: Column | int = 0, read: Column | int = 0) -> Column:
-    """Cost of a call at prices per million tokens; tokens written to a cache cost 1.25 times, read from it 0.1 times."""
-    return (tokens_in * price_in + written * price_in * 1.25 + read * price_in * 0.1 + tokens_out * price_out) / 1_000_000
-
-
 def extract_json(text: Column) -> Column:
     """The JSON text in a fenced block, or else from the first brace or bracket to the last; null if neither parses."""
     fenced = F.regexp_extract(text, r"(?s)```(?:json)?\s*(.*?)```", 1)
@@ -113,3 +108,8 @@ def extract_json(text: Column) -> Column:
 
 def is_snake_case(name: Column) -> Column:
     return (name == F.lower(name)) & (F.instr(name, " ") == 0)
+
+
+def plain_dashes(text: Column) -> Column:
+    """Commas for long dashes, with or without a blank on both sides; null stays null."""
+    return F.regexp_replace(text, " \u2014 | \u2013 |\u2014|\u2013", ", ")

@@ -29,6 +29,24 @@ def recall_precision(rows: DataFrame, planted: Column, found: Column) -> DataFra
         "*", F.coalesce(F.try_divide("both", "planted"), F.lit(0.0)).alias("recall"), F.coalesce(F.try_divide("both", "found"), F.lit(0.0)).alias("precision"))
 
 
+def seeded_errors(rows: DataFrame, planted: Column, flagged: Column, corrected: Column) -> DataFrame:
+    """planted, flagged (planted errors that were flagged), recall, corrected (flagged ones that the labels now have right) and the share of those flagged."""
+    sums = rows.agg(_sum(planted).alias("planted"), _sum(planted & flagged).alias("flagged"), _sum(planted & flagged & corrected).alias("corrected"))
+    ratio = lambda a, b: F.coalesce(F.try_divide(a, b), F.lit(0.0))
+    return sums.select("planted", "flagged", ratio("flagged", "planted").alias("recall"), "corrected", ratio("corrected", "flagged").alias("correction_rate"))
+
+
+def unreachable(rows: DataFrame, leaves: list[str], truth: str = "truth") -> DataFrame:
+    """n and unreachable: how many rows have a truth that no leaf stands for; each of them is an error whatever its label."""
+    return rows.agg(F.count(F.lit(1)).alias("n"), _sum(F.col(truth).isin(*leaves)).alias("unreachable"))
+
+
+def delta_points(accuracies: DataFrame, before: str = "v1", after: str = "v2") -> DataFrame:
+    """delta_points, from accuracies (name, value): null where either is missing."""
+    value = lambda name: F.max(F.when(F.col("name") == name, F.col("value")))
+    return accuracies.agg((100 * (value(after) - value(before))).alias("delta_points"))
+
+
 def pair_recall(pairs: DataFrame, clusters: DataFrame) -> DataFrame:
     """How many planted pairs (pair_id, doc_id) lie in one cluster (doc_id, component) whole."""
     inside = pairs.join(clusters, "doc_id").groupBy("pair_id", "component").agg(F.count(F.lit(1)).alias("n"))
@@ -70,5 +88,10 @@ def gates(metrics: DataFrame) -> DataFrame:
     return rows.select("name", "value", "bound", F.when(F.col("value").isNull(), "not evaluable").when(ok, "pass").otherwise("FAIL").alias("result"))
 
 
+def failed(results: DataFrame) -> bool:
+    """Whether any gate fails; what is not evaluable does not."""
+    return not results.where("result = 'FAIL'").isEmpty()
+
+
 def severity(delta_points: Column) -> Column:
     return F.when(delta_points >= GATES["delta_points"][1], "green").otherwise("attention")

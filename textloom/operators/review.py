@@ -24,6 +24,25 @@ def pending(queue: DataFrame, log: DataFrame) -> DataFrame:
     return queue.join(log.where("decision <> 'skip'").select("doc_id").distinct(), "doc_id", "left_anti")
 
 
+def screens(queue: DataFrame, tickets: DataFrame, labels: DataFrame, flags: DataFrame) -> DataFrame:
+    """What a reviewer sees of each document of queue (doc_id, reason, place), in one join for all of them.
+
+    The columns of tickets (doc_id, ...), a_label, a_confidence, a_rationale and
+    b_label of its newest labels (doc_id, source, label, confidence, rationale;
+    source a or b), and its flags (doc_id, flag_type, detail) as an array by type.
+    """
+    side = lambda c, s: F.max(F.when(F.col("source") == s, F.col(c)))
+    queued = queue.select("doc_id")
+    both = labels.join(queued, "doc_id", "left_semi").groupBy("doc_id").agg(side("label", "a").alias("a_label"), side("confidence", "a").alias("a_confidence"), side("rationale", "a").alias("a_rationale"), side("label", "b").alias("b_label"))
+    found = flags.join(queued, "doc_id", "left_semi").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("flag_type", "detail"))).alias("flags"))
+    return queue.join(tickets, "doc_id", "left").join(both, "doc_id", "left").join(found, "doc_id", "left")
+
+
+def progress(log: DataFrame) -> DataFrame:
+    """How many decisions there are, on how many documents, and the last one's place."""
+    return log.agg(F.count(F.lit(1)).alias("decisions"), F.count_distinct("doc_id").alias("documents"), F.max("ordinal").alias("last"))
+
+
 def undo(log: DataFrame, entries: DataFrame) -> DataFrame:
     """The log without the given entries (doc_id, ordinal)."""
     return log.join(entries.select("doc_id", "ordinal"), ["doc_id", "ordinal"], "left_anti")
