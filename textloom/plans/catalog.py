@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from textloom.functions import text as T
-from textloom.operators import agreement, evaluate, export, generate, improve, labeling, ledger, quality, review, similarity, taxonomy
+from textloom.operators import agreement, evaluate, export, generate, improve, induction, labeling, ledger, model, quality, review, similarity, taxonomy
 from textloom.operators.ranking import global_rank
 from textloom.plans import demo
 from textloom.plans.demo import BASE, LEAVES, LOG, RUNS
@@ -125,7 +125,7 @@ post AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({_TERMS
 df AS (SELECT term, count(*) AS df FROM post GROUP BY term),
 raw AS (SELECT doc_id, term, df, (1 + ln(tf)) * (ln(((SELECT count(*) FROM documents) + 1)::DOUBLE / (df + 1)) + 1) AS r FROM post JOIN df USING (term)),
 w AS (SELECT doc_id, term, df, r / sqrt(sum(r * r) OVER (PARTITION BY doc_id)) AS w FROM raw)"""
-_COS = _POST + """, cos AS (
+_COS = _POST + f""", class AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY md5({_NORM})) AS first FROM documents WHERE len({_TERMS}) > 0), cos AS (
   SELECT a.doc_id AS a, b.doc_id AS b, sum(a.w * b.w) AS cosine FROM w a JOIN w b ON a.term = b.term AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id HAVING sum(a.w * b.w) >= 0.85 - 1e-9
 )"""
 
@@ -155,19 +155,34 @@ def q_tfidf_weights(spark, sf_dir):
     return similarity.weights(texts(spark, sf_dir)).select("doc_id", "term", "df", F.round("w", 6).alias("w"))
 
 
-@query(f"WITH {_COS} SELECT a, b, round(cosine, 6) AS cosine FROM cos")
+@query(f"WITH {_COS} SELECT a, b, round(cosine, 6) AS cosine FROM cos WHERE a IN (SELECT first FROM class) AND b IN (SELECT first FROM class)")
 def q_cosine_pairs(spark, sf_dir):
     return similarity.cosine_pairs(texts(spark, sf_dir)).select("a", "b", F.round("cosine", 6).alias("cosine"))
 
 
+@query(f"WITH {_COS} SELECT doc_id, first FROM class")
+def q_text_classes(spark, sf_dir):
+    return similarity.classes(texts(spark, sf_dir)).select("doc_id", "first")
+
+
 @query(f"WITH RECURSIVE {_COS}, e AS (SELECT a, b FROM cos UNION SELECT b, a FROM cos), reach(x, y) AS (SELECT a, b FROM e UNION SELECT r.x, e.b FROM reach r JOIN e ON r.y = e.a) SELECT x AS doc_id, least(x, min(y)) AS component FROM reach GROUP BY x")
 def q_cosine_clusters(spark, sf_dir):
-    return similarity.clusters(similarity.cosine_pairs(texts(spark, sf_dir)))
+    docs = texts(spark, sf_dir)
+    members = similarity.classes(docs)
+    return similarity.document_clusters(similarity.cosine_pairs(docs, members=members), members)
 
 
 @query(f"WITH {_COS} SELECT doc_id, round(max(cosine), 6) AS best FROM (SELECT a AS doc_id, cosine FROM cos UNION ALL SELECT b, cosine FROM cos) GROUP BY doc_id")
 def q_best_similarity(spark, sf_dir):
-    return similarity.best_similarity(similarity.cosine_pairs(texts(spark, sf_dir))).select("doc_id", F.round("best", 6).alias("best"))
+    docs = texts(spark, sf_dir)
+    members = similarity.classes(docs)
+    return similarity.best_similarity(similarity.cosine_pairs(docs, members=members), members).select("doc_id", F.round("best", 6).alias("best"))
+
+
+def near_clusters(docs: DataFrame) -> DataFrame:
+    """doc_id and component of all near duplicates of docs (doc_id, text), copies among them."""
+    members = similarity.classes(docs)
+    return similarity.document_clusters(similarity.near_duplicates(docs, members=members), members)
 
 
 @query()
@@ -177,7 +192,7 @@ def q_near_dup_pairs(spark, sf_dir):
 
 @query()
 def q_near_dup_clusters(spark, sf_dir):
-    return similarity.clusters(similarity.near_duplicates(texts(spark, sf_dir)))
+    return near_clusters(texts(spark, sf_dir))
 
 
 @query(f"""WITH RECURSIVE {BASE}, {_COS}, e AS (SELECT a, b FROM cos UNION SELECT b, a FROM cos), reach(x, y) AS (SELECT a, b FROM e UNION SELECT r.x, e.b FROM reach r JOIN e ON r.y = e.a),
@@ -258,9 +273,7 @@ _VIEW = BASE + f", v AS (SELECT *, {_SINGLE} AS v_label FROM base)"
 
 @query("WITH " + _VIEW + " " + " UNION ALL ".join(f"SELECT '{a}/{b}' AS pair, count(*) AS n, count(*) FILTER ({a} = {b}) AS matches, (count(*) FILTER ({a} = {b}))::DOUBLE / nullif(count(*), 0) AS agreement FROM v WHERE {a} IS NOT NULL AND {b} IS NOT NULL" for a, b in _PAIRS))
 def q_annotator_agreement(spark, sf_dir):
-    rows = views(spark, sf_dir)
-    out = [agreement.agreement(rows, a, b, f"{a}/{b}") for a, b in _PAIRS]
-    return out[0].unionByName(out[1]).unionByName(out[2])
+    return agreement.agreements(views(spark, sf_dir), _PAIRS)
 
 
 _KAPPA = """SELECT '{a}/{b}' AS pair, n, same::DOUBLE / n AS observed, chance::DOUBLE / (n * n) AS expected, (same::DOUBLE / n - chance::DOUBLE / (n * n)) / (1 - chance::DOUBLE / (n * n)) AS kappa FROM (
@@ -270,16 +283,14 @@ _KAPPA = """SELECT '{a}/{b}' AS pair, n, same::DOUBLE / n AS observed, chance::D
 
 @query("WITH " + _VIEW + " " + " UNION ALL ".join(_KAPPA.format(a=a, b=b) for a, b in _PAIRS))
 def q_cohen_kappa(spark, sf_dir):
-    rows = views(spark, sf_dir)
-    out = [agreement.kappa(rows, a, b, f"{a}/{b}") for a, b in _PAIRS]
-    return out[0].unionByName(out[1]).unionByName(out[2])
+    return agreement.kappas(views(spark, sf_dir), _PAIRS)
 
 
 @query("""WITH l AS (SELECT d.doc_id, l.quality, CASE WHEN length(d.text) > 300 THEN 1 ELSE 0 END AS long FROM documents d LEFT JOIN labels l USING (doc_id))
 SELECT 'quality/long' AS pair, count(*) AS n, count(*) FILTER (quality = long) AS matches, (count(*) FILTER (quality = long))::DOUBLE / nullif(count(*), 0) AS agreement FROM l WHERE quality IS NOT NULL""")
 def q_partial_agreement(spark, sf_dir):
     rows = texts(spark, sf_dir).join(demo.table(spark, sf_dir, "labels"), "doc_id", "left").select("quality", F.when(F.length("text") > 300, 1).otherwise(0).alias("long"))
-    return agreement.agreement(rows, "quality", "long", "quality/long")
+    return agreement.agreements(rows, (("quality", "long"),))
 
 
 @query(f"WITH {_VIEW} SELECT v_label AS label_a, a_label AS label_b, count(*) AS n FROM v WHERE v_label IS NOT NULL AND a_label IS NOT NULL GROUP BY ALL")
@@ -333,6 +344,12 @@ _ROUTED = _SUSPECT + """, near AS (SELECT min(doc_id) AS doc_id FROM documents G
 REACHED = ["en", "fr", "de"]
 
 
+def firsts_of(docs: DataFrame) -> DataFrame:
+    """doc_id and component, the smallest doc_id with the same text."""
+    rows = docs.select("doc_id", F.md5("text").alias("same"))
+    return rows.join(rows.groupBy("same").agg(F.min("doc_id").alias("component")), "same").select("doc_id", "component")
+
+
 def copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The smallest doc_id of every text that occurs more than once."""
     return texts(spark, sf_dir).groupBy(F.md5("text").alias("m")).agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id")
@@ -415,8 +432,9 @@ def q_near_flags(spark, sf_dir):
     clusters = q_near_dup_clusters(spark, sf_dir)
     suspected, granularity = quality.split_by_reach(quality.suspected(rows), REACHED)
     places = global_rank(clusters.select("component").distinct(), [F.asc("component")], "rank")
-    parts = {"taxonomy_granularity": granularity, "suspected_label_error": suspected, "duplicate": clusters.join(places, "component"),
-             "pii": spans(spark, sf_dir).where(F.size("spans") > 0).select("doc_id"), "ambiguity": global_rank(quality.ambiguous(rows), [F.asc("doc_id")], "rank")}
+    what = ("vendor_leaves", "proposed", "confidence", "route")
+    parts = {"taxonomy_granularity": quality.detailed(granularity, *what), "suspected_label_error": quality.detailed(suspected, *what), "duplicate": quality.detailed(clusters.join(places, "component"), "component"),
+             "pii": quality.detailed(spans(spark, sf_dir).where(F.size("spans") > 0).select("doc_id", "spans"), "spans"), "ambiguity": quality.detailed(global_rank(quality.ambiguous(rows), [F.asc("doc_id")], "rank"), "reasons")}
     return quality.flags(parts, routed(spark, sf_dir, True, clusters))
 
 
@@ -482,7 +500,7 @@ def second(spark: SparkSession, sf_dir: str, near: bool = False) -> DataFrame:
     """The second version; `near` merges near-duplicate clusters in place of exact copies."""
     rows = demo.rows(spark, sf_dir)
     docs = texts(spark, sf_dir)
-    clusters = q_near_dup_clusters(spark, sf_dir) if near else docs.select("doc_id", F.min("doc_id").over(Window.partitionBy(F.md5("text"))).alias("component"))
+    clusters = q_near_dup_clusters(spark, sf_dir) if near else firsts_of(docs)
     return improve.second_version(docs, improve.first_version(rows), improve.latest_adjudications(demo.log(spark, sf_dir)).select("doc_id", "decision", "final_label", "covered"), rows.select("doc_id", F.col("b_label").alias("other")), clusters)
 
 
@@ -542,8 +560,7 @@ SELECT count(*) AS pairs, count(h.pair_id) AS found, coalesce(count(h.pair_id)::
 def q_duplicate_recall(spark, sf_dir):
     docs = texts(spark, sf_dir).select("doc_id", F.md5("text").alias("pair_id"))
     several = docs.groupBy("pair_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("pair_id")
-    clusters = docs.select("doc_id", F.min("doc_id").over(Window.partitionBy("pair_id")).alias("component"))
-    return evaluate.pair_recall(docs.join(several, "pair_id", "left_semi"), clusters)
+    return evaluate.pair_recall(docs.join(several, "pair_id", "left_semi"), firsts_of(texts(spark, sf_dir)))
 
 
 def planted_pairs(spark: SparkSession) -> DataFrame:
@@ -559,7 +576,7 @@ def q_near_duplicate_recall(spark, sf_dir):
     planted = planted_pairs(spark)
     docs = texts(spark, sf_dir)
     shapes = docs.select("doc_id", F.md5(T.normalize(F.coalesce("text", F.lit("")))).alias("shape")).unionByName(planted.select("doc_id", "shape"))
-    found = similarity.clusters(similarity.near_duplicates(docs.unionByName(planted.select("doc_id", "text"))))
+    found = near_clusters(docs.unionByName(planted.select("doc_id", "text")))
     return evaluate.cluster_scores(planted.select("pair_id", "doc_id"), found, shapes)
 
 
@@ -666,17 +683,17 @@ def q_keep_last_by_key(spark, sf_dir):
 
 # Taxonomy, planting and sets
 
-_TAX = [("d1", "alpha", "a", 2, 1, 2), ("d1", "Beta x", "", 1, 0, 1), ("d2", "gamma", "c", 2, 1, 2), ("d2", "gamma", "c", 3, 1, 2), ("d3", "delta", "d", 2, 1, 0)]
+_TAX = [(1, "d1", "alpha", "a", 2, 1, 2), (1, "d1", "Beta x", "", 1, 0, 1), (2, "d2", "gamma", "c", 2, 1, 2), (2, "d2", "gamma", "c", 3, 1, 2), (3, "d3", "delta", "d", 2, 1, 0), (4, "d3", "rho", "e", 2, 1, 2), (4, "d3", "sigma", "f", 2, 1, 2), (5, "d5", "tau", "g", 2, 1, 2)]
 _TAX_SQL = ", ".join(repr(x) for x in _TAX)
 
 
-@query(f"""WITH t(domain, name, definition, n_inclusion, n_exclusion, n_examples) AS (VALUES {_TAX_SQL})
-SELECT 'taxonomy' AS subject, 'domain count' AS problem FROM t HAVING count(DISTINCT domain) NOT BETWEEN 2 AND 4 UNION ALL SELECT 'taxonomy', 'leaf count' FROM t HAVING count(*) NOT BETWEEN 8 AND 14
-UNION ALL SELECT name, 'repeated leaf name' FROM t GROUP BY name HAVING count(*) > 1 UNION ALL SELECT domain, 'too few leaves' FROM t GROUP BY domain HAVING count(*) < 2
+@query(f"""WITH t(domain_no, domain, name, definition, n_inclusion, n_exclusion, n_examples) AS (VALUES {_TAX_SQL})
+SELECT 'taxonomy' AS subject, 'domain count' AS problem FROM t HAVING count(DISTINCT domain_no) NOT BETWEEN 2 AND 4 UNION ALL SELECT 'taxonomy', 'leaf count' FROM t HAVING count(*) NOT BETWEEN 8 AND 14
+UNION ALL SELECT name, 'repeated leaf name' FROM t GROUP BY name HAVING count(*) > 1 UNION ALL SELECT domain, 'repeated domain name' FROM t GROUP BY domain HAVING count(DISTINCT domain_no) > 1 UNION ALL SELECT domain, 'too few leaves' FROM t GROUP BY domain_no, domain HAVING count(*) < 2
 UNION ALL SELECT name, 'empty definition' FROM t WHERE trim(definition) = '' UNION ALL SELECT name, 'too few inclusion criteria' FROM t WHERE n_inclusion < 2 UNION ALL SELECT name, 'no exclusion criteria' FROM t WHERE n_exclusion < 1
 UNION ALL SELECT name, 'too few boundary examples' FROM t WHERE n_examples < 2 UNION ALL SELECT name, 'not snake case' FROM t WHERE name <> lower(name) OR instr(name, ' ') > 0""")
 def q_taxonomy_problems(spark, sf_dir):
-    return taxonomy.problems(spark.createDataFrame(_TAX, "domain string, name string, definition string, n_inclusion int, n_exclusion int, n_examples int"))
+    return taxonomy.problems(spark.createDataFrame(_TAX, "domain_no int, domain string, name string, definition string, n_inclusion int, n_exclusion int, n_examples int"))
 
 
 @query("""WITH s AS (SELECT doc_id FROM documents ORDER BY md5(concat('5|', doc_id)), doc_id LIMIT 120), a AS (SELECT doc_id, CASE WHEN doc_id % 11 = 0 THEN 'unmappable' WHEN doc_id % 13 = 0 THEN 'zz' ELSE lang END AS leaf FROM documents WHERE doc_id % 17 <> 0), c AS (
@@ -740,14 +757,22 @@ def q_batch_adjudication(spark, sf_dir):
 _CLASS = "CASE " + " ".join(f"WHEN x < {sum(list(generate.CLASSES.values())[: i + 1])} THEN '{k}'" for i, k in enumerate(generate.CLASSES)) + " END"
 
 
-@query(f"SELECT 'class ' || {_CLASS} AS name, count(*) AS n FROM (SELECT CAST(concat('0x', substr(md5(concat('11|class', i)), 1, 4)) AS INTEGER) % 100 AS x FROM range(600) t(i)) GROUP BY name UNION ALL SELECT * FROM (VALUES ('kind ambiguous', 30), ('kind duplicate', 18), ('kind pii', 25), ('kind multilingual', 12), ('kind error', 40))")
+# A duplicate has the class of the ticket that it paraphrases: the places of both in the planted order are the number of canonical ones apart.
+@query(f"""WITH p AS (SELECT i, row_number() OVER (ORDER BY md5(concat('11|', i)), i) AS place FROM range(600) t(i)), o AS (SELECT coalesce(c.i, d.i) AS i FROM p d LEFT JOIN p c ON d.place BETWEEN 49 AND 66 AND c.place = d.place - 18)
+SELECT 'class ' || {_CLASS} AS name, count(*) AS n FROM (SELECT CAST(concat('0x', substr(md5(concat('11|class', i)), 1, 4)) AS INTEGER) % 100 AS x FROM o) GROUP BY name
+UNION ALL SELECT * FROM (VALUES ('kind ambiguous', 30), ('kind canonical', 18), ('kind duplicate', 18), ('kind pii', 25), ('kind multilingual', 12), ('kind error', 40))""")
 def q_generated_manifest(spark, sf_dir):
     return generate.manifest(generate.tickets(spark, 600, 11))
 
 
-@query("SELECT * FROM (VALUES ('spans', true), ('errors', true), ('scripts', true)) t(name, ok)")
+_CHECKS = ["size", "numbers", *[f"planted {k}" for k in generate.COUNTS if k not in ("canonical", "duplicate")], "errors are wrong", "errors are plausible", "no other errors", "ambiguous tickets have an alternate", "alternates differ",
+           "no other alternates", "personal data has spans", "spans are on the spot", "no other spans", "scripts are mixed", "no other mixed scripts", "planted pairs", "pairs have two members", "pairs have one original",
+           "pairs share a class", "pairs are near duplicates", "pairs stand out", "planted sets are apart"]
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{c}', true)" for c in _CHECKS) + ") t(name, ok)")
 def q_generated_checks(spark, sf_dir):
-    return generate.checks(generate.tickets(spark, 600, 11))
+    return generate.checks(generate.tickets(spark, 600, 11), 600, seed=11).select("name", "ok")
 
 
 @query("SELECT count(*) AS rows, max(n_chars) AS longest, CAST(sum(n_chars) AS BIGINT) AS chars FROM documents")
@@ -767,6 +792,201 @@ def q_vendor_labels(spark, sf_dir):
     return demo.rows(spark, sf_dir).select("vendor", (F.size("leaves") == 0).alias("uncovered")).distinct()
 
 
+# Labels and runs
+
+@query(f"WITH {demo.LABELED}, newest AS (SELECT source, arg_max(run_id, struct_pack(t := started_at, r := run_id)) AS run_id FROM label_runs WHERE status = 'ok' AND run_id IN (SELECT run_id FROM run_labels) GROUP BY source) SELECT doc_id, source, run_id, label FROM run_labels JOIN newest USING (source, run_id)")
+def q_latest_labels(spark, sf_dir):
+    return tables.latest_labels(demo.run_labels(spark, sf_dir), demo.label_runs(spark, sf_dir)).select("doc_id", "source", "run_id", "label")
+
+
+@query(f"WITH {BASE} SELECT doc_id, label, abstain FROM (SELECT d.doc_id, a_label AS label, a_abstain AS abstain FROM documents d JOIN base USING (doc_id)) WHERE NOT abstain AND doc_id IN (SELECT doc_id FROM labels)")
+def q_labels_within_subset(spark, sf_dir):
+    rows = demo.rows(spark, sf_dir).where("NOT a_abstain").select("doc_id", F.col("a_label").alias("label"), F.col("a_abstain").alias("abstain"))
+    return rows.join(demo.table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_semi")
+
+
+# Flags with what they say, and review
+
+_SPANS_JSON = "SELECT doc_id, CAST(to_json({spans: list(struct_pack(type := type, value := value, start := start, \"end\" := \"end\") ORDER BY start, o)}) AS VARCHAR) AS detail FROM pii GROUP BY doc_id"
+_DETAIL = "CAST(to_json({vendor_leaves: vendor_leaves, proposed: proposed, confidence: confidence, route: route}) AS VARCHAR)"
+_FLAGS = _ROUTED + ", " + _PII + f""", flags AS (
+  SELECT doc_id, 'suspected_label_error' AS flag_type, CAST(row_number() OVER (ORDER BY confidence DESC, doc_id) AS INTEGER) AS rank, {_DETAIL} AS detail FROM suspected WHERE proposed IN ('en', 'fr', 'de')
+  UNION ALL SELECT doc_id, 'taxonomy_granularity', CAST(row_number() OVER (ORDER BY confidence DESC, doc_id) AS INTEGER), {_DETAIL} FROM suspected WHERE proposed NOT IN ('en', 'fr', 'de')
+  UNION ALL SELECT doc_id, 'ambiguity', CAST(row_number() OVER (ORDER BY doc_id) AS INTEGER), CAST(to_json({{reasons: reasons}}) AS VARCHAR) FROM ambiguous
+  UNION ALL SELECT doc_id, 'duplicate', CAST(dense_rank() OVER (ORDER BY component) AS INTEGER), CAST(to_json({{component: component}}) AS VARCHAR) FROM (SELECT doc_id, min(doc_id) OVER w AS component, count(*) OVER w AS n FROM documents WINDOW w AS (PARTITION BY md5(text))) WHERE n > 1
+  UNION ALL SELECT doc_id, 'pii', NULL, detail FROM ({_SPANS_JSON})
+)"""
+
+
+def all_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All five kinds of findings with rank and detail; every member of a group of equal texts is flagged."""
+    rows = demo.rows(spark, sf_dir)
+    suspected, granularity = quality.split_by_reach(quality.suspected(rows), REACHED)
+    groups = firsts_of(texts(spark, sf_dir))
+    several = groups.groupBy("component").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    places = global_rank(several.select("component"), [F.asc("component")], "rank")
+    what = ("vendor_leaves", "proposed", "confidence", "route")
+    found = spans(spark, sf_dir).where(F.size("spans") > 0).select("doc_id", "spans")
+    return quality.flags({
+        "suspected_label_error": quality.detailed(suspected, *what), "taxonomy_granularity": quality.detailed(granularity, *what), "ambiguity": quality.detailed(global_rank(quality.ambiguous(rows), [F.asc("doc_id")], "rank"), "reasons"),
+        "duplicate": quality.detailed(groups.join(places, "component"), "component"), "pii": quality.detailed(found, "spans")}, routed(spark, sf_dir))
+
+
+@query(f"WITH {_FLAGS} SELECT f.doc_id, flag_type, rank, detail, coalesce(reason = flag_type, false) AS routed FROM flags f LEFT JOIN routed r USING (doc_id)")
+def q_flags_with_detail(spark, sf_dir):
+    return all_flags(spark, sf_dir)
+
+
+@query(f"WITH {_FLAGS} SELECT flag_type, count(*) AS n, CAST(row_number() OVER (ORDER BY count(*) DESC, flag_type) AS INTEGER) AS place FROM flags WHERE flag_type IN ('pii', 'ambiguity', 'duplicate') GROUP BY flag_type")
+def q_flag_ranking(spark, sf_dir):
+    found = all_flags(spark, sf_dir).where(F.col("flag_type").isin("pii", "ambiguity", "duplicate")).groupBy("flag_type").agg(F.count(F.lit(1)).alias("n"))
+    return global_rank(found, [F.desc("n"), F.asc("flag_type")], "place")
+
+
+@query(f"WITH {_SUSPECT} SELECT *, CAST(row_number() OVER (ORDER BY confidence DESC, doc_id) AS INTEGER) AS rank FROM suspected WHERE proposed IN ('en', 'fr', 'de') ORDER BY rank LIMIT 10")
+def q_top_suspected(spark, sf_dir):
+    found = quality.suspected(demo.rows(spark, sf_dir)).where(F.col("proposed").isin(*REACHED)).orderBy(F.desc("confidence"), "doc_id").limit(10)
+    return found.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("confidence"), "doc_id")))
+
+
+@query(f"""WITH {_FLAGS}, q AS (SELECT doc_id, reason FROM routed)
+SELECT q.doc_id, q.reason, split_part(d.text, chr(10), 1) AS subject, d.source AS channel, vendor, a_label, CASE WHEN NOT a_abstain THEN a_conf END AS a_confidence, b_label, f.flags
+FROM q JOIN documents d USING (doc_id) JOIN base USING (doc_id) LEFT JOIN (SELECT doc_id, string_agg(flag_type, '|' ORDER BY flag_type) AS flags FROM flags GROUP BY doc_id) f USING (doc_id)""")
+def q_review_screens(spark, sf_dir):
+    rows = demo.rows(spark, sf_dir)
+    label = lambda s, c, conf: rows.select("doc_id", F.lit(s).alias("source"), F.col(c).alias("label"), conf.alias("confidence"), F.lit(None).cast("string").alias("rationale"))
+    labels = label("a", "a_label", F.when(~F.col("a_abstain"), F.col("a_conf"))).unionByName(label("b", "b_label", F.lit(None).cast("double")))
+    tickets = demo.tickets(spark, sf_dir).select("doc_id", "subject", "channel").join(rows.select("doc_id", "vendor"), "doc_id")
+    screens = review.screens(routed(spark, sf_dir), tickets, labels, all_flags(spark, sf_dir))
+    return screens.select("doc_id", "reason", "subject", "channel", "vendor", "a_label", "a_confidence", "b_label", F.array_join("flags.flag_type", "|").alias("flags"))
+
+
+@query(f"WITH {LOG} SELECT count(*) AS decisions, count(DISTINCT doc_id) AS documents, max(ordinal) AS last FROM log")
+def q_review_progress(spark, sf_dir):
+    return review.progress(demo.log(spark, sf_dir))
+
+
+# Scores after review, and sets
+
+_BOTH = _V2 + _SUSPECT.removeprefix(BASE)
+
+
+@query(f"""WITH {_BOTH}, x AS (SELECT vendor <> truth AS planted, s.doc_id IS NOT NULL AS flagged, coalesce(v.label = truth, false) AS corrected FROM base JOIN v2c v USING (doc_id) LEFT JOIN suspected s USING (doc_id)),
+  c AS (SELECT count(*) FILTER (planted) AS planted, count(*) FILTER (planted AND flagged) AS flagged, count(*) FILTER (planted AND flagged AND corrected) AS corrected FROM x)
+SELECT planted, flagged, coalesce(flagged::DOUBLE / nullif(planted, 0), 0) AS recall, corrected, coalesce(corrected::DOUBLE / nullif(flagged, 0), 0) AS correction_rate FROM c""")
+def q_seeded_error_correction(spark, sf_dir):
+    rows = demo.rows(spark, sf_dir)
+    found = quality.suspected(rows).select("doc_id", F.lit(True).alias("f"))
+    both = rows.join(second(spark, sf_dir).select("doc_id", "label"), "doc_id").join(found, "doc_id", "left")
+    return evaluate.seeded_errors(both, F.col("vendor") != F.col("truth"), F.coalesce("f", F.lit(False)), F.coalesce(F.col("label") == F.col("truth"), F.lit(False)))
+
+
+@query(f"WITH {BASE}, reached AS (SELECT DISTINCT unnest(leaves) AS leaf FROM base) SELECT count(*) AS n, count(*) FILTER (truth NOT IN (SELECT leaf FROM reached)) AS unreachable FROM base")
+def q_unreachable_truth(spark, sf_dir):
+    rows = demo.rows(spark, sf_dir)
+    reached = {r["leaf"] for r in rows.select(F.explode("leaves").alias("leaf")).distinct().collect()}  # at most as many as there are leaves
+    return evaluate.unreachable(rows, [x for x in LEAVES if x not in reached])
+
+
+@query(f"""WITH {_V2}, r AS (SELECT v2c.*, truth FROM v2c JOIN base USING (doc_id))
+SELECT 100 * ((SELECT count(*) FILTER (label = truth OR alt_label = truth)::DOUBLE / nullif(count(*), 0) FROM r WHERE status <> 'merged_duplicate') - (SELECT count(*) FILTER (before = truth)::DOUBLE / nullif(count(*), 0) FROM r)) AS delta_points""")
+def q_accuracy_delta(spark, sf_dir):
+    return evaluate.delta_points(q_eval_accuracy(spark, sf_dir))
+
+
+@query(f"WITH {BASE} SELECT doc_id FROM base WHERE a_abstain INTERSECT SELECT doc_id FROM base WHERE doc_id % 9 = 0")
+def q_set_abstained_ambiguous(spark, sf_dir):
+    rows = demo.rows(spark, sf_dir)
+    return rows.where("a_abstain").select("doc_id").intersect(rows.where("doc_id % 9 = 0").select("doc_id"))
+
+
+@query(f"WITH {BASE} SELECT DISTINCT truth AS leaf FROM base EXCEPT SELECT unnest(leaves) FROM base")
+def q_leaves_unreached(spark, sf_dir):
+    rows = demo.rows(spark, sf_dir)
+    return rows.select(F.col("truth").alias("leaf")).distinct().exceptAll(rows.select(F.explode("leaves").alias("leaf")).distinct())
+
+
+@query("SELECT list_sort(list(doc_id)) AS members FROM documents GROUP BY md5(text) HAVING count(*) BETWEEN 2 AND 50")
+def q_small_copy_groups(spark, sf_dir):
+    """Groups of 2 to 50 equal texts as arrays of their documents, once each; larger groups are counted, but not gathered."""
+    groups = firsts_of(texts(spark, sf_dir))
+    some = groups.groupBy("component").agg(F.count(F.lit(1)).alias("n")).where("n BETWEEN 2 AND 50")
+    return groups.join(some.select("component"), "component").groupBy("component").agg(F.sort_array(F.collect_list("doc_id")).alias("members")).select("members").distinct()
+
+
+@query("SELECT doc_id, component, CAST(dense_rank() OVER (ORDER BY component) AS INTEGER) AS rank FROM (SELECT doc_id, min(doc_id) OVER w AS component, count(*) OVER w AS n FROM documents WINDOW w AS (PARTITION BY md5(text))) WHERE n > 1")
+def q_cluster_ranks(spark, sf_dir):
+    groups = firsts_of(texts(spark, sf_dir))
+    several = groups.groupBy("component").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("component")
+    return groups.join(global_rank(several, [F.asc("component")], "rank"), "component").select("doc_id", "component", "rank")
+
+
+@query("SELECT shape, n, CAST(row_number() OVER (ORDER BY shape) AS INTEGER) AS number FROM (SELECT md5(split_part(text, chr(10), 1)) AS shape, count(*) AS n FROM documents WHERE text IS NOT NULL GROUP BY 1 HAVING count(*) > 1)")
+def q_shape_groups(spark, sf_dir):
+    lines = demo.tickets(spark, sf_dir).where("body IS NOT NULL").groupBy(F.md5("subject").alias("shape")).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return global_rank(lines, [F.asc("shape")], "number")
+
+
+# Prompts and calls
+
+_SAMPLE = "SELECT doc_id, split_part(text, chr(10), 1) AS subject, substr(text, 1, 420) AS body FROM documents ORDER BY md5(concat('8|', doc_id)), doc_id LIMIT 120"
+
+
+@query(f"SELECT doc_id, md5(subject) AS subject_md5, md5(body) AS body_md5 FROM ({_SAMPLE})")
+def q_blind_sample(spark, sf_dir):
+    return induction.blind_sample(demo.tickets(spark, sf_dir), 120, 8).select("doc_id", F.md5("subject").alias("subject_md5"), F.md5("body").alias("body_md5"))
+
+
+@query(f"""WITH s AS (SELECT *, row_number() OVER (ORDER BY doc_id) AS batch FROM ({_SAMPLE}))
+SELECT (batch - 1) // 10 AS batch, md5(string_agg('[' || doc_id || ']' || chr(10) || 'Subject: ' || coalesce(subject, '') || chr(10) || coalesce(body, ''), chr(10) || chr(10) ORDER BY doc_id)) AS prompt_md5 FROM s GROUP BY 1""")
+def q_ticket_prompts(spark, sf_dir):
+    sample = global_rank(induction.blind_sample(demo.tickets(spark, sf_dir), 120, 8), [F.asc("doc_id")], "batch")
+    return induction.prompts(sample, 10).select("batch", F.md5("prompt").alias("prompt_md5"))
+
+
+@query("SELECT doc_id, md5(replace(replace(replace(replace(replace(text, ', ', ' \u2014 '), ' \u2014 ', ', '), '\u2014', ', '), ' \u2013 ', ', '), '\u2013', ', ')) AS prose_md5 FROM documents")
+def q_plain_dashes(spark, sf_dir):
+    dashed = F.replace(F.col("text"), F.lit(", "), F.lit(" \u2014 "))
+    return texts(spark, sf_dir).select("doc_id", F.md5(T.plain_dashes(dashed)).alias("prose_md5"))
+
+
+@query(f"""WITH {BASE}, m AS (SELECT vendor, arg_max(truth, doc_id) AS t FROM base WHERE vendor <> 'es' GROUP BY vendor), x AS (SELECT vendor, list_filter([t, 'none', 'en'], lambda l: l IN ('de', 'en', 'es', 'fr')) AS leaves, 'as ' || t AS reasoning FROM m)
+SELECT v.vendor, array_to_string(coalesce(leaves, []), '|') AS leaves, coalesce(reasoning, '') AS reasoning FROM (SELECT DISTINCT vendor FROM base) v LEFT JOIN x USING (vendor)""")
+def q_alignment_cleanup(spark, sf_dir):
+    rows = demo.rows(spark, sf_dir)
+    given = rows.where("vendor <> 'es'").select("vendor", F.array(F.concat(F.lit(" "), "truth", F.lit(" ")), F.lit("none"), F.lit("en")).alias("leaves"), F.concat(F.lit("as "), "truth").alias("reasoning"), F.col("doc_id").alias("ordinal"))
+    return induction.alignment(rows.select("vendor"), given, LEAVES).select("vendor", F.array_join("leaves", "|").alias("leaves"), "reasoning")
+
+
+@query("SELECT doc_id, sha256('{\"model\":\"' || lang || '\",\"schema\":null,\"system\":\"s\",\"user\":\"' || doc_id || '\",\"v\":\"1\"}') AS cache_key FROM documents")
+def q_call_keys(spark, sf_dir):
+    return demo.table(spark, sf_dir, "documents").select("doc_id", model.call_key(F.col("lang"), F.lit("s"), F.col("doc_id").cast("string")).alias("cache_key"))
+
+
+_PRICED = RUNS + """, priced AS (SELECT *, ['small-1', 'medium', 'large-b', 'unheard'][1 + call_id % 4] AS model FROM runs), prices AS (SELECT *, CASE WHEN model LIKE 'small%' THEN 1.0 WHEN model LIKE 'medium%' THEN 2.0 WHEN model LIKE 'large%' THEN 5.0 ELSE 1.0 END::DOUBLE AS i, CASE WHEN model LIKE 'medium%' THEN 10.0 WHEN model LIKE 'large%' THEN 25.0 ELSE 5.0 END::DOUBLE AS o FROM priced)"""
+
+
+@query(f"WITH {_PRICED} SELECT model, count(*) AS calls, round(sum((tokens_in * i + tokens_out * 1.25 * i + tokens_in * 0.1 * i + tokens_out * o) / 1000000), 4) AS usd FROM prices GROUP BY model")
+def q_call_costs(spark, sf_dir):
+    names = F.array(*map(F.lit, ("small-1", "medium", "large-b", "unheard")))
+    calls = demo.runs(spark, sf_dir).withColumn("model", names[(F.col("call_id") % 4).cast("int")])
+    cost = model.usd(F.col("model"), F.col("tokens_in"), F.col("tokens_out"), F.col("tokens_out"), F.col("tokens_in"))
+    return calls.groupBy("model").agg(F.count(F.lit(1)).alias("calls"), F.round(F.sum(cost), 4).alias("usd"))
+
+
+@query(f"WITH {RUNS} SELECT CAST(coalesce(sum(usd), 0) AS BIGINT) AS usd, count(*) AS calls FROM runs")
+def q_total_spend(spark, sf_dir):
+    return demo.costs(spark, sf_dir).agg(F.coalesce(F.sum("usd"), F.lit(0)).alias("usd"), F.count(F.lit(1)).alias("calls"))
+
+
+@query(f"""WITH {_V2}, u AS (SELECT doc_id, label, alt_label, row_number() OVER (PARTITION BY label ORDER BY md5(concat('20260904|', doc_id)), doc_id) AS i, count(*) OVER (PARTITION BY label) AS n FROM v2c WHERE status = 'kept' AND label IS NOT NULL)
+SELECT u.doc_id, source AS channel, lang AS customer_tier, n_chars AS created_at, label, alt_label AS acceptable_alt_label, CASE WHEN i <= greatest(1, CAST(round_even(n * 0.85::DOUBLE, 0) AS BIGINT)) THEN 'train' ELSE 'eval' END AS split FROM u JOIN documents USING (doc_id)""")
+def q_export_records(spark, sf_dir):
+    rows = export.split(export.usable(second(spark, sf_dir)).select("doc_id", "label", "alt_label", "body"))
+    tickets = demo.table(spark, sf_dir, "documents").select("doc_id", T.first_line(F.col("text")).alias("subject"), F.col("source").alias("channel"), F.col("lang").alias("tier"), F.col("n_chars").alias("created_at"))
+    return export.records(rows, tickets).drop("subject", "body")
+
+
 # Near duplicates in place of exact copies: near_NAME is NAME over the clusters of near_dup_clusters, of which review gets the contested ones. SQL has no token-set ratio.
 
 for _f in (q_routing, q_routed_by_reason, q_queue_ratio, q_review_queue_pending, q_set_unflagged, q_dataset_v2, q_v1_v2_diff, q_diff_summary, q_eval_accuracy, q_export_split, q_export_exclusions):

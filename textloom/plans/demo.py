@@ -63,6 +63,21 @@ def rows(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(under(19, "30"), following(following(t))).when(under(11, "10"), following(t)).otherwise(t).alias("b_label"))
 
 
+def label_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five runs of each annotator from events: run_id, source, started_at, status; a run of every third number failed."""
+    events = table(spark, sf_dir, "events").select("ts", F.when(F.col("event_id") % 2 == 0, "a").otherwise("b").alias("source"), (F.col("user_id") % 5).alias("k"))
+    runs_ = events.groupBy("source", "k").agg(F.min("ts").alias("started_at"))
+    return runs_.select(F.concat("source", F.lit("-"), F.col("k").cast("string")).alias("run_id"), "source", "started_at", F.when(F.col("k") % 3 == 0, "failed").otherwise("ok").alias("status"))
+
+
+def run_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels of either annotator in three of its runs: doc_id, source, run_id, label."""
+    base = rows(spark, sf_dir)
+    either = base.select("doc_id", F.lit("a").alias("source"), F.col("a_label").alias("label")).unionByName(base.select("doc_id", F.lit("b").alias("source"), F.col("b_label").alias("label")))
+    run = either.withColumn("k", F.explode(F.array(*[F.lit(i) for i in (0, 1, 2)])))
+    return run.select("doc_id", "source", F.concat("source", F.lit("-"), ((F.col("k") + F.col("doc_id") % 2) % 5).cast("string")).alias("run_id"), "label")
+
+
 def tickets(spark: SparkSession, sf_dir: str) -> DataFrame:
     from textloom.functions.text import first_line
 
@@ -128,3 +143,10 @@ runs AS (
     event_id * 13 % 5000 + 5 * (event_id * 7 % 900) AS usd
   FROM events
 )"""
+LABELED = BASE + """, label_runs AS (
+  SELECT concat(source, '-', k) AS run_id, source, min(ts) AS started_at, CASE WHEN k % 3 = 0 THEN 'failed' ELSE 'ok' END AS status
+  FROM (SELECT ts, CASE WHEN event_id % 2 = 0 THEN 'a' ELSE 'b' END AS source, user_id % 5 AS k FROM events) GROUP BY source, k
+), run_labels AS (
+  SELECT doc_id, source, concat(source, '-', (k + doc_id % 2) % 5) AS run_id, label
+  FROM (SELECT doc_id, 'a' AS source, a_label AS label FROM base UNION ALL SELECT doc_id, 'b', b_label FROM base), (VALUES (0), (1), (2)) AS ks(k)
+)"""
