@@ -1,15 +1,19 @@
-"""Suffix order and common prefixes of a text by induced sorting with disk-backed queues.
+"""Suffix order and common prefixes of a text by recursive induced sorting with disk-backed queues.
 
 The suffixes that start a descent (S*) are named by the substrings up to the
-next of them; the string of names is then ordered by doubling the number of
-names compared. From their order all L suffixes follow in one ascending pass
-and all S suffixes in one descending pass: a suffix taken from the queue puts
-its left neighbour into the queue of that neighbour's first symbol. As
-neighbours arrive in the order of what follows them, a queue per symbol serves
-as priority queue. An entry carries the suffix and the length of the prefix it
-shares with the entry before, which is one more than the least such length
-between what follows the two. Queues beyond `memory` bytes go to disk, and are
-read back in order.
+next of them. The string of names is ordered by the same method, which names
+and orders again until all names differ. From the order of S* suffixes all L
+suffixes follow in one ascending pass and all S suffixes in one descending
+pass: a suffix taken from the queue puts its left neighbour into the queue,
+under that neighbour's symbol.
+
+Bytes have a first-in first-out queue for each symbol, which serves as priority
+queue, as neighbours arrive in the order of what follows them. An entry carries
+the suffix and the length of the prefix it shares with the entry before, which
+is one more than the least such length between what follows the two. Names are
+too many for that: they have one priority queue by (symbol, arrival), which is
+emptied in blocks of whole symbols. Queues beyond `memory` bytes go to disk,
+and are read back in order; so do arrays as long as the text, as mapped files.
 """
 
 from __future__ import annotations
@@ -20,9 +24,83 @@ import uuid
 
 import numpy as np
 
-BITS, PER_KEY, END = 9, 7, 511
 CUT, LAST = 1, 0
 BLOCK = 1 << 19
+#: Names that leave the priority queue at once, and sorted runs that it holds in memory.
+NAMES, RUNS = 1 << 15, 12
+
+
+class Space:
+    """Arrays in memory, or in mapped files below a folder of their own where they are large."""
+
+    def __init__(self, folder: str | None, memory: int):
+        self.folder, self.memory, self.own = folder, memory, ""
+
+    def path(self) -> str:
+        if not self.own:
+            self.own = os.path.join(self.folder, f"arrays-{uuid.uuid4().hex}")
+            os.makedirs(self.own)
+        return os.path.join(self.own, uuid.uuid4().hex)
+
+    def array(self, n: int, dtype) -> np.ndarray:
+        if not self.folder or n * np.dtype(dtype).itemsize <= self.memory // 16:
+            return np.zeros(n, dtype)
+        return np.memmap(self.path(), dtype, "w+", shape=(n,))
+
+    def close(self) -> None:
+        if self.own:
+            shutil.rmtree(self.own, ignore_errors=True)
+
+
+class Heap:
+    """A priority queue of (symbol, arrival, position) that takes and gives many entries at once, in sorted runs; beyond memory a run is a file."""
+
+    def __init__(self, space: Space):
+        self.space, self.new, self.runs = space, [], []
+        self.held = 0
+
+    def push(self, symbol: np.ndarray, arrival: np.ndarray, position: np.ndarray) -> None:
+        if len(symbol):
+            self.new.append(np.stack([symbol, arrival, position]))
+
+    @staticmethod
+    def _merged(parts: list[np.ndarray]) -> np.ndarray:
+        rows = np.concatenate(parts, axis=1) if len(parts) > 1 else parts[0]
+        return rows[:, np.lexsort((rows[1], rows[0]))]
+
+    def _settle(self) -> None:
+        """Sorts what is new into a run; joins runs in memory where they are many, and writes them where they are large."""
+        if self.new:
+            self.runs.append(self._merged(self.new))
+            self.new = []
+        self.runs = [r for r in self.runs if r.shape[1]]
+        inside = [r for r in self.runs if not isinstance(r, np.memmap)]
+        size = sum(r.nbytes for r in inside)
+        large = bool(self.space.folder) and size > self.space.memory // 4
+        if len(inside) > RUNS or large:
+            one = self._merged(inside)
+            if large:
+                path = self.space.path()
+                one.tofile(path)
+                one = np.memmap(path, np.int64, "r", shape=one.shape)
+            self.runs = [*[r for r in self.runs if isinstance(r, np.memmap)], one]
+
+    def bound(self, n: int) -> tuple[int, int] | None:
+        """The least symbol, and one that about n entries of each run lie below; none if the queue is empty."""
+        self._settle()
+        if not self.runs:
+            return None
+        return min(int(r[0, 0]) for r in self.runs), min((int(r[0, n]) for r in self.runs if r.shape[1] > n), default=1 << 62)
+
+    def pop(self, below: int) -> np.ndarray:
+        """All entries of symbols under `below`, in order."""
+        self._settle()
+        out = []
+        for i, r in enumerate(self.runs):
+            if k := int(np.searchsorted(r[0], below)):
+                out.append(np.asarray(r[:, :k]))
+                self.runs[i] = r[:, k:]
+        return self._merged(out) if out else np.zeros((3, 0), np.int64)
 
 
 class Queues:
@@ -124,26 +202,39 @@ class Carry:
             np.minimum(self.least, common.min(), out=self.least)
 
 
-def types(t: np.ndarray) -> np.ndarray:
-    """True for S: a suffix smaller than the one after it. The last symbol is S."""
-    n = len(t)
-    step = np.sign(np.diff(t.astype(np.int16))).astype(np.int8)  # +1: S, -1: L, 0: as the next
-    at = np.where(step != 0, np.arange(n - 1, dtype=np.int32 if n < 1 << 31 else np.int64), n - 1)
-    at = np.minimum.accumulate(at[::-1])[::-1]
-    return np.append(np.append(step, np.int8(1))[at] > 0, True)
+def types(t: np.ndarray, space: Space) -> np.ndarray:
+    """True for S: a suffix smaller than the one after it. The last symbol is S, and the only one of its kind. From right to left in blocks."""
+    out = space.array(len(t), bool)
+    out[-1], after = True, True
+    for b in range(len(t) - 1, 0, -BLOCK):
+        a = max(0, b - BLOCK)
+        x = np.asarray(t[a : b + 1]).astype(np.int64)
+        step = np.sign(np.diff(x))  # 1: S, -1: L, 0: as the next
+        at = np.where(step != 0, np.arange(b - a), b - a)
+        at = np.minimum.accumulate(at[::-1])[::-1]
+        out[a:b] = np.append(step > 0, after)[at]
+        after = bool(out[a])
+    return out
 
 
-def names(t: np.ndarray, star: np.ndarray) -> np.ndarray:
+def stars(small: np.ndarray) -> np.ndarray:
+    """The S suffixes behind an L suffix."""
+    return np.concatenate([np.zeros(0, np.int64), *[np.flatnonzero(small[a + 1 : a + BLOCK + 1] & ~small[a : a + BLOCK][: len(small) - 1 - a]) + a + 1 for a in range(0, len(small) - 1, BLOCK)]])
+
+
+def names(t: np.ndarray, star: np.ndarray, symbols: int) -> np.ndarray:
     """The rank of each S* substring (up to and with the next S* symbol), equal for equal ones."""
+    bits = max(2, int(symbols + 1).bit_length())
+    per_key, end = max(1, 62 // bits), (1 << bits) - 1
     size = np.diff(star, append=len(t) - 1) + 1
     rank, todo, k = np.zeros(len(star), np.int64), np.arange(len(star)), 0
     while len(todo):
         key = np.zeros(len(todo), np.int64)
-        for j in range(k, k + PER_KEY):
-            x = t[np.minimum(star[todo] + j, len(t) - 1)].astype(np.int64)
-            key = key << BITS | np.where(j < size[todo], x, np.where(j == size[todo], END, 0))
+        for j in range(k, k + per_key):
+            x = np.asarray(t[np.minimum(star[todo] + j, len(t) - 1)]).astype(np.int64)
+            key = key << bits | np.where(j < size[todo], x, np.where(j == size[todo], end, 0))
         todo = refine(rank, todo, key)
-        k += PER_KEY
+        k += per_key
         todo = todo[size[todo] >= k]
     return rank
 
@@ -163,44 +254,120 @@ def refine(rank: np.ndarray, todo: np.ndarray, key: np.ndarray) -> np.ndarray:
     return todo[order[~alone]]
 
 
-def star_order(t: np.ndarray, star: np.ndarray, cap: int) -> tuple[np.ndarray, np.ndarray]:
-    """Indices of S* suffixes in order, and what each shares with the one before, both as deep as cap symbols."""
-    rank = names(t, star)
-    compact = np.int32 if len(t) < 1 << 31 else np.int64
-    levels, step = [rank.astype(compact)], 1
-    n = len(star)
-    _, first, count = np.unique(rank, return_index=True, return_counts=True)
-    todo = np.flatnonzero(np.isin(rank, rank[first[count > 1]])) if (count > 1).any() else np.zeros(0, np.int64)
-    far = np.append(star, len(t))
-    while len(todo):
-        todo = todo[far[np.minimum(todo + step, n)] - star[todo] < cap]
-        if not len(todo):
-            break
-        after = np.where(todo + step < n, rank[np.minimum(todo + step, n - 1)] + 1, 0)
-        todo = refine(rank, todo, after)
-        step *= 2
-        levels.append(rank.astype(compact))
-    order = np.argsort(rank, kind="stable")
-    a, b = order[1:].copy(), order[:-1].copy()
-    common, base = np.zeros(len(a), np.int64), 1 << (len(levels) - 1)
-    for level in reversed(levels):
-        same = (a < n) & (b < n)
-        same &= level[np.minimum(a, n - 1)] == level[np.minimum(b, n - 1)]
-        i = np.flatnonzero(same)
-        to = np.minimum(a[i] + base, n)
-        common[i] += far[to] - star[a[i]]
-        a[i], b[i] = to, np.minimum(b[i] + base, n)
-        base //= 2
-    i = np.flatnonzero(common < cap)
-    x, y = far[a[i]], far[b[i]]
-    while len(i):
-        same = (x < len(t)) & (y < len(t))
-        same &= t[np.minimum(x, len(t) - 1)] == t[np.minimum(y, len(t) - 1)]
-        i, x, y = i[same], x[same] + 1, y[same] + 1
-        common[i] += 1
-        keep = common[i] < cap
-        i, x, y = i[keep], x[keep], y[keep]
-    return order, np.append(0, np.minimum(common, cap)).astype(np.uint16)
+def induce(key: np.ndarray, seeds: np.ndarray, chosen: np.ndarray, space: Space):
+    """Yields, in the order of key and of what follows, blocks of (position, whether induced): the seeds, and what they induce to their left.
+
+    `seeds` are in order; an induced position is one of `chosen`, and comes
+    before the seeds of its symbol and behind what was induced there earlier.
+    """
+    heap, at, arrived = Heap(space), 0, 0
+
+    def children(position: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the positions induce their left neighbour, and its symbol."""
+        left = np.maximum(position - 1, 0)
+        return (position > 0) & chosen[left], np.asarray(key[left]).astype(np.int64)
+
+    while True:
+        found = heap.bound(NAMES)
+        seed = int(key[seeds[at]]) if at < len(seeds) else None
+        if found is None and seed is None:
+            return
+        least = min(x for x in (found and found[0], seed) if x is not None)
+        below = min(found[1] if found else 1 << 62, int(key[seeds[at + NAMES]]) if at + NAMES < len(seeds) else 1 << 62)
+        below = max(below, least + 1)
+        own, to = heap.pop(below), at
+        while to < len(seeds):  # seeds ascend by key, so those of the block are a stretch
+            step = np.asarray(key[seeds[to : to + NAMES]])
+            k = int(np.searchsorted(step, below))
+            to += k
+            if k < len(step):
+                break
+        mine = np.asarray(seeds[at:to])
+        position, induced = _settle(own, mine, np.asarray(key[mine]).astype(np.int64), below, children)
+        good, symbol = children(position)
+        good &= symbol >= below
+        i = np.flatnonzero(good)
+        heap.push(symbol[i], arrived + i, position[i] - 1)
+        at, arrived = to, arrived + len(position)
+        yield position, induced
+
+
+def _settle(own: np.ndarray, seeds: np.ndarray, seed_keys: np.ndarray, below: int, children) -> tuple[np.ndarray, np.ndarray]:
+    """A block of symbols in order: what is queued, what is induced within the block, and the seeds.
+
+    What is induced within the block stands behind what was queued under its
+    symbol, in the order of what it was induced by. As that may be of the block
+    too, ties are broken by the place of the one it comes from, then of that
+    one's, twice as far back each time.
+    """
+    symbol, position = [own[0], seed_keys], [own[2], seeds]
+    n = roots = len(own[0]) + len(seeds)
+    source, now, first = [np.arange(n)], np.concatenate(position), 0
+    while len(now):
+        good, s = children(now)
+        i = np.flatnonzero(good & (s < below))
+        symbol.append(s[i]), position.append(now[i] - 1), source.append(first + i)
+        first, now = n, now[i] - 1
+        n += len(i)
+    symbol, position, source = np.concatenate(symbol), np.concatenate(position), np.concatenate(source)
+    kind = np.concatenate([np.zeros(len(own[0]), np.int8), np.full(len(seeds), 2, np.int8), np.ones(n - roots, np.int8)])
+    arrival = np.concatenate([own[1], np.arange(len(seeds)), np.zeros(n - roots, np.int64)])
+    order = np.lexsort((arrival, kind, symbol))
+    if n > roots:
+        k, s = kind[order], symbol[order]
+        tied = np.append(False, (k[1:] == 1) & (k[:-1] == 1) & (s[1:] == s[:-1]))
+        rank = np.empty(n, np.int64)
+        rank[order] = np.maximum.accumulate(np.where(tied, 0, np.arange(n)))
+        todo = order[tied | np.append(tied[1:], False)]
+        while len(todo):
+            todo = refine(rank, todo, rank[source[todo]])
+            source = source[source]
+        order = np.argsort(rank, kind="stable")
+    return position[order], kind[order] < 2
+
+
+def order_of(r: np.ndarray, space: Space) -> np.ndarray:
+    """The positions of a string of numbers in the order of its suffixes, the shorter of two first where one starts the other."""
+    n = len(r)
+    kinds, t = np.unique(r, return_inverse=True)
+    if len(kinds) == n:
+        return np.argsort(t, kind="stable")
+    string = space.array(n + 1, np.int64)
+    string[:n] = t + 1
+    del t
+    small = types(string, space)
+    star = stars(small)
+    star = star[order_of(names(string, star, len(kinds) + 1), space)]
+    large = space.array(n + 1, np.int64)
+    size = 0
+    for position, induced in induce(string, star, ~small, space):
+        found = position[induced]
+        large[size : size + len(found)] = found
+        size += len(found)
+    out, end = space.array(n + 1, np.int64), n + 1
+    np.subtract(len(kinds) + 1, string, out=string)  # from the largest down
+    for position, _ in induce(string, large[:size][::-1], small, space):
+        out[end - len(position) : end] = position[::-1]
+        end -= len(position)
+    return out[1:]  # without the last symbol's
+
+
+def star_order(t: np.ndarray, star: np.ndarray, cap: int, space: Space) -> tuple[np.ndarray, np.ndarray]:
+    """Indices of S* suffixes in order, and what each shares with the one before, as deep as cap symbols."""
+    order = order_of(names(t, star, int(t.max()) + 1), space)
+    common = space.array(len(order), np.uint16)
+    for a in range(1, len(order), BLOCK):
+        x, y = star[order[a : a + BLOCK]], star[order[a - 1 : a - 1 + BLOCK][: len(order[a : a + BLOCK])]]
+        i, k = np.arange(len(x)), 0
+        deep = np.zeros(len(x), np.uint16)
+        while len(i) and k < cap:
+            p, q = x[i] + k, y[i] + k
+            same = (p < len(t)) & (q < len(t))
+            same &= t[np.minimum(p, len(t) - 1)] == t[np.minimum(q, len(t) - 1)]
+            i, k = i[same], k + 1
+            deep[i] = k
+        common[a : a + len(deep)] = deep
+    return order, common
 
 
 def suffixes(t: np.ndarray, cap: int, folder: str | None = None, memory: int = 256 << 20):
@@ -211,12 +378,20 @@ def suffixes(t: np.ndarray, cap: int, folder: str | None = None, memory: int = 2
     entry is that with the entry before it in this descending order.
     """
     symbols, n = int(t.max()) + 1, len(t)
-    small = types(t)
-    star = np.flatnonzero(small[1:] & ~small[:-1]) + 1
     if n == 1:
         yield np.zeros(1, np.int64), np.zeros(1, np.uint16)
         return
-    order, shared = star_order(t, star, cap)
+    space = Space(folder, memory)
+    try:
+        yield from _suffixes(t, cap, folder, memory, symbols, n, space)
+    finally:
+        space.close()
+
+
+def _suffixes(t: np.ndarray, cap: int, folder: str | None, memory: int, symbols: int, n: int, space: Space):
+    small = types(t, space)
+    star = stars(small)
+    order, shared = star_order(t, star, cap, space)
     seeds = star[order]
     bounds = np.searchsorted(t[seeds], np.arange(symbols + 1))
     up, down = Queues(symbols, folder, memory // 2), Queues(symbols, folder, memory // 2)

@@ -16,7 +16,6 @@ from __future__ import annotations
 import hashlib
 import os
 import shutil
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -33,8 +32,8 @@ from textloom.llm.induced import suffixes
 WINDOW, GRAM = 400, 32
 #: A repeated passage has at least this many bytes and whole words; words are rarely so short that the bytes would not let one through.
 PASSAGE_BYTES, PASSAGE_WORDS = 200, 51
-#: Text that is sorted at once, unless one anchor has more; beyond IN_MEMORY it is mapped from a file.
-SHARD_BYTES, IN_MEMORY = 1 << 19, 64 << 20
+#: Text that is sorted at once, unless one anchor has more; and what of a sort's queues and arrays stays in memory.
+SHARD_BYTES, MEMORY = 1 << 19, 16 << 20
 #: An anchor with more than this in its distinct runs is hot.
 HOT_BYTES = 4 << 20
 #: Windows of a hot anchor's blocks, from round to round.
@@ -96,12 +95,12 @@ def all_runs(docs: DataFrame, window: int, gram: int) -> DataFrame:
     return batches(docs).mapInPandas(run, RUNS)
 
 
-def marks(pieces: list[tuple[bytes, int, bool]], window: int, folder: str | None) -> list[list[tuple[int, int]]]:
+def marks(pieces: list[tuple[bytes, int, bool]], window: int, folder: str | None, memory: int = MEMORY) -> list[list[tuple[int, int]]]:
     """For each piece (bytes, windows, wanted): the stretches of windows that occur elsewhere in the pieces; none where not wanted."""
     sizes = np.array([len(p[0]) + 1 for p in pieces], np.int64)
     total, own = int(sizes.sum()) + 1, None
     try:
-        if total > IN_MEMORY and folder:
+        if 2 * total > memory // 4 and folder:
             own = os.path.join(folder, f"text-{uuid.uuid4().hex}")
             os.makedirs(own)
             t = np.memmap(os.path.join(own, "t"), np.uint16, "w+", shape=(total,))
@@ -115,7 +114,7 @@ def marks(pieces: list[tuple[bytes, int, bool]], window: int, folder: str | None
         t[-1] = 0
         again = np.zeros(total, bool)
         last = None
-        for position, common in suffixes(t, window, folder):
+        for position, common in suffixes(t, window, folder, memory):
             i = np.flatnonzero(common >= window)
             again[position[i]] = True
             again[position[i[i > 0] - 1]] = True
@@ -136,7 +135,7 @@ def sort_shards(pieces: DataFrame, window: int, shard_bytes: int, folder: str) -
     """anchor, run, low, high: the stretches (relative to the run) of windows that occur elsewhere, of pieces (anchor, run, n, windows, bytes)."""
 
     def flush(held: list) -> pd.DataFrame:
-        place = folder.removeprefix("file://") if folder.startswith("file://") else tempfile.gettempdir()  # queues of this task only
+        place = folder.removeprefix("file://") if folder.startswith("file://") else None  # queues of this task only; in memory where the shared store has no files
         found = marks([(x[4], x[3], x[2] == 1) for x in held], window, place)
         release()
         rows = [(x[0], x[1], a, b) for x, spans in zip(held, found, strict=True) for a, b in spans]
