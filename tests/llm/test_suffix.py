@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from textloom.llm import suffixdedup
+from textloom.llm import induced, suffixdedup
 from textloom.llm.induced import suffixes
 from textloom.llm.suffixdedup import dedup
 
@@ -30,6 +30,37 @@ def test_order_and_common_prefixes(seed, tmp_path):
     assert not any(tmp_path.iterdir())
 
 
+@pytest.mark.parametrize("names", [3, 1 << 15])
+def test_numbers_in_order(names, monkeypatch):
+    """The recursion on names: any numbers, also few, all equal and in periods, in blocks of few and of many."""
+    monkeypatch.setattr(induced, "NAMES", names)
+    rng = np.random.default_rng(names)
+    for k in range(120):
+        r = rng.integers(0, int(rng.integers(1, 60)), int(rng.integers(1, 150)))
+        r = [r, np.tile(r[:7], 20), np.zeros(len(r), np.int64), np.sort(r)[::-1]][k % 4]
+        line = r.tolist()
+        assert induced.order_of(r, induced.Space(None, 1 << 20)).tolist() == sorted(range(len(line)), key=lambda i: line[i:])
+
+
+def test_shard_of_many_times_the_memory(tmp_path, monkeypatch):
+    """Queues, names' queues and arrays all go to disk, and the order is that of sorting in memory."""
+    rng = np.random.default_rng(8)
+    t = np.concatenate([rng.integers(2, 30, 20_000), np.tile(rng.integers(2, 30, 900), 30), np.full(3000, 7), rng.integers(2, 5, 20_000), [0]]).astype(np.uint16)
+    written = []
+    monkeypatch.setattr(induced.Queues, "_spill", lambda self, f=induced.Queues._spill: written.append("queue") or f(self))
+    monkeypatch.setattr(induced.Space, "path", lambda self, f=induced.Space.path: written.append("array") or f(self))
+    monkeypatch.setattr(induced, "NAMES", 500)
+    whole = [np.concatenate(x) for x in zip(*suffixes(t, 400), strict=True)]
+    assert not written
+    parts = [np.concatenate(x) for x in zip(*suffixes(t, 400, str(tmp_path), 1 << 13), strict=True)]
+    assert t.nbytes > 15 * (1 << 13) and written.count("queue") > 20 and written.count("array") > 20 and not any(tmp_path.iterdir())
+    assert (parts[0] == whole[0]).all() and (parts[1] == whole[1]).all()
+    line = t.tobytes()
+    order = whole[0][::-1].tolist()
+    deep = [np.frombuffer(line, np.uint16)[i : i + 400].astype(">u2").tobytes() for i in order]
+    assert all(a <= b for a, b in zip(deep, deep[1:], strict=False)) and sorted(order) == list(range(len(t)))
+
+
 def brute(texts, window):
     seen = Counter(t[i : i + window] for t in texts for i in range(len(t) - window + 1))
     out = []
