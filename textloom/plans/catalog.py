@@ -594,28 +594,21 @@ def q_abstention_calibration(spark, sf_dir):
     return evaluate.abstention(demo.rows(spark, sf_dir), F.col("doc_id") % 9 == 0, F.col("b_label") == F.col("truth"))
 
 
-@query(f"""WITH {_SUSPECT}, m AS (SELECT 'seeded_recall' AS name, (SELECT count(*) FROM suspected JOIN base USING (doc_id) WHERE vendor <> truth)::DOUBLE / (SELECT count(*) FROM base WHERE vendor <> truth) AS value
-  UNION ALL SELECT 'leaks', 0.0 UNION ALL SELECT 'delta_points', NULL)
-SELECT name, value, bound, CASE WHEN value IS NULL THEN 'not evaluable' WHEN (name = 'leaks' AND value <= bound) OR (name <> 'leaks' AND value >= bound) THEN 'pass' ELSE 'FAIL' END AS result
-FROM (SELECT *, CASE name WHEN 'seeded_recall' THEN 0.85 WHEN 'leaks' THEN 0.0 ELSE 5.0 END::DOUBLE AS bound FROM m)""")
-def q_release_gates(spark, sf_dir):
-    recall = q_seeded_error_recall(spark, sf_dir).select(F.lit("seeded_recall").alias("name"), F.col("recall").alias("value"))
-    rest = spark.sql("SELECT 'leaks' AS name, CAST(0 AS DOUBLE) AS value UNION ALL SELECT 'delta_points', CAST(NULL AS DOUBLE)")
-    return evaluate.gates(recall.unionByName(rest))
+def gate_values(spark: SparkSession, sf_dir: str, near: bool) -> DataFrame:
+    """name and value of every gate, from the whole tables; `near` takes near duplicates in place of exact copies."""
+    named = lambda df, name, value: df.select(F.lit(name).alias("name"), value.cast("double").alias("value"))
+    cost = demo.costs(spark, sf_dir).agg((F.coalesce(F.sum("usd"), F.lit(0)) / 1_000_000).alias("usd"))
+    out = named(evaluate.delta_points(q_eval_accuracy(spark, sf_dir, near=near)), "delta_points", F.col("delta_points"))
+    for part in (named(q_seeded_error_recall(spark, sf_dir), "seeded_recall", F.col("recall")), named(q_pii_leaks_after_scrub(spark, sf_dir), "leaks", F.coalesce("after", F.lit(0))),
+                 named((q_near_duplicate_recall if near else q_duplicate_recall)(spark, sf_dir), "duplicate_recall", F.col("recall")), named(cost, "cost_usd", F.col("usd"))):
+        out = out.unionByName(part)
+    return out
 
 
 @query()
 def q_near_release_gates(spark, sf_dir):
     """All gates over the whole tables; accuracies and duplicates are those of near-duplicate clusters."""
-    named = lambda df, name, value: df.select(F.lit(name).alias("name"), value.cast("double").alias("value"))
-    accuracy = q_eval_accuracy(spark, sf_dir, near=True).agg((100 * (F.max(F.when(F.col("name") == "v2", F.col("value"))) - F.max(F.when(F.col("name") == "v1", F.col("value"))))).alias("d"))
-    cost = demo.costs(spark, sf_dir).agg((F.coalesce(F.sum("usd"), F.lit(0)) / 1_000_000).alias("usd"))
-    parts = [named(q_seeded_error_recall(spark, sf_dir), "seeded_recall", F.col("recall")), named(q_pii_leaks_after_scrub(spark, sf_dir), "leaks", F.coalesce("after", F.lit(0))),
-             named(q_near_duplicate_recall(spark, sf_dir), "duplicate_recall", F.col("recall")), named(cost, "cost_usd", F.col("usd"))]
-    out = named(accuracy, "delta_points", F.col("d"))
-    for part in parts:
-        out = out.unionByName(part)
-    return evaluate.gates(out)
+    return evaluate.gates(gate_values(spark, sf_dir, near=True))
 
 
 # Export
@@ -894,6 +887,18 @@ def q_accuracy_delta(spark, sf_dir):
     return evaluate.delta_points(q_eval_accuracy(spark, sf_dir))
 
 
+_GATE_VALUES = " UNION ALL ".join(f"SELECT '{name}' AS name, (SELECT {value} FROM ({_SQL[of]}))::DOUBLE AS value" for name, of, value in (
+    ("delta_points", "accuracy_delta", "delta_points"), ("seeded_recall", "seeded_error_recall", "recall"), ("leaks", "pii_leaks_after_scrub", "coalesce(after, 0)"), ("duplicate_recall", "duplicate_recall", "recall")))
+_BOUNDS = " ".join(f"WHEN '{k}' THEN {v}" for k, (_, v) in evaluate.GATES.items())
+_LEAST = ", ".join(f"'{k}'" for k, (op, _) in evaluate.GATES.items() if op == ">=")
+
+
+@query(f"""WITH m AS ({_GATE_VALUES} UNION ALL SELECT 'cost_usd', (WITH {RUNS} SELECT coalesce(sum(usd), 0)::DOUBLE / 1000000 FROM runs)), x AS (SELECT *, CASE name {_BOUNDS} END::DOUBLE AS bound FROM m)
+SELECT name, value, bound, CASE WHEN value IS NULL THEN 'not evaluable' WHEN CASE WHEN name IN ({_LEAST}) THEN value >= bound ELSE value <= bound END THEN 'pass' ELSE 'FAIL' END AS result FROM x""")
+def q_release_gates(spark, sf_dir):
+    return evaluate.gates(gate_values(spark, sf_dir, near=False))
+
+
 @query(f"WITH {BASE} SELECT doc_id FROM base WHERE a_abstain INTERSECT SELECT doc_id FROM base WHERE doc_id % 9 = 0")
 def q_set_abstained_ambiguous(spark, sf_dir):
     rows = demo.rows(spark, sf_dir)
