@@ -2,7 +2,11 @@
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame that is written
 and read again as the next stage's docs. All but the last return the columns
-of documents. A null text counts as empty, and keeps so, in every stage.
+of documents. In every stage a null text counts as empty, and keeps so; texts
+of any length are read whole; an empty table gives an empty table; columns
+other than those of documents are not read, whatever their names; rows without
+a doc_id, and rows that share one, are judged each for itself unless a stage
+says otherwise.
 """
 
 from __future__ import annotations
@@ -18,14 +22,24 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier, learnt from this input's labelled rows, does not find toxic."""
+    """Documents that the classifier, learnt from this input's labelled rows, does not find toxic.
+
+    Rows that repeat share their score, so all go or all stay; a score of
+    exactly TOXIC_FROM goes. Without labels every document stays.
+    """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic").where(~toxicity.held_out())
     model = toxicity.train(docs, labels)
     return toxicity.score(docs, model, COLUMNS).where(F.col("score") < toxicity.TOXIC_FROM).select(*COLUMNS)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group: that of the smallest doc_id, and of its texts the first; of rows that share doc_id and text, one."""
+    """One document of each near-duplicate group: that of the smallest doc_id, and of its texts the first.
+
+    Of rows that share doc_id and text one stays, that of the least other
+    columns; where a doc_id stands on unlike texts, each of them is compared. A
+    row without a doc_id stays, as does an empty text, which is linked with
+    nothing.
+    """
     if docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").isEmpty():
         kept = near.group(docs).where("kept").select(F.col("doc_id").alias("_id"))
         return docs.join(stash(kept, "pipeline-kept"), docs["doc_id"].eqNullSafe(F.col("_id")), "left_semi").select(*COLUMNS)
@@ -40,21 +54,33 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document, without passages of over 50 words that occur elsewhere; characters that are cut through go as well."""
+    """Every document, without passages of over 50 words that occur elsewhere; characters that are cut through go as well.
+
+    Every place of a passage is cut, also of those in one document and in rows
+    that repeat; no row goes, though its text may become empty. Nothing depends
+    on an order, so ties need no rule.
+    """
     rows = suffixdedup.dedup(docs, suffixdedup.PASSAGE_BYTES, keep=("text", "lang", "source", "n_chars"), texts=True, least_words=suffixdedup.PASSAGE_WORDS)
     cut = F.col("n_removed") > 0
     return rows.select("doc_id", F.when(cut, F.col("kept")).otherwise(F.col("text")).alias("text"), "lang", "source", F.when(cut, F.length("kept")).otherwise(F.col("n_chars")).cast("long").alias("n_chars"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them, none to three times; those without words stay once, as they weigh nothing."""
+    """Documents as often as the mix takes them, none to three times; those without words stay once, as they weigh nothing.
+
+    Which documents of a length are taken follows a seeded hash of doc_id and
+    text; of rows that are equal in both it makes no difference which.
+    """
     rows = mixing.mix(docs, keep=("text", "lang", "n_chars"))
     times = F.when(F.col("size") == 0, 1).otherwise(F.col("copies"))
     return rows.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), times))).select(*COLUMNS)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of every document and their places in sequences."""
+    """The pieces of every document and their places in sequences; rows that repeat are packed each for itself.
+
+    Pieces of equal length are interchangeable; which goes where follows a hash.
+    """
     return packing.pack(docs)
 
 
