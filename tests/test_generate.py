@@ -7,8 +7,13 @@ from textloom.operators import generate, review, similarity
 SMALL = {"ambiguous": 3, "canonical": 6, "duplicate": 6, "pii": 12, "multilingual": 4, "error": 7}
 
 
-def test_planted_tickets(spark):
-    rows = generate.tickets(spark, 300, 9, SMALL)
+@pytest.fixture(scope="module")
+def rows(spark):
+    made = generate.tickets(spark, 300, 9, SMALL)
+    return spark.createDataFrame(made.collect(), made.schema).coalesce(1)
+
+
+def test_planted_tickets(spark, rows):
     got = {r["name"]: r["n"] for r in generate.manifest(rows).collect()}
     assert {k: got[f"kind {k}"] for k in SMALL} == SMALL and sum(n for k, n in got.items() if k.startswith("class ")) == 300
     checks = generate.checks(rows, 300, SMALL).collect()
@@ -19,8 +24,7 @@ def test_planted_tickets(spark):
     assert sorted(map(tuple, rows.collect()), key=str) == sorted(map(tuple, generate.tickets(spark, 300, 9, SMALL).repartition(7).collect()), key=str)
 
 
-def test_checks_find_what_is_wrong(spark):
-    rows = generate.tickets(spark, 300, 9, SMALL)
+def test_checks_find_what_is_wrong(rows):
     wrong = {
         "errors are wrong": rows.withColumn("vendor", F.col("truth")), "no other errors": rows.withColumn("vendor", F.lit("x")), "alternates differ": rows.withColumn("alternate", F.col("truth")),
         "spans are on the spot": rows.withColumn("body", F.concat(F.lit("x"), "body")), "no other mixed scripts": rows.withColumn("body", F.lit(generate.ARABIC[0])), "size": rows.where("doc_id > 0"),
@@ -29,8 +33,8 @@ def test_checks_find_what_is_wrong(spark):
         assert not {r["name"]: r["ok"] for r in generate.checks(bad, 300, SMALL).collect()}[name], name
 
 
-def test_scripts_take_turns(spark):
-    body = generate.tickets(spark, 300, 9, SMALL).where("kind = 'multilingual'").first()["body"]
+def test_scripts_take_turns(rows):
+    body = rows.where("kind = 'multilingual'").first()["body"]
     places = [body.index(a) for a in generate.ARABIC]
     assert places[0] == 0 and places == sorted(places) and body.endswith(generate.ARABIC[2]) and places[1] > len(generate.ARABIC[0]) + 10
 
