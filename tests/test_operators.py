@@ -158,6 +158,33 @@ def test_cosine_pairs_match_all_pairs(spark, small):
     assert all(first[a] == first[b] or tuple(sorted((first[a], first[b]))) in got for a, b in want)
 
 
+def test_near_duplicates_by_brute_force(spark, small):
+    """Every pair of documents by cosine and token-set ratio, against pairs of classes and the clusters that they make."""
+    docs = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text")
+    texts = {r["doc_id"]: r["t"] for r in docs.select("doc_id", T.normalize(F.col("text")).alias("t")).collect()}
+    w = similarity.weights(docs).select("doc_id", "term", "w").toPandas()
+    vectors = {i: dict(zip(g["term"], g["w"], strict=True)) for i, g in w.groupby("doc_id")}
+    linked = set()
+    for i, x in vectors.items():
+        for j, y in vectors.items():
+            if i < j and sum(v * y.get(t, 0) for t, v in x.items()) >= 0.85 - 1e-9 and similarity.token_set_ratio(texts[i], texts[j]) >= 90 - 1e-9:
+                linked.add((i, j))
+    members = similarity.classes(docs)
+    first = {r["doc_id"]: r["first"] for r in members.collect()}
+    pairs = similarity.near_duplicates(docs, members=members)
+    assert {(r["a"], r["b"]) for r in pairs.collect()} == {(a, b) for a, b in linked if first[a] == a and first[b] == b}
+    top = {i: i for i in vectors}
+    changed = True
+    while changed:
+        changed = False
+        for a, b in linked:
+            least = min(top[a], top[b])
+            changed |= top[a] != least or top[b] != least
+            top[a] = top[b] = least
+    ends = {i for p in linked for i in p}
+    assert {r["doc_id"]: r["component"] for r in similarity.document_clusters(pairs, members).collect()} == {i: top[i] for i in ends} and ends
+
+
 def test_clusters(spark):
     pairs = spark.createDataFrame([(3, 2), (2, 1), (5, 9), (9, 10)], "a long, b long")
     assert {r["doc_id"]: r["component"] for r in similarity.clusters(pairs).collect()} == {1: 1, 2: 1, 3: 1, 5: 5, 9: 5, 10: 5}
