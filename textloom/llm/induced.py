@@ -355,18 +355,21 @@ def order_of(r: np.ndarray, space: Space) -> np.ndarray:
 def star_order(t: np.ndarray, star: np.ndarray, cap: int, space: Space) -> tuple[np.ndarray, np.ndarray]:
     """Indices of S* suffixes in order, and what each shares with the one before, as deep as cap symbols."""
     order = order_of(names(t, star, int(t.max()) + 1), space)
-    common = space.array(len(order), np.uint16)
+    common, packed = space.array(len(order), np.uint16), space.array(len(t), np.uint64)
+    for j in range(min(4, len(t))):  # four symbols are compared at once; two that hold the last symbol differ
+        packed[: len(t) - j] |= t[j:].astype(np.uint64) << np.uint64(48 - 16 * j)
     for a in range(1, len(order), BLOCK):
         x, y = star[order[a : a + BLOCK]], star[order[a - 1 : a - 1 + BLOCK][: len(order[a : a + BLOCK])]]
-        i, k = np.arange(len(x)), 0
-        deep = np.zeros(len(x), np.uint16)
+        i, k, deep = np.arange(len(x)), 0, np.full(len(x), cap)
         while len(i) and k < cap:
-            p, q = x[i] + k, y[i] + k
-            same = (p < len(t)) & (q < len(t))
-            same &= t[np.minimum(p, len(t) - 1)] == t[np.minimum(q, len(t) - 1)]
-            i, k = i[same], k + 1
-            deep[i] = k
-        common[a : a + len(deep)] = deep
+            differ = packed[x] ^ packed[y]
+            same = differ == 0
+            if not same.all():
+                at, d = i[~same], differ[~same]
+                deep[at] = k + (d >> np.uint64(48) == 0).astype(np.int64) + (d >> np.uint64(32) == 0) + (d >> np.uint64(16) == 0)
+                i, x, y = i[same], x[same], y[same]
+            x, y, k = x + 4, y + 4, k + 4
+        common[a : a + len(deep)] = np.minimum(deep, cap)
     return order, common
 
 

@@ -33,7 +33,7 @@ WINDOW, GRAM = 400, 32
 #: A repeated passage has at least this many bytes and whole words; words are rarely so short that the bytes would not let one through.
 PASSAGE_BYTES, PASSAGE_WORDS = 200, 51
 #: Text that is sorted at once, unless one anchor has more; and what of a sort's queues and arrays stays in memory.
-SHARD_BYTES, MEMORY = 1 << 19, 16 << 20
+SHARD_BYTES, MEMORY = 1 << 19, 64 << 20
 #: An anchor with more than this in its distinct runs is hot.
 HOT_BYTES = 4 << 20
 #: Windows of a hot anchor's blocks, from round to round.
