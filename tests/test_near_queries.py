@@ -69,7 +69,7 @@ def test_missed_copies_lower_the_recall(spark, folder, monkeypatch):
     got = rows_of("near_duplicate_recall", spark, folder)[0]
     assert got["pairs"] == 18 and 0 < got["found"] <= 18 and got["clusters"] >= 40 and got["unmatched"] >= 40 and got["explained"] < 40
     ratio = similarity.near_duplicates
-    monkeypatch.setattr(similarity, "near_duplicates", lambda docs: ratio(docs).where("cosine > 0.999999"))
+    monkeypatch.setattr(similarity, "near_duplicates", lambda docs, **more: ratio(docs, **more).where("cosine > 0.999999"))
     worse = rows_of("near_duplicate_recall", spark, folder)[0]
     assert worse["pairs"] == 18 and worse["found"] < got["found"]
 
