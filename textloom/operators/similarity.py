@@ -2,43 +2,114 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from textloom.functions import text as T
-from textloom.sources.tables import written
+from textloom.sources.tables import release, written
 
 COSINE, RATIO, SLACK = 0.85, 90, 1e-9
 
 
-def term_counts(docs: DataFrame) -> DataFrame:
-    """doc_id, term, tf of docs (doc_id, text); null texts have none."""
-    return docs.select("doc_id", F.explode(T.terms(F.coalesce("text", F.lit(""))))).groupBy("doc_id", F.col("col").alias("term")).agg(F.count(F.lit(1)).alias("tf"))
+#: Bytes of normalised text that are counted at once; ids of documents that may be broadcast.
+CHUNK, MOST_IDS = 8 << 20, 1 << 20
 
 
-def _vectors(counts: DataFrame, n: DataFrame) -> DataFrame:
-    """doc_id and v, an array of (o, term, df, w) from common to rare terms, of counts (doc_id, term, tf, times) of n (n) documents.
+def _dealt(docs: DataFrame, firsts: DataFrame | None = None) -> tuple[DataFrame, int]:
+    """chunk, doc_id, text (normalised) and times of docs (doc_id, text), and how many docs there are.
 
-    `times` says how many documents a row stands for. One row a document: a
-    posting is shuffled twice, by term and by document.
+    All rows of a doc_id are in one chunk, of about CHUNK bytes. firsts (doc_id,
+    times) names documents that stand for several; they come as rows of their own, without text.
     """
-    df = counts.groupBy("term").agg(F.sum("times").alias("df"))
-    raw = counts.join(df, "term").join(F.broadcast(n), F.lit(True)).select(
-        "doc_id", F.struct((-F.col("df")).alias("o"), "term", "df", ((1 + F.log("tf")) * (F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1)).alias("r")).alias("x"))
-    rows = raw.groupBy("doc_id").agg(F.array_sort(F.collect_list("x")).alias("x"))
-    norm = F.sqrt(F.aggregate(F.transform("x", lambda x: x["r"] * x["r"]), F.lit(0.0), lambda t, x: t + x))
-    rows = rows.withColumn("norm", norm)
-    return rows.select("doc_id", F.transform("x", lambda x: F.struct(x["o"].alias("o"), x["term"].alias("term"), x["df"].alias("df"), (x["r"] / F.when(F.col("norm") == 0, 1.0).otherwise(F.col("norm"))).alias("w"))).alias("v"))
+    spark = docs.sparkSession
+    n, size = docs.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    chunk = F.pmod(F.xxhash64("doc_id"), F.lit(max(4 * spark.sparkContext.defaultParallelism, -(-size // CHUNK)))).cast("int").alias("chunk")
+    rows = docs.select(chunk, "doc_id", T.normalize(F.coalesce("text", F.lit(""))).alias("text"), F.lit(None).cast("long").alias("times"))
+    return rows if firsts is None else rows.unionByName(firsts.select(chunk, "doc_id", F.lit(None).cast("string").alias("text"), "times")), n
 
 
-def weights(docs: DataFrame) -> DataFrame:
-    """doc_id, term, df, w: (1 + ln tf) * (ln((n + 1) / (df + 1)) + 1), scaled to length one."""
-    vectors = _vectors(term_counts(docs).withColumn("times", F.lit(1).cast("long")), docs.agg(F.count(F.lit(1)).alias("n")))
-    return vectors.select("doc_id", F.explode("v").alias("v")).select("doc_id", "v.term", "v.df", "v.w")
+def _postings(rows: pa.Table, named_only: bool) -> tuple[pa.Array, pa.Array, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The documents and the terms of a chunk; each posting's document and term by their numbers, in this order, and tf; how many documents each one stands for.
+
+    `named_only` leaves out documents that have no row with times, and of equal doc_ids all but one.
+    """
+    given = pc.is_null(rows["text"]).combine_chunks()
+    texts, named = rows.filter(pc.invert(given)), rows.filter(given)
+    ids = pc.dictionary_encode(texts["doc_id"].combine_chunks(), null_encoding="encode")
+    number, ids = ids.indices.to_numpy(), ids.dictionary
+    times = np.ones(len(ids), np.int64)
+    if named_only:
+        at = pc.index_in(ids, value_set=named["doc_id"].combine_chunks()).fill_null(-1).to_numpy()
+        times = np.append(named["times"].to_numpy(), 0)[at]
+        once = np.zeros(len(number), bool)
+        once[np.unique(number, return_index=True)[1]] = True
+        once &= times[number] > 0
+        texts, number = texts.filter(pa.array(once)), number[once]
+    lists = pc.split_pattern(texts["text"].combine_chunks(), " ")
+    doc, words = np.repeat(number, pc.list_value_length(lists).to_numpy()), lists.flatten()
+    long = pc.greater(pc.utf8_length(words), 2)
+    coded = words.filter(long).dictionary_encode()
+    key, tf = np.unique(doc[long.to_numpy(zero_copy_only=False)].astype(np.int64) * max(1, len(coded.dictionary)) + coded.indices.to_numpy(), return_counts=True)
+    doc, word = np.divmod(key, max(1, len(coded.dictionary)))
+    return ids, coded.dictionary, doc, word, tf, times
+
+
+def _found(dealt: DataFrame, named_only: bool = False) -> DataFrame:
+    """chunk, term and n of rows by chunk: how many of the chunk's documents have the term."""
+    def run(key: tuple, rows: pa.Table) -> pa.Table:
+        _, words, doc, word, _, times = _postings(rows, named_only)
+        n = np.bincount(word, times[doc], len(words)).astype(np.int64)
+        return pa.table({"chunk": pa.array(np.full(len(n), key[0].as_py(), np.int32)), "term": words, "n": n})
+
+    return dealt.groupBy("chunk").applyInArrow(run, "chunk int, term string, n long")
+
+
+def doc_freq(docs: DataFrame) -> DataFrame:
+    """term, df of docs (doc_id, text): in how many documents it occurs. A chunk sends each of its terms once."""
+    return _found(_dealt(docs)[0]).groupBy("term").agg(F.sum("n").alias("df"))
+
+
+def _weighed(docs: DataFrame, schema: str, out: Callable[..., pa.Table], firsts: DataFrame | None = None) -> DataFrame:
+    """out(ids, words, hashes, doc, word, df, w) of each chunk: its postings and their weights; hashes of terms that occur in one document only are 0.
+
+    Neither a posting nor a vector is shuffled: a chunk sends each of its terms
+    once and gets the df of those that are in several documents. Texts are dealt out once.
+    """
+    dealt, n = _dealt(docs, firsts)
+    named_only = firsts is not None
+    several = _found(dealt, named_only).withColumn("df", F.sum("n").over(Window.partitionBy("term"))).where("df > 1").select("chunk", "term", "df", F.xxhash64("term").alias("t"))
+
+    def run(rows: pa.Table, several: pa.Table) -> pa.Table:
+        ids, words, doc, word, tf, _ = _postings(rows, named_only)
+        at = pc.index_in(words, value_set=several["term"].combine_chunks()).fill_null(len(several)).to_numpy()
+        df, t = np.append(several["df"].to_numpy(), 1)[at], np.append(several["t"].to_numpy(), 0)[at]
+        r = (1 + np.log(tf)) * (np.log((n + 1) / (df + 1)) + 1)[word]
+        norm = np.sqrt(np.bincount(doc, r * r, len(ids)))
+        return out(ids, words, t, doc, word, df, r / np.where(norm == 0, 1.0, norm)[doc])
+
+    return dealt.groupBy("chunk").cogroup(several.groupBy("chunk")).applyInArrow(run, schema)
+
+
+def weights(docs: DataFrame, most: int | None = None) -> DataFrame:
+    """doc_id, term, df, w: (1 + ln tf) * (ln((n + 1) / (df + 1)) + 1), scaled to length one; with `most`, each document's terms of greatest w, to nine places, then by term."""
+    def out(ids: pa.Array, words: pa.Array, t: np.ndarray, doc: np.ndarray, word: np.ndarray, df: np.ndarray, w: np.ndarray) -> pa.Table:
+        if most is not None:
+            place = np.empty(len(words), np.int64)
+            place[pc.array_sort_indices(words.cast(pa.binary())).to_numpy()] = np.arange(len(words))
+            order = np.lexsort((place[word], -np.round(w, 9), doc))
+            starts = np.searchsorted(doc, doc)
+            order = order[np.arange(len(doc)) - starts < most]
+            doc, word, w = doc[order], word[order], w[order]
+        return pa.table({"doc_id": ids.take(pa.array(doc)), "term": words.take(pa.array(word)), "df": df[word], "w": w})
+
+    return _weighed(docs, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, term string, df long, w double", out)
 
 
 def classes(docs: DataFrame) -> DataFrame:
@@ -56,23 +127,42 @@ def cosine_pairs(docs: DataFrame, least: float = COSINE, members: DataFrame | No
     length one that reach the threshold share a term among those before which
     each one's remaining length is still at least the threshold, so only these
     prefixes are joined. A prefix shorter than all terms keeps frequent terms,
-    the hot keys, out of the join. Candidates are confirmed on all terms.
+    the hot keys, out of the join. Candidates that the rarest shared term rules
+    out go before they are shuffled; the others are confirmed on all terms.
     """
     members = classes(docs) if members is None else members
     firsts = members.where("doc_id = first").select("doc_id", F.col("n").alias("times")).dropDuplicates(["doc_id"])
-    counts = term_counts(docs.join(firsts, "doc_id", "left_semi").dropDuplicates(["doc_id"])).join(firsts, "doc_id")
-    # One row a document: its terms from common to rare, with the length of the vector up to each.
-    vectors = _vectors(counts, docs.agg(F.count(F.lit(1)).alias("n"))).select("doc_id", F.transform("v", lambda x: F.xxhash64(x["term"])).alias("t"), F.col("v.w").alias("w"))
+
+    def rows(ids: pa.Array, words: pa.Array, t: np.ndarray, doc: np.ndarray, word: np.ndarray, df: np.ndarray, w: np.ndarray) -> pa.Table:
+        # Terms of one document only count for its length but are shared with none.
+        some = df[word] > 1
+        doc, word, w = doc[some], word[some], w[some]
+        reach = np.sqrt(np.bincount(doc, w * w, len(ids))) >= least - SLACK
+        doc, word, w = doc[reach[doc]], word[reach[doc]], w[reach[doc]]
+        order = np.lexsort((t[word], -df[word], doc))
+        ends = np.append(0, np.cumsum(np.bincount(doc, minlength=len(ids))[reach])).astype(np.int32)
+        lists = lambda x: pa.ListArray.from_arrays(pa.array(ends), pa.array(x[order]))
+        return pa.table({"doc_id": ids.filter(pa.array(reach)), "t": lists(t[word]), "w": lists(w)})
 
     def prefixes(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             # The vector up to a term is what remains of it from that term on, seen from the rare end.
-            kept = [t[np.sqrt(np.cumsum(np.square(x))) >= least - SLACK] for t, x in zip(part["t"], part["w"], strict=True)]
-            yield pd.DataFrame({"doc_id": np.repeat(part["doc_id"].to_numpy(np.int64), [len(k) for k in kept]), "t": np.concatenate([np.zeros(0, np.int64), *kept])})
-
-    vectors = written(vectors, "similarity-vectors")
-    prefix = vectors.mapInPandas(prefixes, "doc_id long, t long")
-    pairs = prefix.select(F.col("doc_id").alias("a"), "t").join(prefix.select(F.col("doc_id").alias("b"), "t"), "t").where("a < b").select("a", "b").distinct()
+            upto = [np.cumsum(np.square(x)) for x in part["w"]]
+            kept = [np.sqrt(x) >= least - SLACK for x in upto]
+            flat = lambda xs, z: np.concatenate([np.zeros(0, z), *[x[k] for x, k in zip(xs, kept, strict=True)]])
+            w = flat(part["w"], np.float64)
+            yield pd.DataFrame({"doc_id": np.repeat(part["doc_id"].to_numpy(np.int64), [k.sum() for k in kept]), "t": flat(part["t"], np.int64), "w": w, "rest": np.sqrt(np.maximum(0, flat(upto, np.float64) - w * w))})
+
+    # One row a document that can reach the threshold: its terms from common to rare.
+    vectors = written(_weighed(docs, "doc_id long, t array<long>, w array<double>", rows, firsts), "similarity-vectors")
+    release(docs.sparkSession)
+    prefix = vectors.mapInPandas(prefixes, "doc_id long, t long, w double, rest double")
+    ends = [prefix.select("t", *[F.col(c).alias(f"{c}_{x}") for c in ("doc_id", "w", "rest")]) for x in "ab"]
+    # The rarest term that two vectors share bounds their product: what is shared beyond it is at most the rests' product.
+    near = ends[0].join(ends[1], "t").where((F.col("doc_id_a") < F.col("doc_id_b")) & (F.col("w_a") * F.col("w_b") + F.col("rest_a") * F.col("rest_b") >= least - SLACK))
+    pairs = written(near.select(F.col("doc_id_a").alias("a"), F.col("doc_id_b").alias("b")).distinct(), "similarity-candidates")
+    release(docs.sparkSession)
+    vectors = _ends(pairs, vectors)
     side = lambda x: vectors.select(F.col("doc_id").alias(x), F.col("t").alias(f"t{x}"), F.col("w").alias(f"w{x}"))
 
     def products(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -88,6 +178,13 @@ def cosine_pairs(docs: DataFrame, least: float = COSINE, members: DataFrame | No
     return pairs.join(side("a"), "a").join(side("b"), "b").mapInPandas(products, "a long, b long, cosine double")
 
 
+def _ends(pairs: DataFrame, rows: DataFrame) -> DataFrame:
+    """The rows (doc_id) of documents in pairs (a, b; written), so that no others are shuffled; up to MOST_IDS ids go to the rows."""
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    few = ids.count() <= MOST_IDS
+    return rows.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
+
+
 def _lcs(a: str, b: str) -> int:
     """Length of the longest common subsequence, one bit a character."""
     masks: dict[str, int] = {}
@@ -122,8 +219,8 @@ def token_set_ratio(a: str, b: str, least: float = 0.0) -> float:
 
 def near_duplicates(docs: DataFrame, cosine: float = COSINE, ratio: float = RATIO, members: DataFrame | None = None) -> DataFrame:
     """a, b, cosine, ratio of the pairs of classes whose cosine and token-set ratio both reach their thresholds."""
-    pairs = cosine_pairs(docs, cosine, members)
-    texts = docs.select("doc_id", T.normalize(F.coalesce("text", F.lit(""))).alias("t")).dropDuplicates(["doc_id"])
+    pairs = written(cosine_pairs(docs, cosine, members), "similarity-pairs")
+    texts = _ends(pairs, docs).select("doc_id", T.normalize(F.coalesce("text", F.lit(""))).alias("t")).dropDuplicates(["doc_id"])
     both = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("t").alias("ta")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("t").alias("tb")), "b")
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

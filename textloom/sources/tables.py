@@ -61,9 +61,14 @@ def discard(*tables: DataFrame) -> None:
         for folder in {f.rpartition("/")[0] for f in table.inputFiles()}:
             path = table.sparkSession._jvm.org.apache.hadoop.fs.Path(folder)
             path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+    if tables:
+        release(tables[0].sparkSession)
+
+
+def release(spark: SparkSession) -> None:
+    """Deletes shuffles of plans that are no longer held: Spark deletes those of what the driver's JVM has collected."""
     gc.collect()
-    if tables:  # Spark deletes the shuffles of what the driver's JVM has collected
-        tables[0].sparkSession._jvm.System.gc()
+    spark._jvm.System.gc()
 
 
 def spread(df: DataFrame, per_core: int = 8 << 20) -> DataFrame:
