@@ -5,6 +5,7 @@ from collections import Counter
 import pytest
 
 from textloom.operators import similarity
+from textloom.plans import catalog
 
 WORDS = [f"word{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(300)]
 #: Every document has some 100 of 300 words, each of them once; no two are near.
@@ -12,10 +13,15 @@ DOCS = [(i, " ".join(w for j, w in enumerate(WORDS) if (i * i + 7 * i + j * j *
 
 
 @pytest.fixture(scope="module")
-def docs(spark, tmp_path_factory):
+def folder(spark, tmp_path_factory):
     at = str(tmp_path_factory.mktemp("shuffles"))
-    spark.createDataFrame(DOCS, "doc_id long, text string").write.parquet(f"{at}/docs")
-    return spark.read.parquet(f"{at}/docs")
+    spark.createDataFrame(DOCS, "doc_id long, text string").write.parquet(f"{at}/documents.parquet")
+    return at
+
+
+@pytest.fixture(scope="module")
+def docs(spark, folder):
+    return spark.read.parquet(f"{folder}/documents.parquet")
 
 
 def shuffled(spark) -> int:
@@ -42,3 +48,12 @@ def test_weights_shuffle_no_postings(spark, docs):
     df = Counter(w for _, t in DOCS for w in set(t.split()))
     assert all(r["df"] == df[r["term"]] for r in rows)
     assert n < POSTINGS / 3, n
+
+
+def test_best_terms_shuffle_no_postings(spark, folder, docs):
+    rows, n = of(spark, lambda: catalog.queries()["tfidf_weights_topk"](spark, folder))
+    best = {}
+    for r in similarity.weights(docs).collect():
+        best.setdefault(r["doc_id"], []).append((-round(r["w"], 9), r["term"]))
+    assert sorted((r["doc_id"], r["term"]) for r in rows) == sorted((i, t) for i, x in best.items() for _, t in sorted(x)[:3])
+    assert n < POSTINGS / 3, n

@@ -136,18 +136,17 @@ def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_POST} SELECT term, df FROM df ORDER BY df DESC, term LIMIT 100")
 def q_doc_freq(spark, sf_dir):
-    return similarity.term_counts(texts(spark, sf_dir)).groupBy("term").agg(F.count(F.lit(1)).alias("df")).orderBy(F.desc("df"), "term").limit(100)
+    return similarity.doc_freq(texts(spark, sf_dir)).orderBy(F.desc("df"), "term").limit(100)
 
 
 @query(f"WITH {_POST} SELECT doc_id, term, round(w, 6) AS w FROM w QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY round(w, 9) DESC, term) <= 3")
 def q_tfidf_weights_topk(spark, sf_dir):
-    best = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc(F.round("w", 9)), "term"))
-    return similarity.weights(texts(spark, sf_dir)).withColumn("_n", best).where("_n <= 3").select("doc_id", "term", F.round("w", 6).alias("w"))
+    return similarity.weights(texts(spark, sf_dir), 3).select("doc_id", "term", F.round("w", 6).alias("w"))
 
 
 @query(f"WITH {_POST} SELECT term, df FROM df")
 def q_doc_freq_all(spark, sf_dir):
-    return similarity.term_counts(texts(spark, sf_dir)).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    return similarity.doc_freq(texts(spark, sf_dir))
 
 
 @query(f"WITH {_POST} SELECT doc_id, term, df, round(w, 6) AS w FROM w")
