@@ -57,3 +57,14 @@ def test_best_terms_shuffle_no_postings(spark, folder, docs):
         best.setdefault(r["doc_id"], []).append((-round(r["w"], 9), r["term"]))
     assert sorted((r["doc_id"], r["term"]) for r in rows) == sorted((i, t) for i, x in best.items() for _, t in sorted(x)[:3])
     assert n < POSTINGS / 3, n
+
+
+def test_a_document_in_many_pairs_is_sent_once_to_a_group(spark):
+    words = [f"term{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(60)]
+    near = [(i, " ".join([*words[:i], *words[i + 1:]])) for i in range(60)]
+    docs = spark.createDataFrame(near, "doc_id long, text string")
+    rows, _ = of(spark, lambda: similarity.cosine_pairs(docs))
+    assert len(rows) == 60 * 59 // 2
+    pairs = spark.createDataFrame([(r["a"], r["b"], 0) for r in rows], "a long, b long, t long")
+    sizes = similarity._compared(pairs, docs, lambda p, d: p.assign(n=len(d))[["n"]], "n long").collect()
+    assert {r["n"] for r in sizes} == {60} and len(sizes) == len(rows)
