@@ -59,6 +59,12 @@ def test_best_terms_shuffle_no_postings(spark, folder, docs):
     assert n < POSTINGS / 3, n
 
 
+def test_document_frequencies_shuffle_no_postings(spark, folder):
+    rows, n = of(spark, lambda: catalog.queries()["doc_freq_all"](spark, folder))
+    assert {r["term"]: r["df"] for r in rows} == Counter(w for _, t in DOCS for w in set(t.split()))
+    assert n < POSTINGS / 3, n
+
+
 def test_a_document_in_many_pairs_is_sent_once_to_a_group(spark):
     words = [f"term{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(60)]
     near = [(i, " ".join([*words[:i], *words[i + 1:]])) for i in range(60)]
