@@ -1,5 +1,6 @@
 """What the similarity step shuffles: texts and each chunk's terms, not a row for each posting."""
 
+import random
 from collections import Counter
 
 import pytest
@@ -74,3 +75,42 @@ def test_a_document_in_many_pairs_is_sent_once_to_a_group(spark):
     pairs = spark.createDataFrame([(r["a"], r["b"], 0) for r in rows], "a long, b long, t long")
     sizes = similarity._compared(pairs, docs, lambda p, d: p.assign(n=len(d))[["n"]], "n long").collect()
     assert {r["n"] for r in sizes} == {60} and len(sizes) == len(rows)
+
+
+def test_candidates_are_few_more_than_pairs(spark, monkeypatch):
+    """Two of 500 documents are near, yet each shares a rare term with many."""
+    words = [f"{a}{b}{c}" for a in "abcdefghij" for b in "klmnopqrst" for c in "uvwxyzabcd"]
+    texts = [" ".join(random.Random(i).sample(words, 30)) for i in range(499)]
+    docs = spark.createDataFrame([*enumerate(texts), (499, texts[7] + " more")], "doc_id long, text string")
+    written, most = similarity.written, []
+
+    def counted(df, name):
+        out = written(df, name)
+        if name == "similarity-candidates":
+            most.append(out.count())
+        return out
+
+    monkeypatch.setattr(similarity, "written", counted)
+    assert [(r["a"], r["b"]) for r in similarity.cosine_pairs(docs).collect()] == [(7, 499)]
+    assert 1 <= max(most) < 1000, most  # joined by shared terms: 9303
+
+
+#: Twelve groups of texts of 4 to 90 words that differ in a few, and 60 texts of their own.
+GROUPS = [(100 * g + i, " ".join(w for j, w in enumerate(WORDS[20 * g :] + WORDS[: 20 * g]) if j < 4 + 7 * g and (j * 31 + i * 17) % (9 + g) > 0)) for g in range(12) for i in range(25)]
+MIXED = GROUPS + [(5000 + i, " ".join(WORDS[(i * 7 + j * (i + 1)) % 300] for j in range(5 + 3 * i))) for i in range(60)]
+
+
+def test_prefixes_lose_no_pair_and_links_keep_all_clusters(spark):
+    docs = spark.createDataFrame(MIXED, "doc_id long, text string")
+    class_of = {r["doc_id"]: r["first"] for r in similarity.classes(docs).collect()}
+    vectors = {}
+    for r in similarity.weights(docs).collect():
+        vectors.setdefault(r["doc_id"], {})[r["term"]] = r["w"]
+    firsts = sorted(set(class_of.values()))
+    exact = {(a, b): c for k, a in enumerate(firsts) for b in firsts[k + 1 :] if (c := sum(w * vectors[b].get(t, 0) for t, w in vectors[a].items())) >= similarity.COSINE - similarity.SLACK}
+    rows = similarity.cosine_pairs(docs).collect()
+    assert {(r["a"], r["b"]): pytest.approx(r["cosine"]) for r in rows} == exact and len(rows) == len(exact) > 100
+    links = similarity.cosine_links(docs)
+    assert {(r["a"], r["b"]) for r in links.collect()} < set(exact)
+    pairs = spark.createDataFrame(list(exact), "a long, b long")
+    assert {tuple(r) for r in similarity.clusters(links).collect()} == {tuple(r) for r in similarity.clusters(pairs).collect()}
