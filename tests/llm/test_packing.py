@@ -24,6 +24,22 @@ def test_ids_are_the_tokenizers(rows, limit):
     assert len(encoder.words) <= 100_000
 
 
+def test_plain_words_go_to_the_model_alone():
+    """Lower-case words of Latin letters, by far the most, do not take the way through the tokenizer's rules."""
+    encoder, seen = WordEncoder(default_tokenizer()), []
+
+    class Counted:
+        def encode_batch_fast(self, words, **more):
+            seen.extend(words)
+            return tokenizer.encode_batch_fast(words, **more)
+
+    tokenizer, encoder.tokenizer = encoder.tokenizer, Counted()
+    plain = [f"{a}{b}{c}" for a in "abcxyzéßöñŀſÿ" for b in "thñêaŉ" for c in ("ing", "où", "æ", "ª")]
+    ids = list(encoder.encode([" ".join([*plain, "中文", "don't"])]))
+    assert set(seen) == {"中文", "don't"}
+    assert list(ids[0]) == tokenizer.encode(" ".join([*plain, "中文", "don't"]), add_special_tokens=False).ids
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.dictionaries(st.integers(1, 64), st.integers(1, 9), max_size=20))
 def test_plan_uses_every_piece_once(histogram):

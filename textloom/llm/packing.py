@@ -35,6 +35,11 @@ WORD_RULES = {
         {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]},
     "post_processor": None,
 }
+#: The last letter that is taken as Latin here, and for letters the characters that the byte-level rule puts for their bytes.
+LATIN = "\u017f"
+_OWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTE = dict(zip([*_OWN, *(b for b in range(256) if b not in _OWN)], [*_OWN, *range(256, 324)], strict=True))
+BYTES = {c: "".join(chr(_BYTE[b]) for b in chr(c).encode()) for c in range(128, ord(LATIN) + 1)}
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -66,6 +71,8 @@ class WordEncoder:
         self.tokenizer, self.limit, self.new, self.kept = Tokenizer.from_file(path), limit, [], 0
         read = json.loads(self.tokenizer.to_str())
         self.by_word = {k: read[k] for k in WORD_RULES} == WORD_RULES and read["model"].get("end_of_word_suffix") == "</w>"
+        self.model = self.tokenizer.model
+        self.direct = not any(t["content"].strip().isalpha() for t in read["added_tokens"])
         encoder = self
 
         class Words(dict):
@@ -115,7 +122,7 @@ class WordEncoder:
         self.size[number : len(words)] = 0
         for k in range(0, len(leaves), 20_000):
             some = leaves[k : k + 20_000]
-            found = [e.ids for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)]
+            found = self._pieces(some)
             at, sizes = np.array(leaf_at[k : k + 20_000], np.int64), np.fromiter(map(len, found), np.int64, len(found))
             self.at[at, 0], self.size[at, 0] = self._append(np.fromiter(chain.from_iterable(found), np.uint32, int(sizes.sum()))) + np.cumsum(sizes) - sizes, sizes
         if refer:
@@ -124,6 +131,18 @@ class WordEncoder:
                 part = np.array([words[p[k]] for p in refer.values()], np.int64)
                 self.at[which, k], self.size[which, k] = self.at[part, 0], self.size[part, 0]
 
+    def _pieces(self, words: list[str]) -> list[list[int]]:
+        """The ids of each word. The rules leave a lower-case word of Latin letters whole, so the model gets it without them."""
+        merge, found, other = self.model.tokenize, [], []
+        for i, word in enumerate(words):
+            if not self.direct or not word.isalpha() or not word.islower() or not word.isascii() and max(word) > LATIN:
+                other.append(i), found.append([])
+            else:
+                found.append([t.id for t in merge(word if word.isascii() else word.translate(BYTES))])
+        for i, e in zip(other, self.tokenizer.encode_batch_fast([words[i] for i in other], add_special_tokens=False), strict=True):
+            found[i] = e.ids
+        return found
+
     def _append(self, flat: np.ndarray) -> int:
         while self.used + len(flat) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
