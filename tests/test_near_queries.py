@@ -74,6 +74,14 @@ def test_missed_copies_lower_the_recall(spark, folder, monkeypatch):
     assert worse["pairs"] == 18 and worse["found"] < got["found"]
 
 
+def test_tickets_are_generated_once(spark, folder, monkeypatch):
+    """What is searched are tables as they are read, not the plan that makes the tickets."""
+    clusters, seen = catalog.near_clusters, []
+    monkeypatch.setattr(catalog, "near_clusters", lambda docs: seen.append(docs._jdf.queryExecution().optimizedPlan().toString()) or clusters(docs))
+    rows_of("near_duplicate_recall", spark, folder)
+    assert len(seen) == 1 and len(seen[0].splitlines()) < 12 and "Join" not in seen[0]
+
+
 def test_gates_are_computed(spark, folder, tmp_path):
     docs = spark.read.parquet(f"{folder}/documents.parquet")
     leaking = spark.createDataFrame([(900, "call 555 123.a@x.org now"), (901, "write to me@x.org")], "doc_id long, text string").selectExpr("doc_id", "text", "'en' AS lang", "'web' AS source", "cast(length(text) AS long) AS n_chars")

@@ -572,7 +572,8 @@ def planted_pairs(spark: SparkSession) -> DataFrame:
 @query()
 def q_near_duplicate_recall(spark, sf_dir):
     """The detected near-duplicate clusters of documents and planted pairs; the shape of a document is its normalised text."""
-    planted = planted_pairs(spark)
+    # Generated once: the plan of all tickets would stand in each plan of the search.
+    planted = tables.written(planted_pairs(spark), "planted-pairs")
     docs = texts(spark, sf_dir)
     shapes = docs.select("doc_id", F.md5(T.normalize(F.coalesce("text", F.lit("")))).alias("shape")).unionByName(planted.select("doc_id", "shape"))
     found = near_clusters(docs.unionByName(planted.select("doc_id", "text")))
