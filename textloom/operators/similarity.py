@@ -25,7 +25,7 @@ CHUNK, MOST_IDS = 8 << 20, 1 << 20
 #: Documents of one t that are compared at once; a group of pairs has about twice as many.
 BLOCK = 1024
 #: Terms of prefixes in a block; products of weights at once.
-BLOCK_TERMS, STEP_PRODUCTS = 4 << 20, 1 << 20
+BLOCK_TERMS, STEP_PRODUCTS = 4 << 20, 1 << 18
 #: The df from which terms count as equally frequent, a weight of one in a prefix, and what sums of squares may lack by rounding.
 RARE, WHOLE, SUMS = (1 << 22) - 1, (1 << 15) - 1, 1e-12
 
