@@ -1,7 +1,11 @@
 """What the similarity step shuffles: texts and each chunk's terms, not a row for each posting."""
 
+import os
 import random
+import subprocess
+import sys
 from collections import Counter
+from pathlib import Path
 
 import pytest
 
@@ -114,3 +118,47 @@ def test_prefixes_lose_no_pair_and_links_keep_all_clusters(spark):
     assert {(r["a"], r["b"]) for r in links.collect()} < set(exact)
     pairs = spark.createDataFrame(list(exact), "a long, b long")
     assert {tuple(r) for r in similarity.clusters(links).collect()} == {tuple(r) for r in similarity.clusters(pairs).collect()}
+
+
+SHUFFLES = """
+import os, sys, time
+from pyspark.sql import SparkSession
+from textloom.operators import similarity
+from textloom.sources import tables
+
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.local.dir", sys.argv[1]).config("spark.checkpoint.dir", "file://" + sys.argv[1] + "/shared").config("spark.sql.shuffle.partitions", "4").getOrCreate()
+files = lambda: sum(f.startswith("shuffle_") for _, _, names in os.walk(sys.argv[1]) for f in names)
+tables.written(spark.range(1000).selectExpr("id % 10 AS k").groupBy("k").count(), "sums")
+for _ in range(40):
+    if files():
+        time.sleep(0.25)
+print("left", files())
+"""
+
+
+def test_a_written_table_leaves_no_shuffle(tmp_path):
+    """What a query has shuffled goes as it ends, not when the driver's JVM collects its plan."""
+    run = subprocess.run([sys.executable, "-c", SHUFFLES, str(tmp_path)], capture_output=True, text=True, timeout=120, env=os.environ | {"PYTHONPATH": str(Path(__file__).parents[1])})
+    assert run.stdout.split()[-2:] == ["left", "0"], run.stdout + run.stderr[-1000:]
+
+
+def test_blocks_meet_in_rounds_and_lose_no_pair(spark, monkeypatch):
+    """A shuffle of prefixes is at most AT_ONCE and one times as large as they are, however many blocks there are."""
+    docs = spark.createDataFrame(MIXED, "doc_id long, text string")
+    whole = {tuple(r) for r in similarity.cosine_pairs(docs).select("a", "b").collect()}
+    monkeypatch.setattr(similarity, "BLOCK_TERMS", 150)
+    monkeypatch.setattr(similarity, "AT_ONCE", 3)
+    written, most, prefixes = similarity.written, [], []
+
+    def counted(df, name):
+        before = shuffled(spark)
+        out = written(df, name)
+        if name == "similarity-prefixes":
+            prefixes.append(out.count())
+        if name == "similarity-candidates" and not df.columns[2:]:
+            most.append(shuffled(spark) - before)
+        return out
+
+    monkeypatch.setattr(similarity, "written", counted)
+    assert {tuple(r) for r in similarity.cosine_pairs(docs).select("a", "b").collect()} == whole
+    assert len(most) > 2 and 0 < max(most) <= 4 * prefixes[0], (most, prefixes)

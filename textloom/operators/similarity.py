@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Callable
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -24,10 +25,10 @@ COSINE, RATIO, SLACK = 0.85, 90, 1e-9
 CHUNK, MOST_IDS = 8 << 20, 1 << 20
 #: Documents of one t that are compared at once; a group of pairs has about twice as many.
 BLOCK = 1024
-#: Terms of prefixes in a block; products of weights at once.
-BLOCK_TERMS, STEP_PRODUCTS = 4 << 20, 1 << 18
-#: The df from which terms count as equally frequent, a weight of one in a prefix, and what sums of squares may lack by rounding.
-RARE, WHOLE, SUMS = (1 << 22) - 1, (1 << 15) - 1, 1e-12
+#: Terms of prefixes in a block; blocks that a block meets in one shuffle; products of weights at once.
+BLOCK_TERMS, AT_ONCE, STEP_PRODUCTS = 4 << 20, 8, 1 << 18
+#: The df from which terms count as equally frequent, the bits of a term's hash in a key, a weight of one in a prefix, and what sums of squares may lack by rounding.
+RARE, HASHED, WHOLE, SUMS = (1 << 22) - 1, (1 << 40) - 1, (1 << 15) - 1, 1e-12
 
 
 def _dealt(docs: DataFrame, firsts: DataFrame | None = None) -> tuple[DataFrame, int]:
@@ -70,13 +71,14 @@ def _postings(rows: pa.Table, named_only: bool) -> tuple[pa.Array, pa.Array, np.
 
 
 def _found(dealt: DataFrame, named_only: bool = False) -> DataFrame:
-    """chunk, term and n of rows by chunk: how many of the chunk's documents have the term."""
+    """chunk, place, term and n of rows by chunk: how many of the chunk's documents have the term, and its place among the chunk's terms."""
     def run(key: tuple, rows: pa.Table) -> pa.Table:
         _, words, doc, word, _, times, _ = _postings(rows, named_only)
         n = np.bincount(word, times[doc], len(words)).astype(np.int64)
-        return pa.table({"chunk": pa.array(np.full(len(n), key[0].as_py(), np.int32)), "term": words, "n": n})
+        order = _order(words)  # neighbours begin alike, which a shuffle packs
+        return pa.table({"chunk": pa.array(np.full(len(n), key[0].as_py(), np.int32)), "place": np.arange(len(n), dtype=np.int32), "term": words.take(order), "n": n[order.to_numpy()]})
 
-    return dealt.groupBy("chunk").applyInArrow(run, "chunk int, term string, n long")
+    return dealt.groupBy("chunk").applyInArrow(run, "chunk int, place int, term string, n long")
 
 
 def doc_freq(docs: DataFrame) -> DataFrame:
@@ -88,16 +90,19 @@ def _weighed(docs: DataFrame, schema: str, out: Callable[..., pa.Table], firsts:
     """out(ids, words, hashes, doc, word, df, w) of each chunk: its postings and their weights; hashes of terms that occur in one document only are 0. With firsts, also the md5 of each document's text.
 
     Neither a posting nor a vector is shuffled: a chunk sends each of its terms
-    once and gets the df of those that are in several documents. Texts are dealt out once.
+    once and gets the df of those that are in several documents, by their places. Texts are dealt out once.
     """
     dealt, n = _dealt(docs, firsts)
     named_only = firsts is not None
-    several = _found(dealt, named_only).withColumn("df", F.sum("n").over(Window.partitionBy("term"))).where("df > 1").select("chunk", "term", "df", F.xxhash64("term").alias("t"))
+    several = _found(dealt, named_only).withColumn("df", F.sum("n").over(Window.partitionBy("term"))).where("df > 1").select("chunk", "place", "df", F.xxhash64("term").bitwiseAND(F.lit(HASHED)).alias("t"))
 
     def run(rows: pa.Table, several: pa.Table) -> pa.Table:
         ids, words, doc, word, tf, _, (texts, number) = _postings(rows, named_only)
-        at = pc.index_in(words, value_set=several["term"].combine_chunks()).fill_null(len(several)).to_numpy()
-        df, t = np.append(several["df"].to_numpy(), 1)[at], np.append(several["t"].to_numpy(), 0)[at]
+        # Both times a chunk's terms are the same, in whatever order they come.
+        place, at = _places(words), several["place"].to_numpy()
+        df, t = np.ones(len(words), np.int64), np.zeros(len(words), np.int64)
+        df[at], t[at] = several["df"].to_numpy(), several["t"].to_numpy()
+        df, t = df[place], t[place]
         w = _scaled(tf, df[word], n, doc, len(ids))
         if not named_only:
             return out(ids, words, t, doc, word, df, w)
@@ -116,10 +121,15 @@ def _scaled(tf: np.ndarray, df: np.ndarray, n: int, doc: np.ndarray, docs: int)
     return r / np.where(norm == 0, 1.0, norm)[doc]
 
 
+def _order(words: pa.Array) -> pa.Array:
+    """The numbers of words in their order."""
+    return pc.array_sort_indices(words.cast(pa.binary()))
+
+
 def _places(words: pa.Array) -> np.ndarray:
     """The place of each word in their order."""
     place = np.empty(len(words), np.int64)
-    place[pc.array_sort_indices(words.cast(pa.binary())).to_numpy()] = np.arange(len(words))
+    place[_order(words).to_numpy()] = np.arange(len(words))
     return place
 
 
@@ -177,7 +187,7 @@ def _cosine_pairs(docs: DataFrame, least: float, members: DataFrame | None, rati
         # Terms of one document only count for its length but are shared with none.
         some = df[word] > 1
         doc, word, w = doc[some], word[some], w[some]
-        key = (RARE - np.minimum(df[word], RARE) << 40) | (t[word] & ((1 << 40) - 1))
+        key = (RARE - np.minimum(df[word], RARE) << 40) | t[word]
         order = np.lexsort((key, doc))
         doc, key, w = doc[order], key[order], w[order]
         # The vector up to a term is what remains of it from that term on, seen from the rare end.
@@ -198,9 +208,15 @@ def _cosine_pairs(docs: DataFrame, least: float, members: DataFrame | None, rati
     release(spark)
     total = vectors.agg(F.coalesce(F.sum(F.size("key")), F.lit(0))).first()[0]
     blocks = max(math.isqrt(4 * spark.sparkContext.defaultParallelism - 1) + 1, -(-total // BLOCK_TERMS))
-    own, other = F.pmod(F.xxhash64("doc_id"), F.lit(blocks)), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    met = vectors.withColumn("own", own).withColumn("other", other).select("doc_id", "key", "w", "rest", (F.least("own", "other") * blocks + F.greatest("own", "other")).alias("k"), (F.col("own") > F.col("other")).alias("second"))
-    pairs = written(met.groupBy("k").applyInArrow(lambda key, part: _candidates(part, key[0].as_py() // blocks == key[0].as_py() % blocks, least), "a long, b long"), "similarity-candidates")
+    rounds = -(-blocks // AT_ONCE)
+    met = vectors.withColumn("own", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)))
+    # Each block meets about AT_ONCE others in a round, whose shuffle is gone before the next one.
+    parts = []
+    for r in range(rounds):
+        others = F.expr(f"explode(filter(sequence(0, {blocks - 1}), x -> (x + own) % {rounds} = {r}))")
+        part = met.withColumn("other", others).select("doc_id", "key", "w", "rest", (F.least("own", "other") * blocks + F.greatest("own", "other")).alias("k"), (F.col("own") > F.col("other")).alias("second"))
+        parts.append(written(part.groupBy("k").applyInArrow(lambda key, part: _candidates(part, key[0].as_py() // blocks == key[0].as_py() % blocks, least), "a long, b long"), "similarity-candidates"))
+    pairs = reduce(DataFrame.union, parts)
     release(spark)
     # Pairs go by the smallest candidate of a, which the members of a group of near copies have in common.
     first = pairs.union(pairs.select("b", "a")).groupBy("a").agg(F.least("a", F.min("b")).alias("t"))

@@ -42,11 +42,20 @@ def shared_folder(spark: SparkSession) -> str:
     return re.sub("^file:/+", "file:///", base).rstrip("/")
 
 
+#: With it, Spark deletes a query's shuffles as the query ends; else they stay until the driver's JVM has collected its plan, which may be several queries later.
+FREED = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder, so that later uses neither recompute it nor depend on an executor. It is deleted when the driver ends."""
+    """df as a table in the shared folder, so that later uses neither recompute it nor depend on an executor. It is deleted when the driver ends, its shuffles now."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(FREED, None)
+    spark.conf.set(FREED, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(FREED, before) if before else spark.conf.unset(FREED)
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
     return spark.read.schema(df.schema).parquet(path)
