@@ -162,3 +162,15 @@ def test_blocks_meet_in_rounds_and_lose_no_pair(spark, monkeypatch):
     monkeypatch.setattr(similarity, "written", counted)
     assert {tuple(r) for r in similarity.cosine_pairs(docs).select("a", "b").collect()} == whole
     assert len(most) > 2 and 0 < max(most) <= 4 * prefixes[0], (most, prefixes)
+
+
+def test_a_chunk_sends_its_terms_in_a_row_for_each_bucket(spark, docs):
+    for make in (similarity.weights, similarity.doc_freq):
+        _, n = of(spark, lambda make=make: make(docs))
+        assert n < 2 * len(DOCS), n  # with a row for each term: over 3900
+
+
+def test_texts_that_share_a_doc_id_have_one_result_in_any_order(spark):
+    rows = [(1, "alpha beta gamma"), (1, "delta epsilon zeta"), (2, "alpha beta gamma gamma"), (3, "delta epsilon zeta zeta"), (4, "alpha beta gamma"), *[(9 + i, f"other{i} words{i}") for i in range(20)]]
+    found = [{tuple(r) for r in similarity.cosine_pairs(spark.createDataFrame(x, "doc_id long, text string").coalesce(1)).select("a", "b").collect()} for x in (rows, rows[::-1])]
+    assert found[0] == found[1] and found[0]
