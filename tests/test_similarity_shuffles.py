@@ -167,7 +167,7 @@ def test_blocks_meet_in_rounds_and_lose_no_pair(spark, monkeypatch):
 def test_a_chunk_sends_its_terms_in_a_row_for_each_bucket(spark, docs):
     for make in (similarity.weights, similarity.doc_freq):
         _, n = of(spark, lambda make=make: make(docs))
-        assert n < 2 * len(DOCS), n  # with a row for each term: over 3900
+        assert n < 2 * len(DOCS), n
 
 
 def test_texts_that_share_a_doc_id_have_one_result_in_any_order(spark):
