@@ -173,3 +173,34 @@ def test_very_long_texts(spark):
 @pytest.mark.parametrize(("low", "high", "words"), [(0, 3, 1), (0, 2, 0), (4, 7, 1), (3, 8, 1), (1, 11, 2), (0, 11, 3), (3, 4, 0), (5, 6, 0)])
 def test_whole_words(low, high, words):
     assert suffixdedup.whole_words(b"one two six", low, high) == words
+
+
+def test_what_is_alike_only_near_its_anchor_is_not_sorted(spark):
+    """40 documents share 80 bytes, so they share anchors, but no window of 200 bytes; only the two that share more are sorted."""
+    rng = np.random.default_rng(5)
+    word = lambda n: "".join(rng.choice(list("abcdefghij"), n))
+    near, more = word(80), word(70)
+    raw = [(word(500) + near + word(500)).encode() for _ in range(40)] + [(word(500) + more + near + more + word(500)).encode() for _ in range(2)]
+    pieces = [(int(a.view(np.int64)), int(z - b + 1), True, t[b : z + 200]) for t in raw for a, _, b, z, _ in zip(*suffixdedup.runs(t, 200, 32), strict=True)]
+    seen = Counter(p[3][i : i + 200] for p in pieces for i in range(p[1]))
+    want = {(k, i) for k, p in enumerate(pieces) for i in range(p[1]) if seen[p[3][i : i + 200]] > 1}
+    found = list(suffixdedup.shared_stretches(pieces, 200, 32))
+    kept = {(k, i) for k, a, z in found for i in range(a, z + 1)}
+    assert want and want <= kept and len(kept) <= len(want) + 4 * 50
+    assert not list(suffixdedup.shared_stretches([(*p[:2], False, p[3]) for p in pieces], 200, 32))
+    cut = [(pieces[k][3][a : z + 200], z - a + 1, True) for k, a, z in found]
+    got = {(k, a + i) for (k, a, _), spans in zip(found, suffixdedup.marks(cut, 200, None), strict=True) for x, y in spans for i in range(x, y + 1)}
+    assert got == want
+
+
+def test_packed_symbols(tmp_path):
+    """Seven symbols in one number, also where a block or the text ends."""
+    t = np.append(np.random.default_rng(2).integers(1, 258, 40), 0).astype(np.uint16)
+    for block in (8, 1 << 19):
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(induced, "BLOCK", block)
+            got = induced.packed(t, induced.Space(str(tmp_path), 16))
+            line = [*t.tolist(), *[0] * 6]
+            assert got.tolist() == [sum(x << 9 * (6 - j) for j, x in enumerate(line[i : i + 7])) for i in range(len(t))]
+    star = np.array([2, 9, 17, 30])
+    assert induced.byte_names(got, star).tolist() == induced.names(t, star, 258).tolist()

@@ -28,6 +28,11 @@ CUT, LAST = 1, 0
 BLOCK = 1 << 19
 #: Names that leave the priority queue at once, and sorted runs that it holds in memory.
 NAMES, RUNS = 1 << 15, 12
+#: Symbols of a text in one number, their bits; numbers from which a difference lies one symbol further to the left; of PACK symbols the first ones, and the mark of an end behind them.
+PACK, BITS = 7, 9
+PLACES = np.array([1 << BITS * i for i in range(PACK)])
+WITHIN = np.array([(1 << BITS * PACK) - (1 << BITS * (PACK - i)) for i in range(PACK + 1)])
+END = np.array([((1 << BITS) - 1) << BITS * (PACK - 1 - i) for i in range(PACK)] + [0])
 
 
 class Space:
@@ -178,7 +183,10 @@ class Carry:
                 half = 1 << (len(table) - 1)
                 table.append(np.minimum(table[-1][:-half], table[-1][half:]))
             kind = symbol[order]
-            starts = np.flatnonzero(np.diff(kind, prepend=-1))
+            turn = np.empty(len(kind), bool)
+            turn[0] = True
+            np.not_equal(kind[1:], kind[:-1], out=turn[1:])
+            starts = np.flatnonzero(turn)
             before = np.empty(len(order), np.int64)
             before[1:] = order[:-1]
             before[starts] = -1
@@ -352,23 +360,46 @@ def order_of(r: np.ndarray, space: Space) -> np.ndarray:
     return out[1:]  # without the last symbol's
 
 
+def packed(t: np.ndarray, space: Space) -> np.ndarray:
+    """PACK symbols of t from each place on, in one number; zeros behind the end."""
+    out = space.array(len(t), np.int64)
+    for a in range(0, len(t), BLOCK):
+        x = np.zeros(min(BLOCK, len(t) - a) + PACK - 1, np.int64)
+        some = t[a : a + len(x)]
+        x[: len(some)] = some
+        two = x[:-1] << BITS | x[1:]
+        four = two[:-2] << 2 * BITS | two[2:]
+        out[a : a + BLOCK] = four[:-3] << 3 * BITS | four[3:] & (1 << 3 * BITS) - 1
+    return out
+
+
+def byte_names(sevens: np.ndarray, star: np.ndarray) -> np.ndarray:
+    """As names(), of packed symbols."""
+    size = np.diff(star, append=len(sevens) - 1) + 1
+    rank, todo, k = np.zeros(len(star), np.int64), np.arange(len(star)), 0
+    while len(todo):
+        left = np.minimum(size[todo] - k, PACK)
+        todo = refine(rank, todo, sevens[np.minimum(star[todo] + k, len(sevens) - 1)] & WITHIN[left] | END[left])
+        k += PACK
+        todo = todo[size[todo] >= k]
+    return rank
+
+
 def star_order(t: np.ndarray, star: np.ndarray, cap: int, space: Space) -> tuple[np.ndarray, np.ndarray]:
     """Indices of S* suffixes in order, and what each shares with the one before, as deep as cap symbols."""
-    order = order_of(names(t, star, int(t.max()) + 1), space)
-    common, packed = space.array(len(order), np.uint16), space.array(len(t), np.uint64)
-    for j in range(min(4, len(t))):  # four symbols are compared at once; two that hold the last symbol differ
-        packed[: len(t) - j] |= t[j:].astype(np.uint64) << np.uint64(48 - 16 * j)
+    sevens = packed(t, space)
+    order = order_of(byte_names(sevens, star), space)
+    common = space.array(len(order), np.uint16)
     for a in range(1, len(order), BLOCK):
         x, y = star[order[a : a + BLOCK]], star[order[a - 1 : a - 1 + BLOCK][: len(order[a : a + BLOCK])]]
         i, k, deep = np.arange(len(x)), 0, np.full(len(x), cap)
         while len(i) and k < cap:
-            differ = packed[x] ^ packed[y]
+            differ = sevens[x] ^ sevens[y]  # two that hold the last symbol differ
             same = differ == 0
             if not same.all():
-                at, d = i[~same], differ[~same]
-                deep[at] = k + (d >> np.uint64(48) == 0).astype(np.int64) + (d >> np.uint64(32) == 0) + (d >> np.uint64(16) == 0)
+                deep[i[~same]] = k + PACK - np.searchsorted(PLACES, differ[~same], "right")
                 i, x, y = i[same], x[same], y[same]
-            x, y, k = x + 4, y + 4, k + 4
+            x, y, k = x + PACK, y + PACK, k + PACK
         common[a : a + len(deep)] = np.minimum(deep, cap)
     return order, common
 

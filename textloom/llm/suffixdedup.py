@@ -18,6 +18,7 @@ import os
 import shutil
 import uuid
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -124,36 +125,88 @@ def marks(pieces: list[tuple[bytes, int, bool]], window: int, folder: str | None
     finally:
         if own:
             shutil.rmtree(own, ignore_errors=True)
-    out = []
-    for (_, windows, wanted), a in zip(pieces, at, strict=True):
-        turns = np.flatnonzero(np.diff(again[a : a + windows].astype(np.int8), prepend=0, append=0)) if wanted else np.zeros(0, np.int64)
-        out.append(list(zip(turns[0::2].tolist(), (turns[1::2] - 1).tolist(), strict=True)))
+    for (raw, windows, wanted), a in zip(pieces, at.tolist(), strict=True):
+        again[a + windows * wanted : a + len(raw) + 1] = False
+    turns = np.flatnonzero(np.diff(again, prepend=False))
+    low, high = turns[0::2], turns[1::2] - 1
+    of = np.searchsorted(at, low, "right") - 1
+    out: list[list[tuple[int, int]]] = [[] for _ in pieces]
+    for i, a, z in zip(of.tolist(), (low - at[of]).tolist(), (high - at[of]).tolist(), strict=True):
+        out[i].append((a, z))
     return out
 
 
-def sort_shards(pieces: DataFrame, window: int, shard_bytes: int, folder: str) -> DataFrame:
+def shared_stretches(pieces: list[tuple[int, int, bool, bytes]], window: int, gram: int) -> Iterator[tuple[int, int, int]]:
+    """Of pieces (anchor, windows, wanted, bytes): which piece, first and last window of the stretches that have to be sorted.
+
+    Windows that lie alike towards their anchor, a quarter of a window at most
+    apart, form a block. Equal windows lie in blocks that share the same bytes
+    around the anchor, so a block whose bytes are in no other block, or only in
+    those of pieces that are not wanted, holds nothing to be found.
+    """
+    width = max(1, window // 4)
+    data = np.frombuffer(b"".join(x[3] for x in pieces), np.uint8)
+    n = len(data) - gram + 1
+    p, inverse = prefix_hash(data), powers(INVERSE, len(data) + 1)
+    sizes = np.array([len(x[3]) for x in pieces], np.int64)
+    anchor = np.array([x[0] for x in pieces], np.int64).view(np.uint64)
+    windows, wanted = np.array([x[1] for x in pieces], np.int64), np.array([x[2] for x in pieces], bool)
+    ends = np.cumsum(sizes)
+    starts = ends - sizes
+    q = np.flatnonzero(mix((p[gram:] - p[:n]) * inverse[:n]) == np.repeat(anchor, sizes)[:n])
+    piece = np.searchsorted(ends, q, "right")
+    inside = q + gram <= ends[piece]
+    q, piece = q[inside], piece[inside]
+    # The windows whose first anchor is at q, and the blocks that they lie in.
+    low = starts[piece]
+    low[1:] = np.where(piece[1:] == piece[:-1], q[:-1] + 1, low[1:])
+    high = np.minimum(q, starts[piece] + windows[piece] - 1)
+    some = low <= high
+    q, piece, low, high = q[some], piece[some], low[some], high[some]
+    near, many = (q - high) // width, (q - low) // width - (q - high) // width + 1
+    of = np.repeat(np.arange(len(q)), many)
+    k = (near + many - 1)[of] - (np.arange(len(of)) - (np.cumsum(many) - many)[of])  # by place
+    q, piece, low, high = q[of], piece[of], low[of], high[of]
+    a, z = q - k * width, q - (k + 1) * width + 1 + window  # what all windows of a whole block share
+    core = mix((p[z] - p[a]) * inverse[a] + mix(anchor[piece] + k.astype(np.uint64)))
+    _, kind, times = np.unique(core, return_inverse=True, return_counts=True)
+    kept = np.flatnonzero((times > 1)[kind] & (np.bincount(kind, wanted[piece], len(times)) > 0)[kind])
+    piece, low, high = piece[kept], np.maximum(low, a - width + 1)[kept] - starts[piece[kept]], np.minimum(high, a)[kept] - starts[piece[kept]]
+    turn = np.append(True, (piece[1:] != piece[:-1]) | (low[1:] != high[:-1] + 1))[: len(piece)]
+    yield from zip(piece[turn].tolist(), low[turn].tolist(), high[np.append(turn[1:], True)[: len(piece)]].tolist(), strict=True)
+
+
+def sort_shards(pieces: DataFrame, window: int, shard_bytes: int, folder: str, gram: int = GRAM) -> DataFrame:
     """anchor, run, low, high: the stretches (relative to the run) of windows that occur elsewhere, of pieces (anchor, run, n, windows, bytes)."""
 
     def flush(held: list) -> pd.DataFrame:
         place = folder.removeprefix("file://") if folder.startswith("file://") else None  # queues of this task only; in memory where the shared store has no files
-        found = marks([(x[4], x[3], x[2] == 1) for x in held], window, place)
+        found = marks([(x[4], x[3], x[2]) for x in held], window, place)
         release()
-        rows = [(x[0], x[1], a, b) for x, spans in zip(held, found, strict=True) for a, b in spans]
+        rows = [(x[0], x[1], x[5] + a, x[5] + b) for x, spans in zip(held, found, strict=True) for a, b in spans]
         return pd.DataFrame(rows, columns=["anchor", "run", "low", "high"]).astype({"anchor": "int64", "run": "int64", "low": "int32", "high": "int32"})
 
+    def cut(rows: list) -> Iterator[tuple]:
+        """What has to be sorted of all rows of some anchors: anchor, run, wanted, windows, bytes, first window."""
+        for i, a, z in shared_stretches([(x[0], x[3], x[2] == 1, x[4]) for x in rows], window, gram):
+            anchor, content, n, _, raw = rows[i]
+            yield anchor, content, n == 1, z - a + 1, raw[a : z + window], a
+
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         release()
-        held, size, seen = [], 0, None
-        for part in parts:
-            for row in part.itertuples(index=False, name=None):
-                if row[:2] == seen:  # of a repeated row
-                    continue
-                if size >= shard_bytes and row[0] != seen[0]:
+        rows, size, seen, held = [], 0, None, []
+        for row in chain.from_iterable(part.itertuples(index=False, name=None) for part in parts):
+            if row[:2] == seen:  # of a repeated row
+                continue
+            if size >= shard_bytes and row[0] != seen[0]:
+                held += cut(rows)
+                rows, size = [], 0
+                if sum(len(x[4]) for x in held) >= shard_bytes:
                     yield flush(held)
-                    held, size = [], 0
-                held.append(row)
-                size, seen = size + len(row[4]), row[:2]
-        if held:
+                    held = []
+            rows.append(row)
+            size, seen = size + len(row[4]), row[:2]
+        if held := [*held, *(cut(rows) if rows else ())]:
             yield flush(held)
 
     parts = shuffle_partitions(pieces.sparkSession)
@@ -284,7 +337,7 @@ def repeats(rows: DataFrame, window: int = WINDOW, gram: int = GRAM, shard_bytes
         ask = kinds.join(anchors, "anchor").select("anchor", "run", "n", "one.*").groupBy(F.col("doc_id").alias("_d"), F.col("key").alias("_k")).agg(F.collect_list(F.struct("anchor", "run", "n", "low", "high")).alias("asked"))
         return batches(rows.join(ask, _same(rows, ask)).select("text", "asked")).mapInPandas(cut, "anchor long, run long, n long, windows long, bytes binary")
 
-    marked = sort_shards(pieces(several), window, shard_bytes, scratch(rows.sparkSession))
+    marked = sort_shards(pieces(several), window, shard_bytes, scratch(rows.sparkSession), gram)
     if not hot.isEmpty():
         marked = marked.unionByName(count_windows(pieces(hot), window, gram))
 
